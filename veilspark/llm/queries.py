@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, token_counts
+from . import ann, bpe, embed_dedup, langid, license_scan, lm_score, mixing, near_dup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,9 +44,89 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+WORDS = r"[^\x20\x09-\x0D]+"
+#: Characters that lower a document's quality in the mix: digits and ASCII punctuation.
+ODD = r"[!-@\[-`{-~]"
+
+
+def mix_columns() -> tuple:
+    """(size, quality) of a document in the mix: its words; 1 less twice its share of odd characters, 0.05 at least."""
+    size = F.regexp_count("text", F.lit(WORDS))
+    return size, F.greatest(F.lit(0.05), 1 - 2 * F.regexp_count("text", F.lit(ODD)) / F.greatest(F.length("text"), F.lit(1)))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, quality = mix_columns()
+    return mixing.mix(_table(spark, sf_dir, "documents"), size, quality).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = f"""
+with rows as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::bigint as size,
+    -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+      / greatest(coalesce(greatest(0.05::double, 1 - 2 * len(regexp_extract_all(text, '{ODD}'))::double / greatest(length(text), 1)), 0.000001::double), 0.000001::double) as draw
+  from documents),
+sizes as (select source, sum(size)::bigint as source_size from rows group by source),
+weighed as (
+  select *, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, 2.0::double * source_size as cap from sizes),
+levels as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from weighed),
+level as (select max(level) as level from levels where level <= cap / weight),
+goals as (
+  select source, source_size, coalesce(least(cap, level.level * weight), cap)::double as target from levels cross join level),
+budgets as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as epochs from goals),
+drawn as (
+  select doc_id, size, source_size, target, epochs, greatest(0, target - epochs * source_size) as budget,
+    sum(size) over (partition by r.source order by draw) as upto
+  from rows r join budgets b on r.source is not distinct from b.source)
+select doc_id, size, source_size, target, ((epochs + (upto - size / 2.0 <= budget)::bigint) * size)::bigint as taken from drawn
+"""
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    starts, base = F.col("base.first_word"), F.col("base.label")
+    chained = F.transform(F.filter("spans", lambda x: x.share >= license_scan.SHARE), lambda x: x.label)
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    share = F.coalesce(F.array_max("spans.share"), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, chained)).alias("labels"), F.when(F.size("base") > 0, F.greatest(share, F.lit(0.5))).otherwise(share).alias("score"),
+    )
+
+
+def _bucket(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def language_model(docs: DataFrame) -> langid.CrossParser:
+    return langid.fit(docs.where(F.coalesce(_bucket(3), F.lit(0)) != 1))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, language_model(docs)).select("doc_id", F.coalesce(_bucket(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = _table(spark, sf_dir, "labels").where(F.coalesce(_bucket(4), F.lit(0)) != 2)
+    return toxicity.fit(docs, labels, "toxic")
+
+
+#: Scores from this on count as toxic.
+TOXIC = 0.3
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(_bucket(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_byte_bpe": op4_byte_bpe,
-    "op10_token_counts": op10_token_counts,
+    f.__name__: f for f in (op1_ann_search, op2_mix_sources, op3_license_scan, op4_byte_bpe, op5_lm_score, op6_near_dup, op7_language_id, op8_toxicity, op9_embed_dedup, op10_token_counts)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL}
