@@ -1,4 +1,11 @@
-"""A training-data pipeline over `documents`, stage by stage."""
+"""A training-data pipeline over `documents`, stage by stage.
+
+Each stage works on all that its predecessor kept. Language identification drops
+documents without a language; the toxicity model, fitted on the labelled rows, drops what
+it predicts as toxic; of near-duplicate documents the smallest doc_id stays; the mix
+repeats or drops documents until each source meets its target; the last stage encodes
+what is left.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +13,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.llm import bpe, langid, mixing, near_dup, queries, toxicity
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.drop_undetermined(docs, queries.language_model(docs))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, queries.toxicity_model(spark, docs, sf_dir), queries.TOXIC)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    size, quality = queries.mix_columns()
+    return mixing.repeated(docs, size, quality)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 #: (name, function); each function takes (spark, docs, sf_dir).
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("mix", mix),
+    ("encode", encode),
+]
 
 #: Language models, alignment and tokenisation have no SQL form.
 ORACLE_SQL = None
