@@ -87,7 +87,13 @@ def _load(path: str):
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _load(path)
+        seen: set[str] = set()  # repeated rows meet in one task
         for batch in batches:
+            fresh = []
+            for x in batch.column("content").to_pylist():
+                fresh.append(x not in seen)
+                seen.add(x)
+            batch = batch.filter(pa.array(fresh))
             texts = texts_of(batch)
             for lo, hi in runs(texts, 1_000_000):
                 yield pa.RecordBatch.from_pydict({"content": batch.column("content").slice(lo, hi - lo), "n_tokens": pa.array(count(texts[lo:hi]), pa.int64())})
