@@ -118,14 +118,14 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str =
     gives count / count of its context; every shorter step costs a factor `alpha`, and a
     word of no other text scores as one in all words. Counts are of all rows: a repeated
     row vouches for its copy. Null and empty texts have 0 words, score 0 and a null mean;
-    an empty table gives an empty result. `parts` (default: the shuffle partitions) is
+    an empty table gives an empty result. `parts` (default: the shuffle partitions, an eighth of the blocks at least) is
     the number of parts of the count table; a block sends each distinct n-gram once,
     so a frequent n-gram weighs no more than a rare one.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.col(column).alias("text"))
     blocks = max(1, -(-rows.count() // block_docs))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)))
     asked = rows.groupBy("block").applyInArrow(_asked(order, parts), "part int, block long, keys binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(_answered, "part int, block long, totals binary")
