@@ -538,3 +538,119 @@ def mmd_biased(spark, sf_dir):
     a, b = e.where("label = 0"), e.where("label = 1")
     parts = [features.kernel_mean(x, y, "embedding", 1.0).withColumnRenamed("mean", n) for x, y, n in ((a, a, "aa"), (b, b, "bb"), (a, b, "ab"))]
     return parts[0].join(parts[1]).join(parts[2]).select(F.round(F.col("aa") + F.col("bb") - 2 * F.col("ab"), 6).alias("mmd"))
+
+
+@register("""select c_custkey, round((c_acctbal - lo) / (hi - lo), 9) as unit, greatest(0, least(5000, c_acctbal)) as clipped from customer, (select min(c_acctbal) lo, max(c_acctbal) hi from customer)""")
+def value_clip(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    lo, hi = encode.bounds(df, "c_acctbal")["c_acctbal"]
+    return df.select("c_custkey", F.round(encode.minmax(F.col("c_acctbal"), lo, hi), 9).alias("unit"), F.greatest(F.lit(0.0), F.least(F.lit(5000.0), F.col("c_acctbal"))).alias("clipped"))
+
+
+@register("""select time_bucket(interval 1 day, ts) as start, event_type, count(*)::bigint as n from events group by 1, 2""")
+def windowed_marginal(spark, sf_dir):
+    """On a table here; the same function takes a stream."""
+    from .streaming.marginals import windowed_marginal as counted
+
+    out = counted(table(spark, sf_dir, "events"), "ts", ["event_type"], "1 day", "1 hour")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register(f"""with c as (select quantity, count(*) n from {LINE_SQL} group by 1), k as (select quantity, n, n >= (select avg(n) from c) as kept from c)
+select case when kept then quantity else -1 end::bigint as code, sum(n)::bigint as n from k group by 1""")
+def significant_values(spark, sf_dir):
+    """Values whose count stays above a threshold keep their code, the rest share one."""
+    counts = coded_lines(spark, sf_dir).groupBy("quantity").agg(F.count("*").alias("n"))
+    kept = counts.join(counts.agg(F.avg("n").alias("least"))).withColumn("code", F.when(F.col("n") >= F.col("least"), F.col("quantity")).otherwise(F.lit(-1).cast("long")))
+    return kept.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+@register("""with e as (select vec_id, embedding::double[] e from embeddings where label = 0)
+select round(median(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))), 6) as distance from e a join e b on a.vec_id < b.vec_id""")
+def median_distance(spark, sf_dir):
+    """Median distance of the pairs of one label, the length scale of a kernel."""
+    e = table(spark, sf_dir, "embeddings").where("label = 0").select("vec_id", features.doubles(F.col("embedding")).alias("x"))
+    pairs = e.join(e.select(F.col("vec_id").alias("other"), F.col("x").alias("y")), F.col("vec_id") < F.col("other"))
+    return pairs.agg(F.round(F.percentile(F.sqrt(features.squared_distance(F.col("x"), F.col("y"))), F.lit(0.5)), 6).alias("distance"))
+
+
+# --- stochastic queries: no SQL form -----------------------------------------------------
+
+RHO = 0.5
+
+
+def _generator():
+    import numpy as np
+
+    return np.random.default_rng(11)  # a fixed seed makes the query repeatable; a private release takes none
+
+
+@register()
+def aim_synth(spark, sf_dir):
+    """As many synthetic line items as the noisy total, by adaptive measurement of two-way marginals."""
+    from .operators import synthesize
+
+    model, _ = synthesize.aim(coded_lines(spark, sf_dir), LINE_DOMAIN, synthesize.two_way_workload(LINE_DOMAIN), RHO, rounds=8, rng=_generator())
+    return synthesize.sample(spark, model, round(model.total))
+
+
+@register()
+def mst_synth(spark, sf_dir):
+    """As many synthetic line items as the noisy total, by a private spanning tree of two-way marginals."""
+    from .operators import synthesize
+
+    model, _ = synthesize.mst(coded_lines(spark, sf_dir), LINE_DOMAIN, RHO, rng=_generator())
+    return synthesize.sample(spark, model, round(model.total))
+
+
+@register()
+def mst_tvd(spark, sf_dir):
+    """Total variation distance of all two-way marginals of real and synthetic line items."""
+    real = coded_lines(spark, sf_dir)
+    return evaluate.marginal_tvd(real, mst_synth(spark, sf_dir), TWO)
+
+
+@register()
+def consistency_loop(spark, sf_dir):
+    """clique, k1, k2, n: noisy two-way marginals of four attributes made non-negative and consistent."""
+    import numpy as np
+
+    from .operators import consistency, synthesize
+
+    cliques = all_cliques(LINE_DOMAIN.project(["flag", "status", "line", "tax"]), 2)
+    rng = _generator()
+    noisy = {c: x + rng.normal(0, 20, x.shape) for c, x in synthesize.datavectors(coded_lines(spark, sf_dir), LINE_DOMAIN, cliques).items()}
+    rows = [(",".join(c), int(i), int(j), float(x[i, j])) for c, x in consistency.consistent(noisy).items() for i, j in np.ndindex(x.shape)]
+    return spark.createDataFrame(rows, "clique string, k1 long, k2 long, n double")
+
+
+@register()
+def privtree_bins(spark, sf_dir):
+    """bin, lo, n: private binary splitting of prices, then the rows counted in its bins."""
+    from .operators import partition
+
+    df, lo, hi, bins = table(spark, sf_dir, "lineitem"), 0.0, 131072.0, 1024
+    edges = partition.privtree(partition.fine_histogram(df, "l_extendedprice", lo, hi, bins), 1.0, rng=_generator())
+    points = [lo + (hi - lo) / bins * e for e in edges]
+    code = encode.interval_code(F.col("l_extendedprice"), [*points, hi])
+    return df.groupBy(code.alias("bin")).agg(F.min("l_extendedprice").alias("least"), F.count("*").alias("n"))
+
+
+@register()
+def dawa_bins(spark, sf_dir):
+    """bin, n: the private least-cost partition of prices."""
+    from .operators import partition
+
+    df, lo, hi, bins = table(spark, sf_dir, "lineitem"), 0.0, 131072.0, 1024
+    edges = partition.dawa(partition.fine_histogram(df, "l_extendedprice", lo, hi, bins), 1.0, rng=_generator())
+    code = encode.interval_code(F.col("l_extendedprice"), [*(lo + (hi - lo) / bins * e for e in edges), hi])
+    return df.groupBy(code.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@register()
+def ml_utility(spark, sf_dir):
+    """trained_on, model, accuracy, macro_f1 on the odd orders, after training on even orders or on synthetic rows."""
+    from .operators import learn
+
+    real, test = halves(coded_lines(spark, sf_dir))
+    return learn.utility({"real": real, "synthetic": mst_synth(spark, sf_dir)}, test, ["line", "quantity", "discount", "tax", "status"], "flag", models=("tree",))
