@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from veilspark.queries import ORACLES, QUERIES
@@ -19,7 +20,7 @@ def duck():
 
 def rows(frame):
     cols = sorted(frame.columns)
-    text = lambda v: "null" if v is None or v != v else repr(round(float(v), 9) + 0.0) if isinstance(v, (int, float, np.number)) else str(v)
+    text = lambda v: "null" if pd.isna(v) else repr(round(float(v), 9) + 0.0) if isinstance(v, (int, float, np.number)) else str(v)
     return cols, sorted(tuple(text(v) for v in r) for r in frame[cols].astype(object).itertuples(index=False))
 
 
