@@ -24,7 +24,7 @@ from .vectors import matrix, packed, stored_as, valid_vectors
 #: Vectors of a shard in expectation; neighbours of a node above and on the ground layer.
 SHARD_ROWS, UPPER, GROUND = 2048, 12, 24
 #: Beam at construction; first beam of a query; factor by which beams widen.
-BUILD_BEAM, BEAM, WIDEN = 40, 32, 4
+BUILD_BEAM, BEAM, WIDEN = 40, 32, 2
 #: Audited queries of each pair of shards, and the recall of links they must show.
 AUDIT, AUDIT_RECALL = 48, 1.0
 #: Nodes that each query expands in one step of its walk.
@@ -73,7 +73,7 @@ def spread(x: np.ndarray, base: np.ndarray, ids: np.ndarray, sims: np.ndarray, k
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     m = ids.shape[1]
     own = x[ids]
-    mutual = np.einsum("qad,qbd->qab", own, own)
+    mutual = own @ own.transpose(0, 2, 1)
     kept = np.zeros(ids.shape, bool)
     for j in range(m):
         nearer = (kept & (mutual[:, j] >= sims[:, j, None])).any(1)
@@ -152,8 +152,9 @@ class SmallWorld:
 def links(world: SmallWorld, q: np.ndarray, threshold: float) -> np.ndarray:
     """Matrix of query x node: cosine at least `threshold`, as far as the beams find it.
 
-    A beam that is full of links widens until it is not; all beams widen until the audited
-    queries find every link that brute force finds. A beam as wide as the shard is exact.
+    Queries whose beam is full of links get a wider one; so do all others while one of
+    the audited queries with room in its beam misses a link that brute force finds. A
+    sixteenth of the shard is the widest beam; what is still open then meets all nodes.
     """
     n, slack = len(world.x), np.float32(threshold - 1e-4)
     out = np.zeros((len(q), n), bool)
@@ -162,18 +163,19 @@ def links(world: SmallWorld, q: np.ndarray, threshold: float) -> np.ndarray:
     truth = q32[audit] @ world.x.T >= slack
     todo, beam = np.arange(len(q)), BEAM
     while len(todo):
-        if beam * 3 >= n:
+        if beam * 16 > n:
             out[todo] = q32[todo] @ world.x.T >= slack
             break
-        full = []
+        full = np.zeros(len(q), bool)
         for lo in range(0, len(todo), 512):
             part = todo[lo : lo + 512]
             ids, sims = world.search(q32[part], beam)
             hit = sims >= slack
             out[np.repeat(part, hit.sum(1)), ids[hit]] = True
-            full.append(part[hit.all(1)])
-        missed = truth.sum() and (out[audit] & truth).sum() < AUDIT_RECALL * truth.sum()
-        todo = np.arange(len(q)) if missed else np.concatenate(full)
+            full[part] = hit.all(1)
+        room = ~full[audit]
+        missed = (truth & ~out[audit])[room].sum() > (1 - AUDIT_RECALL) * truth[room].sum()
+        todo = np.arange(len(q)) if missed else np.flatnonzero(full)
         beam *= WIDEN
     return out
 
