@@ -101,3 +101,15 @@ def test_tvd_properties(spark):
 @pytest.mark.parametrize("name", ["aim_synth", "consistency_loop", "privtree_bins", "dawa_bins", "mst_tvd"])
 def test_stochastic_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_record_updates_move_rows_to_the_targets(spark):
+    from veilspark.operators import records
+
+    x = chain_joint(np.random.default_rng(6))
+    rows = records.start(spark, D, {a: view(x, (a,)) for a in D}, 4000)
+    targets = {c: view(x, c) for c in [("a", "b"), ("b", "c"), ("c", "d")]}
+    error = lambda df: sum(np.abs(v / v.sum() - targets[c] / targets[c].sum()).sum() for c, v in synthesize.datavectors(df, D, list(targets)).items())
+    after = records.updated(rows, D, targets, rounds=3)
+    assert after.count() == 4000 and error(after) < 0.5 * error(rows)
+    assert len(records.separated([("a", "b"), ("c", "d"), ("b", "x")])) == 2

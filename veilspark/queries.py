@@ -654,3 +654,84 @@ def ml_utility(spark, sf_dir):
 
     real, test = halves(coded_lines(spark, sf_dir))
     return learn.utility({"real": real, "synthetic": mst_synth(spark, sf_dir)}, test, ["line", "quantity", "discount", "tax", "status"], "flag", models=("tree",))
+
+
+@register()
+def gum_synth(spark, sf_dir):
+    """Synthetic line items by updating independent rows towards noisy two-way marginals."""
+    from .functions.budget import Ledger
+    from .operators import records, synthesize
+
+    domain = LINE_DOMAIN.project(["flag", "status", "line", "tax"])
+    pairs = all_cliques(domain, 2)
+    answers = synthesize.datavectors(coded_lines(spark, sf_dir), domain, [*((a,) for a in domain), *pairs])
+    ledger = Ledger(RHO)
+    measure = synthesize.Measurer(answers, ledger, _generator())
+    found = {c: measure(c, RHO / len(answers)).counts for c in answers}
+    rows = records.start(spark, domain, {a: found[a,] for a in domain}, max(1, round(float(found["line",].sum()))))
+    return records.updated(rows, domain, {c: found[c] for c in pairs}, rounds=1)
+
+
+@register("""with o as (select distinct p_retailprice v from part), s as (select o_orderkey, 900 + o_totalprice / 500 as x from orders),
+lo as (select o_orderkey, x, max(v) v from s left join o on v <= x group by 1, 2), hi as (select o_orderkey, min(v) v from s left join o on v >= x group by 1)
+select o_orderkey, case when lo.v is null or hi.v - x < x - lo.v then hi.v else lo.v end as snapped from lo join hi using (o_orderkey)""")
+def nearest_snap(spark, sf_dir):
+    from .operators.snap import snapped
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (900 + F.col("o_totalprice") / 500).alias("p_retailprice"))
+    return snapped(orders, table(spark, sf_dir, "part").select("p_retailprice"), "p_retailprice").withColumnRenamed("p_retailprice", "snapped")
+
+
+def _share_sql(seed: str, key: str) -> str:
+    return f"((('0x' || substr(md5('{seed}|' || {key}), 1, 8))::bigint + 1) / 4294967297.0::double)"
+
+
+@register(f"select o_orderkey, case when {_share_sql('split', 'o_orderkey')} <= 0.8::double then 'train' when {_share_sql('split', 'o_orderkey')} <= 0.9::double then 'val' else 'test' end as split from orders")
+def hash_split(spark, sf_dir):
+    from .operators import subsets
+
+    return subsets.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", {"train": 0.8, "val": 0.1, "test": 0.1})
+
+
+@register(f"""with u as (select o_orderkey, o_orderpriority, {_share_sql('strata', 'o_orderkey')} u, count(*) over (partition by o_orderpriority) n from orders)
+select o_orderkey, o_orderpriority from u qualify row_number() over (partition by o_orderpriority order by u, o_orderkey) <= greatest(1, round(n * 0.15::double))""")
+def stratified_sample(spark, sf_dir):
+    from .operators import subsets
+
+    return subsets.stratified(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 0.15)
+
+
+@register(f"select o_orderkey, o_orderstatus from orders where {_share_sql('bias', 'o_orderkey')} <= case o_orderstatus when 'F' then 0.2::double when 'O' then 0.7 else 1 end")
+def biased_subset(spark, sf_dir):
+    from .operators import subsets
+
+    return subsets.biased(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", {"F": 0.2, "O": 0.7})
+
+
+@register(f"select p_partkey, case when {_share_sql('wrong', 'p_partkey')} <= 0.3::double then (p_size - 1 + 1 + floor({_share_sql('wrongp_size', 'p_partkey')} * 49)::bigint) % 50 else p_size - 1 end::bigint as p_size from part")
+def corrupted_subset(spark, sf_dir):
+    from .operators import subsets
+
+    return subsets.corrupted(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 1).cast("long").alias("p_size")), "p_partkey", {"p_size": 50}, 0.3)
+
+
+@register(f"""select p_partkey, coalesce(case when p_size > 10 then p_size - 1 end, (select count(*) from (select unnest(range(1, 10)) i) where i / 10.0::double <= {_share_sql('fill', 'p_partkey')}))::bigint as p_size from part""")
+def imputed_codes(spark, sf_dir):
+    from .operators import subsets
+
+    part = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_size") - 1).cast("long").alias("p_size"))
+    return subsets.imputed(part, "p_partkey", "p_size", [1.0] * 10)
+
+
+@register(" union all ".join(f"select label, {i}::bigint as feature, '{k}' as kind, round(avg(0.5::double * {k}(list_sum(list_transform(list_zip(embedding::double[], {w}::double[]), lambda p: p[1] * p[2])))), 6) as mean from embeddings group by label" for i, w in enumerate(FREQUENCIES) for k in ("cos", "sin")))
+def label_mean_embedding(spark, sf_dir):
+    return features.fourier_means(table(spark, sf_dir, "embeddings"), "embedding", FREQUENCIES, "label").withColumn("mean", F.round("mean", 6))
+
+
+@register("select round(sum(tvd * w) / sum(w), 9) as tvd from (select kind, avg(tvd) as tvd, count(*) as w from (" + _tvd_sql(list(KINDS)) + ") join (values " + ", ".join(f"('{','.join(c)}', '{k}')" for c, k in KINDS.items()) + ") k(clique, kind) using (clique) group by kind)")
+def tvd_weighted_summary(spark, sf_dir):
+    """Mean of the kinds' distances by their numbers of pairs."""
+    kinds = evaluate.marginal_tvd(*halves(coded_lines(spark, sf_dir)), list(KINDS))
+    kind = F.coalesce(*[F.when(F.col("clique") == ",".join(c), k) for c, k in KINDS.items()])
+    by = kinds.groupBy(kind.alias("kind")).agg(F.avg("tvd").alias("tvd"), F.count("*").alias("w"))
+    return by.agg(F.round(F.sum(F.col("tvd") * F.col("w")) / F.sum("w"), 9).alias("tvd"))
