@@ -148,3 +148,25 @@ def empirical_cdf(df: DataFrame, column: str, name: str = "cdf") -> DataFrame:
     counts = counts.withColumns({"_upto": F.sum("_n").over(Window.orderBy("_v")), "_all": F.sum("_n").over(Window.partitionBy())})
     ranks = counts.select("_v", ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all")).alias(name))
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
+def rare_by_rows(df: DataFrame, column: str, share: float, other: str = "__rare__") -> DataFrame:
+    """Values with fewer than round(rows * share) occurrences become `other`; null stays."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    total = df.agg(F.count("*").alias("_total"))
+    rare = counts.join(total).where(F.col("_n") < F.bround(F.col("_total") * share)).select("_v", F.lit(True).alias("_rare"))
+    return df.join(rare, F.col(column) == F.col("_v"), "left").withColumn(column, F.when(F.col("_rare"), F.lit(other)).otherwise(F.col(column).cast("string"))).drop("_v", "_rare")
+
+
+def inverse_normal(p: Column) -> Column:
+    """Quantile of the standard normal distribution by the usual rational approximation (error below 5e-4)."""
+    t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    return F.when(p < 0.5, -z).otherwise(z)
+
+
+def quantile_normal(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Normal scores: the inverse normal of each value's average rank share, (rank - 1/2) / n."""
+    n = df.where(F.col(column).isNotNull()).agg(F.count("*").alias("_n"))
+    out = empirical_cdf(df, column, "_cdf").join(n)
+    return out.withColumn(name, inverse_normal(F.col("_cdf") - 0.5 / F.col("_n"))).drop("_cdf", "_n")

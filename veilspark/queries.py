@@ -735,3 +735,16 @@ def tvd_weighted_summary(spark, sf_dir):
     kind = F.coalesce(*[F.when(F.col("clique") == ",".join(c), k) for c, k in KINDS.items()])
     by = kinds.groupBy(kind.alias("kind")).agg(F.avg("tvd").alias("tvd"), F.count("*").alias("w"))
     return by.agg(F.round(F.sum(F.col("tvd") * F.col("w")) / F.sum("w"), 9).alias("tvd"))
+
+
+@register("""with c as (select o_totalprice v, count(*) n from orders group by 1), r as (select v, (sum(n) over (order by v) - (n - 1) / 2.0::double) / sum(n) over () - 0.5::double / sum(n) over () as p from c),
+t as (select v, p, sqrt(-2 * ln(least(p, 1 - p))) as t from r), z as (select v, p, t - (2.515517::double + 0.802853::double * t + 0.010328::double * t * t) / (1 + 1.432788::double * t + 0.189269::double * t * t + 0.001308::double * t * t * t) as z from t)
+select o_orderkey, round(case when p < 0.5 then -z else z end, 6) as score from orders join z on v = o_totalprice""")
+def normal_scores(spark, sf_dir):
+    return encode.quantile_normal(table(spark, sf_dir, "orders"), "o_totalprice", "score").select("o_orderkey", F.round("score", 6).alias("score"))
+
+
+@register("""with c as (select props, count(*) n from events group by 1)
+select case when n < round_even((select count(*) from events) * 0.0105::double, 0) then '__rare__' else events.props end as props, count(*)::bigint as n from events join c using (props) group by 1""")
+def rare_by_frequency(spark, sf_dir):
+    return encode.rare_by_rows(table(spark, sf_dir, "events"), "props", 0.0105).groupBy("props").agg(F.count("*").alias("n"))
