@@ -208,6 +208,9 @@ def test_toxicity(spark, tmp_path):
     assert sum((out[i] >= 0.3) == (i % 4 == 0) for i in held) / len(held) > 0.97
     assert 0 <= out[900] == out[901] < 0.5
     assert toxicity.drop_toxic(docs, model, 0.3).count() == sum(s < 0.3 for s in out.values())
+    few = toxicity.fit(docs, spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, toxic int"), "toxic", positives=1000, negatives=120)
+    sampled = {r["doc_id"]: r["score"] for r in toxicity.score(docs, few).collect()}  # one class sampled, the other whole
+    assert sum((sampled[i] >= 0.3) == (i % 4 == 0) for i in range(400)) / 400 > 0.97
     empty = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), "toxic")
     assert {r["score"] for r in toxicity.score(docs, empty).collect()} == {0.0}
 

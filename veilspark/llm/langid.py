@@ -87,7 +87,8 @@ def train(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> CrossPars
     width = len(alphabet) + 2
     parser = CrossParser(langs, alphabet, np.empty(0, np.int32), np.empty(0, np.int64), width)
     table = parser.classes()
-    parts, roots, base = [np.zeros(width, np.int32)], [], 1  # state 0: no transition
+    roots, base = [], 1  # state 0: no transition
+    goto = np.zeros((1 + 2 * chars * len(langs), width), np.int32)  # as many states as there can be; unused ones cost nothing
     for lang in langs:
         sequence: list[int] = []
         for text in samples[lang]:
@@ -95,13 +96,11 @@ def train(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> CrossPars
             if len(sequence) >= chars:
                 break
         states = _automaton([c for c in sequence[:chars] if c < width - 1])
-        goto = np.zeros((len(states), width), np.int32)
-        for s, to in enumerate(states):
+        for s, to in enumerate(states, base):
             goto[s, list(to)] = [base + t for t in to.values()]
         roots.append(base)
-        parts.append(goto.ravel())
         base += len(states)
-    parser.goto, parser.roots = np.concatenate(parts), np.array(roots, np.int64)
+    parser.goto, parser.roots = goto[:base].ravel(), np.array(roots, np.int64)
     return parser
 
 

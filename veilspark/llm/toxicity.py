@@ -49,7 +49,7 @@ class Model:
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
-    """FTRL-proximal with per-coordinate rates over rows of distinct features, in the order given."""
+    """FTRL-proximal with per-coordinate rates over rows of distinct features, in the order given; feature 1 << bits is the intercept."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -58,7 +58,6 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
         penalty = np.where(at == size, 0.0, l1)  # the intercept is not shrunk
         return np.where(np.abs(zi) <= penalty, 0.0, -(zi - np.sign(zi) * penalty) / ((beta + np.sqrt(n[at])) / alpha + np.where(at == size, 0.0, l2)))
 
-    rows = [np.append(x, size) for x in rows]
     for _ in range(epochs):
         for at, y in zip(rows, labels, strict=True):
             w = weights(at)
@@ -78,6 +77,7 @@ def _featured(bits: int):
                 of, at = features(texts[lo:hi], bits)
                 both = np.unique(of << bits | at)
                 parts = np.split((both & ((1 << bits) - 1)).astype("<u4"), np.searchsorted(both >> bits, np.arange(1, hi - lo)))
+                parts = [np.append(x, np.uint32(1 << bits)) for x in parts]  # the intercept
                 yield pd.DataFrame({"chance": frame["chance"].iloc[lo:hi], "label": frame["label"].iloc[lo:hi], "at": [x.tobytes() for x in parts]})
 
     return run
@@ -98,13 +98,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", col
     chance = F.pmod(F.xxhash64(F.col(key), F.lit("labels")), F.lit(1_000_003)) / 1_000_003
     sample = known.withColumn("chance", chance).where(F.col("chance") < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
     rows = docs.select(key, F.col(column).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(sample), key)
-    got = rows.select("chance", "label", "text").mapInPandas(_featured(BITS), "chance double, label int, at binary").collect()
-    got.sort(key=lambda r: (r["chance"], r["label"], r["at"]))
-    y = np.array([r["label"] for r in got])
+    got = rows.select("chance", "label", "text").mapInPandas(_featured(BITS), "chance double, label int, at binary").toArrow().combine_chunks()
+    y, chances = got.column("label").to_numpy(), got.column("chance").to_numpy()
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.int64), np.empty(0), -np.inf)
-    model = ftrl([np.frombuffer(r["at"], "<u4").astype(np.int64) for r in got], y)
-    model.bias += float(np.log(share[0] / share[1]) * -1)
+    at = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("at")]  # views, no copies
+    # by the draw within the class, so that both classes are spread over the whole order
+    order = sorted(range(len(y)), key=lambda i: (chances[i] / share[int(y[i])], y[i], len(at[i])))
+    model = ftrl([at[i] for i in order], y[order])
+    model.bias += float(np.log(share[0] / share[1]))
     return model
 
 
