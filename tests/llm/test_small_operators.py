@@ -7,9 +7,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -336,6 +338,36 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_whose_values_lie_in_a_hot_bucket(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, rows = [word() for _ in range(70)], []
+    for g in range(100):  # pairs of one group share no k-mer of their own words
+        own = [word() for _ in range(30)]
+        for c in range(2):
+            copy = [word() if c and i % 2 else w for i, w in enumerate(own)]
+            rows.append((2 * g + c, " ".join([*copy, *passage]), "en", "s"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2), st.integers(0, 9)), max_size=8), st.sampled_from([0.6, 0.75, 0.8, 0.9]))
+def test_similar_texts_share_a_rare_gram(a, edits, similarity):
+    b = list(a)
+    for at, how, w in edits:
+        at = min(at, len(b))
+        b[at : at + (how > 0)] = [w] if how < 2 else []
+    if not a or not b or not near_dup.similar(np.array(a), np.array(b), similarity) or a == b:
+        return
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 2], "text": [" ".join(f"w{x}" for x in t) for t in (a, b)]})
+    shared = SimpleNamespace(value=np.arange(near_dup.RARITY_SLOTS) % 7)
+    out = pa.Table.from_batches(near_dup._rare(shared, similarity)([batch])).to_pandas()
+    met = out[out.doc == 1].merge(out[out.doc == 2], on="value")
+    k, longer = near_dup._gram(similarity), max(len(a), len(b))
+    assert met[["left_x", "left_y"]].min(axis=1).max() >= longer - k + 1 - k * math.floor((1 - similarity) * longer + 1e-9)
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]
