@@ -368,6 +368,21 @@ def test_similar_texts_share_a_rare_gram(a, edits, similarity):
     assert met[["left_x", "left_y"]].min(axis=1).max() >= longer - k + 1 - k * math.floor((1 - similarity) * longer + 1e-9)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_sketches_of_texts_with_spread_edits(similarity):
+    rng, texts = random.Random(1), []
+    for _ in range(600):
+        a = [str(rng.randrange(10**9)) for _ in range(rng.randint(50, 300))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), int((1 - similarity) * len(a) + 1e-9)):
+            b[at] = str(rng.randrange(10**9))
+        texts += [" ".join(a), " ".join(b)]
+    with np.errstate(over="ignore"):
+        key, n = near_dup.kmers(*near_dup.word_hashes(texts))
+        sketch = near_dup.sketches(key, n)
+    assert (sketch[::2] == sketch[1::2]).any(1).mean() >= 0.95
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]
