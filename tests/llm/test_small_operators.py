@@ -425,6 +425,24 @@ def test_ann(spark):
     assert ann.search(vectors(spark, x[:0]), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_among_near_copies_and_in_small_cells(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 16))
+    x[::2] = x[0] + 1e-3 * rng.normal(size=(600, 16))  # a hot group whose rows share codes
+    x = x.astype(np.float32)
+    d, got = x.astype(float), {}
+    for r in ann.search(vectors(spark, x), F.col("vec_id") % 40 == 0, rerank=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 1200, 40):
+        s = d @ d[q]
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(1200), -s))[:20].tolist()) & got[q])
+    assert hit / (30 * 20) >= 0.95
+    few = ann.search(vectors(spark, rng.normal(size=(300, 16))), F.col("vec_id") % 20 == 0, recall=0.01).groupBy("query_id").count().collect()
+    assert len(few) == 15 and {r["count"] for r in few} == {20}
+
+
 def test_embedding_duplicates(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(500, 16))

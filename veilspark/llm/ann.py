@@ -2,7 +2,8 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample; every row is assigned and
 encoded. A query probes the cells whose centroids lie nearest, ranks their rows by
-asymmetric distance tables and reranks the best by exact inner products.
+asymmetric distance tables and reranks by exact inner products the best and every other row whose
+quantisation error leaves room for a place among them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .vectors import kmeans, matrix, nearest, packed, stored_as, valid_vectors
 SAMPLE, MOST_CELLS, WORDS = 16_384, 1024, 256
 #: Queries whose exact neighbours set the number of probes, and the recall that they must reach.
 AUDIT, AUDIT_RECALL = 128, 0.97
-#: Rows of a shard at large sizes; shards at least (where they get 64 rows); rows reranked in a shard; queries of a group.
+#: Rows of a shard at large sizes; shards at least (where they get 64 rows); rows of a shard reranked first; queries of a group.
 SHARD_ROWS, LEAST_SHARDS, RERANK, GROUP_QUERIES = 16_384, 32, 100, 8192
 
 
@@ -39,6 +40,10 @@ class Index:
         rest = (x - self.centroids[cell]).reshape(len(x), len(self.words), -1)
         return cell, np.stack([nearest(rest[:, m], w) for m, w in enumerate(self.words)], 1).astype(np.uint8)
 
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors for which centroids and codewords stand."""
+        return self.centroids[cell] + self.words[np.arange(len(self.words)), codes].reshape(len(codes), -1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with all codewords: query, subspace, codeword."""
         return np.einsum("qmd,mwd->qmw", q.reshape(len(q), len(self.words), -1), self.words)
@@ -70,8 +75,8 @@ def _encoded(shared, key: str):
     return run
 
 
-def _probed(shared, cell_shards, probes: int, groups: int, key: str):
-    """One row for each query and shard that holds a probed cell."""
+def _probed(shared, cell_shards, sizes: np.ndarray, probes: int, k: int, groups: int, key: str):
+    """One row for each query and shard that holds a probed cell; cells hold k rows beside the query or are all probed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, shards = shared.value, cell_shards.value
@@ -79,11 +84,12 @@ def _probed(shared, cell_shards, probes: int, groups: int, key: str):
             for lo in range(0, len(f), 1000):
                 part = f.iloc[lo : lo + 1000]
                 q = np.array(part["vector"].tolist(), np.float64)
-                best = np.argsort(-(q @ index.centroids.T), 1, kind="stable")[:, :probes]
+                best = np.argsort(-(q @ index.centroids.T), 1, kind="stable")
+                most = np.maximum(probes, (np.cumsum(sizes[best], 1) <= k).sum(1) + 1)
                 out = {"query_id": [], "shard": [], "part": [], "cells": [], "raw": []}
-                for i, raw, cells in zip(part[key].tolist(), packed(part["vector"], index.dtype), best.tolist(), strict=True):
+                for i, raw, cells, m in zip(part[key].tolist(), packed(part["vector"], index.dtype), best.tolist(), most.tolist(), strict=True):
                     at: dict[int, list[int]] = {}
-                    for c in cells:
+                    for c in cells[:m]:
                         for s in shards[c]:
                             at.setdefault(s, []).append(c)
                     for s, own in at.items():
@@ -103,6 +109,8 @@ def _searched(shared, k: int, rerank: int):
             ids, cell = rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
             codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
             x = matrix(rows["raw"], index.dtype)
+            error = np.linalg.norm(x - index.decode(cell, codes), axis=1)
+            longest = np.linalg.norm(x, axis=1).max()
             members = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
             step = max(1, 4_000_000 // len(rows))
             for lo in range(0, len(queries), step):
@@ -127,11 +135,15 @@ def _searched(shared, k: int, rerank: int):
                 best = np.argsort(-near, 1, kind="stable")[:, :n]
                 exact = np.einsum("qd,qnd->qn", q, x[best])
                 exact[np.take_along_axis(near, best, 1) == -np.inf] = -np.inf
-                top = np.lexsort((ids[best], -exact))[:, :k]
-                score = np.take_along_axis(exact, top, 1)
-                hit = np.take_along_axis(ids[best], top, 1)
-                keep = score > -np.inf
-                found.append(pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "vec_id": hit[keep], "score": score[keep]}))
+                # no row below the k-th exact score by more than its own error can belong to the best
+                least = -np.sort(-exact, 1)[:, k - 1] if n >= k else np.full(len(part), -np.inf)
+                norm = np.linalg.norm(q, axis=1)
+                may = near + norm[:, None] * error[None, :] + (1e-5 * norm * longest)[:, None] >= least[:, None]
+                for i, row in enumerate(may & (near > -np.inf)):
+                    at = np.flatnonzero(row)
+                    score = np.einsum("d,nd->n", q[i], x[at])
+                    top = np.lexsort((ids[at], -score))[:k]
+                    found.append(pd.DataFrame({"query_id": np.repeat(own[i : i + 1], len(top)), "vec_id": ids[at][top], "score": score[top]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
     return run
@@ -192,7 +204,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
 
     The index is fitted on about SAMPLE rows chosen by a hash and holds every row. The
     number of probed cells is measured, not set: exact neighbours of AUDIT queries must
-    lie in probed cells at the rate `recall`. Cells are laid out in shards of bounded size
+    lie in probed cells at the rate `recall`, and each query probes on until its cells hold k
+    other rows. Of the rows of probed cells none of the best is lost: tables leave out only rows
+    that their quantisation error keeps from the k best, however many are near copies. Cells are laid out in shards of bounded size
     (a hot cell in several) and queries meet shards in groups of bounded size.
     """
     spark = vectors.sparkSession
@@ -213,12 +227,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     probes = probes_for(index, coded, audit, k, recall)
     sizes = {r[0]: r[1] for r in coded.groupBy("cell").count().collect()}
     per_shard = max(64, min(SHARD_ROWS, -(-n // LEAST_SHARDS)))
+    held = np.array([sizes.get(c, 0) for c in range(len(index.centroids))])
     layout, _ = shard_cells(sizes, len(index.centroids), per_shard)
     first, pieces = (F.array(*map(F.lit, x)) for x in ([s[0] for s in layout], [len(s) for s in layout]))
     groups = max(1, -(-n_asked // GROUP_QUERIES))
     at = F.col("cell") + 1
     placed = coded.withColumn("shard", F.element_at(first, at) + F.pmod(F.xxhash64("vec_id"), F.element_at(pieces, at)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    probed = asked.mapInPandas(_probed(shared, spark.sparkContext.broadcast(layout), probes, groups, key), f"query_id {kind}, shard int, part int, cells array<int>, raw binary")
+    probed = asked.mapInPandas(_probed(shared, spark.sparkContext.broadcast(layout), held, probes, k, groups, key), f"query_id {kind}, shard int, part int, cells array<int>, raw binary")
     found = placed.groupBy("shard", "part").cogroup(probed.groupBy("shard", "part")).applyInPandas(_searched(shared, k, rerank), f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
