@@ -4,7 +4,7 @@ import pytest
 from veilspark.functions.budget import Ledger
 from veilspark.operators import evaluate, graphical, partition, synthesize
 from veilspark.plans.domain import Domain, all_cliques
-from veilspark.queries import QUERIES
+from veilspark.queries import LINE_DOMAIN, QUERIES, coded_lines
 
 SF = "/root/testdata/sf0.001"
 D = Domain({"a": 2, "b": 3, "c": 4, "d": 3})
@@ -113,3 +113,12 @@ def test_record_updates_move_rows_to_the_targets(spark):
     after = records.updated(rows, D, targets, rounds=3)
     assert after.count() == 4000 and error(after) < 0.5 * error(rows)
     assert len(records.separated([("a", "b"), ("c", "d"), ("b", "x")])) == 2
+
+
+@pytest.mark.parametrize(("name", "attrs", "most"), [("gum_synth", ["flag", "status", "line", "tax"], 0.014), ("aim_synth", list(LINE_DOMAIN), 0.113)])
+def test_synthetic_marginals_reach_their_targets(spark, name, attrs, most):
+    from veilspark.operators import records
+
+    domain = LINE_DOMAIN.project(attrs)
+    targets, counts = (synthesize.datavectors(df, domain, all_cliques(domain, 2)) for df in (coded_lines(spark, SF), QUERIES[name](spark, SF)))
+    assert records.total_error(counts, targets) <= most * sum(x.sum() for x in counts.values())

@@ -49,15 +49,29 @@ def moved(df: DataFrame, domain: Domain, clique: Clique, target: np.ndarray, cou
     return rows.withColumns(codes).select(*df.columns)
 
 
-def updated(df: DataFrame, domain: Domain, targets: Mapping[Clique, np.ndarray], rounds: int = 3, alpha: float = 1.0, decay: float = 0.6, seed: str = "move") -> DataFrame:
-    """Passes over all target marginals with decreasing step; each step counts its marginal and settles the rows."""
+#: Passes at most, as in the reference.
+MOST_ROUNDS = 50
+
+
+def total_error(counts: Mapping[Clique, np.ndarray], targets: Mapping[Clique, np.ndarray]) -> float:
+    """L1 distance of all counts from the targets scaled to as many rows."""
+    return float(sum(np.abs(counts[c] - t * counts[c].sum() / max(t.sum(), 1e-12)).sum() for c, t in targets.items()))
+
+
+def updated(df: DataFrame, domain: Domain, targets: Mapping[Clique, np.ndarray], rounds: int = MOST_ROUNDS, alpha: float = 1.0, decay: float = 0.6, seed: str = "move") -> DataFrame:
+    """Passes over all target marginals with decreasing step until their total error stops falling; each step counts its marginal and settles the rows."""
     from .synthesize import datavectors
 
+    best, least = df, total_error(datavectors(df, domain, list(targets)), targets)
     for k in range(rounds):
         for clique, target in targets.items():
             counts = datavectors(df, domain, [clique])[clique]
             df = settled(moved(df, domain, clique, target, counts, alpha * decay**k, f"{seed}{k}{','.join(clique)}"), "records")
-    return df
+        error = total_error(datavectors(df, domain, list(targets)), targets)
+        if error >= least:
+            break
+        best, least = df, error
+    return best
 
 
 def separated(cliques: Sequence[Clique]) -> list[list[Clique]]:

@@ -590,7 +590,7 @@ def aim_synth(spark, sf_dir):
     """As many synthetic line items as the noisy total, by adaptive measurement of two-way marginals."""
     from .operators import synthesize
 
-    model, _ = synthesize.aim(coded_lines(spark, sf_dir), LINE_DOMAIN, synthesize.two_way_workload(LINE_DOMAIN), RHO, rounds=8, rng=_generator())
+    model, _ = synthesize.aim(coded_lines(spark, sf_dir), LINE_DOMAIN, synthesize.two_way_workload(LINE_DOMAIN), RHO, rng=_generator())
     return synthesize.sample(spark, model, round(model.total))
 
 
@@ -669,7 +669,7 @@ def gum_synth(spark, sf_dir):
     measure = synthesize.Measurer(answers, ledger, _generator())
     found = {c: measure(c, RHO / len(answers)).counts for c in answers}
     rows = records.start(spark, domain, {a: found[a,] for a in domain}, max(1, round(float(found["line",].sum()))))
-    return records.updated(rows, domain, {c: found[c] for c in pairs}, rounds=1)
+    return records.updated(rows, domain, {c: found[c] for c in pairs})
 
 
 @register("""with o as (select distinct p_retailprice v from part), s as (select o_orderkey, 900 + o_totalprice / 500 as x from orders),
