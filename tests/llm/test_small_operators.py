@@ -121,10 +121,9 @@ def brute_licenses(text):
 
 
 def test_license_scan(spark):
-    gpl = license_scan.TEMPLATES["gpl"][0]
-    texts = [r[1] for r in EDGE] + ["CC BY-NC 4.0 cc by apache, LICENSE gnu general public GNU General Public License; mit", "x " + gpl + " y", gpl.replace("redistribute", "share"), "MIT license mit MIT License éÉ", license_scan.TEMPLATES["bsd"][0]]
+    gpl, bsd = license_scan.TEMPLATES["gpl"][0][0], license_scan.TEMPLATES["bsd"][0][0]
+    texts = [r[1] for r in EDGE] + ["CC BY-NC 4.0 cc by apache, LICENSE gnu general public GNU General Public License; mit", "x " + gpl + " y", gpl.replace("redistribute", "share"), "MIT license mit MIT License éÉ", bsd]
     docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
-    docs.createOrReplaceTempView("license_docs")
     found = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
     for i, text in enumerate(texts):
         r = found[i]
@@ -135,10 +134,73 @@ def test_license_scan(spark):
     assert share(n + 1, "gpl") == 1.0 and 0.9 < share(n + 2, "gpl") < 1 and share(n + 4, "bsd") == 1.0 and share(0, "gpl") == 0
 
 
+def named(text):
+    automaton = license_scan._automaton()
+    return {x[0] for x in automaton.spans(automaton.scan(text)[2]) if x[-1]}
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("The film was released under the title Night Train in 1962", set()),
+    ("Released under the Apache License 2.0", set()),  # the base phrase alone
+    ("This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", {"cc-by-sa"}),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by"}),
+    ("as is basis without warranties or conditions of any kind either express or implied", set()),
+    ("you can redistribute it and or modify it under the terms of our house rules as published by the club, either version 3 of the rules or any later version", set()),
+    ("the above copyright notice and this permission notice must be kept", set()),
+    ("Anyone may copy, modify, publish, use or sell this, either in source code form or as a compiled binary, for any purpose and by any means.", set()),
+])
+def test_labels_need_a_telling_phrase(text, labels):
+    assert named(text) == labels
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.TEMPLATES))
+def test_whole_licences_have_their_own_label_alone(label):
+    rng = random.Random(3)
+    for text, _ in license_scan.TEMPLATES[label]:
+        assert named("before it " + text + " after") == {label}
+        words = text.split()
+        if len(words) > 60:  # a word in forty changed
+            assert named(" ".join("edited" if rng.random() < 0.025 else w for w in words)) == {label}
+
+
+def brute_chain(found, telling, gap):
+    """(told, words) of the best chain of one template's matches, over all sequences of them."""
+    found, best = sorted(set(found)), (False, 0)
+
+    def go(last, words, told):
+        nonlocal best
+        best = max(best, (told, words))
+        for m in found:
+            at, i, n = m
+            over = max(0, last[0] + last[2] - at, last[1] + last[2] - i)
+            if (i, at) > (last[1], last[0]) and i <= last[1] + last[2] + gap and at <= last[0] + last[2] + gap and over < n and at + n > last[0] + last[2] and i + n > last[1] + last[2]:
+                go(m, words + n - over, told or any(at <= a and b < at + n for a, b in telling))
+
+    for at, i, n in found:
+        go((at, i, n), n, any(at <= a and b < at + n for a, b in telling))
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=16), st.lists(st.sampled_from("abcd"), min_size=4, max_size=12), st.integers(0, 8))
+def test_chains(text, template, tell):
+    phrase = " ".join(template[tell : tell + 2]) or template[0]
+    automaton = license_scan.LicenseAutomaton({"t": [(" ".join(template), (phrase,))]}, {})
+    # every maximal match: the longest piece of the template that ends at a word and does not go on
+    longest = [max((k for k in range(i + 2) if any(template[j : j + k] == text[i + 1 - k : i + 1] for j in range(len(template)))), default=0) for i in range(len(text))]
+    ends = [i for i, n in enumerate(longest) if n >= license_scan.LONG and (i + 1 == len(text) or longest[i + 1] <= n)]
+    want = {(0, j, i - longest[i] + 1, longest[i]) for i in ends for j in range(len(template)) if template[j : j + longest[i]] == text[i + 1 - longest[i] : i + 1]}
+    found = automaton.scan(" ".join(text))[2]
+    assert set(found) == want
+    got = automaton.spans(found)
+    told, words = brute_chain([x[1:] for x in want], automaton.telling[0], license_scan.GAP)
+    assert [(x[3], x[5]) for x in got] == ([(words, told and words >= min(license_scan.ENOUGH, license_scan.SHARE * len(template)))] if want else [])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), min_size=1, max_size=4))
 def test_matching_statistics(text, templates):
-    automaton = license_scan.LicenseAutomaton({"t": [" ".join(t) for t in templates]}, {})
+    automaton = license_scan.LicenseAutomaton({"t": [(" ".join(t), ()) for t in templates]}, {})
     subs = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     codes = [automaton.vocabulary[w.encode()] for w in text]
     got = [n for _, n in automaton.statistics(codes)]

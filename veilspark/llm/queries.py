@@ -91,12 +91,12 @@ select doc_id, size, source_size, target, ((epochs + (upto - size / 2.0 <= budge
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
     starts, base = F.col("base.first_word"), F.col("base.label")
-    chained = F.transform(F.filter("spans", lambda x: x.share >= license_scan.SHARE), lambda x: x.label)
+    named = F.filter("spans", lambda x: x.named)
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    share = F.coalesce(F.array_max("spans.share"), F.lit(0.0))
+    share = F.coalesce(F.array_max(F.transform(named, lambda x: x.share)), F.lit(0.0))
     return found.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        joined(base).alias("base_labels"), joined(F.concat(base, chained)).alias("labels"), F.when(F.size("base") > 0, F.greatest(share, F.lit(0.5))).otherwise(share).alias("score"),
+        joined(base).alias("base_labels"), joined(F.concat(base, F.transform(named, lambda x: x.label))).alias("labels"), F.when(F.size("base") > 0, F.greatest(share, F.lit(0.5))).otherwise(share).alias("score"),
     )
 
 
