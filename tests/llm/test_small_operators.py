@@ -308,8 +308,23 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), size, quality).count() == 0
 
 
+def test_mix_of_null_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 50)  # groups of equal rows in several stretches
+    rows = [(None, "w " * 10, "en", "abc"[i % 3]) for i in range(600)] + [(7, "x y z", "en", "a")] * 100
+    docs = documents(spark, rows)
+    size, quality = queries.mix_columns()
+    for df in (mixing.mix(docs, size, quality).select("row.doc_id", "size", "target", "source_size", "taken"), mixing.mix(docs, size, quality, carry=("source",)).select("row.doc_id", "size", "target", "source_size", "taken")):
+        out = df.collect()
+        by = {}
+        for r in out:
+            by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+        assert len(out) == 700 and all(abs(sum(taken) - target) <= 10 for (_, target), taken in by.items())
+    again = mixing.repeated(docs, size, quality)
+    assert again.count() == sum(r["taken"] // r["size"] for r in out)
+
+
 def test_mix_cuts_follow_the_draws(spark):
-    rows = documents(spark, [(i, "w " * 10, "en", "abc"[i % 3]) for i in range(900)]).select(F.col("source"), F.lit(10).cast("long").alias("size"), mixing.draw(F.col("doc_id"), F.lit(1.0), "s").alias("draw"))
+    rows = documents(spark, [(i, "w " * 10, "en", "abc"[i % 3]) for i in range(900)]).select(F.col("source"), F.lit(10).cast("long").alias("size"), mixing.draw(F.lit(1.0), "s", F.col("doc_id")).alias("draw"))
     goal = spark.createDataFrame([("a", 3000, 1234.0), ("b", 3000, 3777.0), ("c", 3000, 0.0)], "source string, source_size long, target double")
     draws = {s: sorted(r["draw"] for r in rows.collect() if r["source"] == s) for s in "abc"}
     for r in mixing.cuts(rows, goal).collect():

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document draws an exponential key, -ln(u) / weight. Within a source the documents
+Each row draws an exponential key, -ln(u) / weight. Within a source the rows
 with the smallest keys are taken until their sizes fill the source's token budget. Whole
 epochs come first; only the rest of a budget selects.
 """
@@ -15,14 +15,42 @@ from .shared import written
 #: Bits of a draw's place that one pass over the draws settles, and passes.
 BITS, PASSES = 10, 2
 PLACES = 1 << BITS * PASSES
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 100_000
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number in (0, 1) from the first 52 bits of md5(seed|key), alike in every engine."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
+def uniform(seed: str, *keys: Column) -> Column:
+    """A number in (0, 1) from the first 52 bits of md5(seed|keys), alike in every engine."""
+    text = [F.coalesce(k.cast("string"), F.lit("null")) for k in keys]
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *text)), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(2**52))
 
 
+def numbered(rows: DataFrame, narrow: DataFrame, by: list[str]) -> DataFrame:
+    """`rows` with `occurrence`: rows that are equal in the columns `by` count from 1, in any order.
+
+    `narrow` holds the same rows with the columns `by` alone, in a table. Rows without an equal
+    one, nearly all, do not move. The others are dealt into stretches of bounded size before
+    they are numbered, so a row that fills a third of the table is never in one task.
+    """
+    again = narrow.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    again = written(again.select(*[F.col(c).alias(f"_{c}") for c in by], F.ceil(F.col("n") / EQUAL_ROWS).cast("int").alias("_stretches")), "mix-again")
+    if again.isEmpty():
+        return rows.withColumn("occurrence", F.lit(1).cast("long"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    extra = [f"_{c}" for c in by]
+    marked = rows.join(again, same, "left")
+    alone = marked.where("_stretches is null").drop(*extra, "_stretches").withColumn("occurrence", F.lit(1).cast("long"))
+    dealt = written(marked.where("_stretches is not null").withColumn("_stretch", F.pmod(F.monotonically_increasing_id(), F.col("_stretches")).cast("int")).drop("_stretches"), "mix-equal")
+    sizes = dealt.groupBy(*extra, "_stretch").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*extra).orderBy("_stretch")) - F.col("_n")).drop("_n")
+    before = before.toDF(*[f"_{c}" for c in before.columns])
+    place = F.row_number().over(Window.partitionBy(*extra, "_stretch").orderBy(F.lit(1)))
+    found = dealt.withColumn("occurrence", place.cast("long")).join(before, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*extra, "_stretch"]])
+    found = found.withColumn("occurrence", F.col("occurrence") + F.col("__before"))
+    return alone.unionByName(found.select(*alone.columns))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target from source, source_size.
 
@@ -44,9 +72,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def draw(key: Column, quality: Column, seed: str) -> Column:
+def draw(quality: Column, seed: str, *keys: Column) -> Column:
     """The exponential key; a quality that is null or not above 0 counts as 1e-6."""
-    return -F.log(uniform(key, seed)) / F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-6))
+    return -F.log(uniform(seed, *keys)) / F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-6))
 
 
 def place(drawn: Column) -> Column:
@@ -81,26 +109,31 @@ def cuts(rows: DataFrame, goal: DataFrame) -> DataFrame:
     return written(edge.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(*names[:4], "place", "cut"), "mix-cuts")
 
 
-def mix(docs: DataFrame, size: Column, quality: Column, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", source: str = "source", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, size: Column, quality: Column, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """row, size, source_size, target, times (how often the mix takes it) and taken (its words, repeats counted) of every document.
 
     row is a struct of the key and the columns named in `carry`. `size` (null: 0) and `quality` are columns of `docs`. A document of the fractional
     epoch is selected if half of it or more lies within the rest of its source's budget,
-    so a source's taken words miss its target by half a document at most; rows with equal
-    draws (repeated rows) go together. Texts never move: a narrow table of source, size
-    and draw is written once and summed by digits of the draw, so a hot source is never
+    so a source's taken words miss its target by half a document at most. Every row has a draw
+    of its own, from `seed`, its key, a digest of its text and, among rows equal in both, their number: null and
+    repeated keys and repeated rows are selected one by one. Texts never move: a narrow table of source, size
+    and draw is written and summed by digits of the draw, so a hot source is never
     in one task, and the cuts, one row for each source, are joined to the documents. A
-    null source is a source of its own; an empty table gives an empty result. The
-    draw depends on `seed` and the key alone.
+    null source is a source of its own; an empty table gives an empty result.
     """
     name = [F.col(c) for c in dict.fromkeys([key, *carry])]
-    drawn = docs.select(F.struct(*name).alias("row"), F.col(source).alias("source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"), draw(F.col(key), quality, seed).alias("draw"))
-    narrow = written(drawn if not carry else drawn.drop("row"), "mix-rows")
-    goal = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    ends = cuts(narrow.select("source", "size", "draw"), goal).withColumnRenamed("source", "s")
+    weight = F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-6))
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.struct(*name).alias("row"), F.col(key).cast("string").alias("key"), F.col(source).alias("source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"), weight.alias("weight"), digest.alias("digest"))
+    by = ["key", "source", "digest"]
+    narrow = written(rows if not carry else rows.drop("row"), "mix-narrow")
+    drawn = lambda x: numbered(x, narrow.select(*by), by).withColumn("draw", draw(F.col("weight"), seed, F.col("key"), F.col("digest"), F.col("occurrence"))).drop("key", "digest", "weight", "occurrence")
+    narrow_drawn = written(drawn(narrow), "mix-rows")
+    goal = targets(narrow_drawn.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    ends = cuts(narrow_drawn.select("source", "size", "draw"), goal).withColumnRenamed("source", "s")
     chosen = (place(F.col("draw")) < F.col("place")) | ((place(F.col("draw")) == F.col("place")) & (F.col("draw") <= F.col("cut")))
     times = F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long")
-    out = (drawn if carry else narrow).join(ends, F.col("source").eqNullSafe(F.col("s")))
+    out = (drawn(rows) if carry else narrow_drawn).join(ends, F.col("source").eqNullSafe(F.col("s")))
     return out.select("row", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 

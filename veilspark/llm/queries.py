@@ -64,11 +64,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = f"""
-with rows as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::bigint as size,
-    -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
-      / greatest(coalesce(greatest(0.05::double, 1 - 2 * len(regexp_extract_all(text, '{ODD}'))::double / greatest(length(text), 1)), 0.000001::double), 0.000001::double) as draw
+with texts as (
+  select doc_id, source, md5(coalesce(text, '')) as digest, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::bigint as size,
+    greatest(coalesce(greatest(0.05::double, 1 - 2 * len(regexp_extract_all(text, '{ODD}'))::double / greatest(length(text), 1)), 0.000001::double), 0.000001::double) as weight
   from documents),
+numbered as (select *, row_number() over (partition by doc_id, source, digest) as occurrence from texts),
+rows as (
+  select doc_id, source, size, -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null') || '|' || digest || '|' || occurrence), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / weight as draw
+  from numbered),
 sizes as (select source, sum(size)::bigint as source_size from rows group by source),
 weighed as (
   select *, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, 2.0::double * source_size as cap from sizes),
