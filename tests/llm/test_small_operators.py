@@ -72,6 +72,16 @@ def test_bpe_on_any_text(tik, encoder, text):
     assert ids.tolist() == tik.encode_ordinary(text) and encoder.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "eéñ日"])
+def test_bpe_of_long_pieces(encoder, tik, letters):
+    rng = random.Random(5)
+    for n in (bpe.WIDE + 1, 3000, 20_000):
+        text = "".join(rng.choices(letters, k=n))
+        assert encoder.encode([text])[0].tolist() == tik.encode_ordinary(text)
+    long = "".join(rng.choices(letters, k=300_000))  # no quadratic work
+    assert encoder.decode(encoder.encode([long])[0]) == long.encode()
+
+
 def test_bpe_memory_of_pieces_is_bounded(encoder, tik, monkeypatch):
     monkeypatch.setattr("veilspark.llm.pieces.REMEMBERED", 50)
     rng = random.Random(4)

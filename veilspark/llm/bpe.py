@@ -11,6 +11,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .words import runs, texts_of
 NO_PAIR = np.int32(2**31 - 1)
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1_000_000
-#: Rows longer than this are merged one at a time and in place.
+#: Rows longer than this are merged one at a time by a heap.
 WIDE = 512
 
 
@@ -146,21 +147,42 @@ class ByteBPE:
         return tuple(map(np.concatenate, (of, flat, counts)))
 
     def _merge_row(self, row: np.ndarray) -> np.ndarray:
-        ids = self.byte_id[row].copy()
-        rank = self.rank_of(ids[:-1], ids[1:])
+        """A long row: a heap holds its pairs by rank and place, links skip merged places; about n log n steps."""
+        ids = self.byte_id[row].tolist()
         n = len(ids)
-        while n > 1:
-            j = int(rank[: n - 1].argmin())
-            if rank[j] == NO_PAIR:
-                break
-            ids[j] = rank[j]
-            ids[j + 1 : n - 1] = ids[j + 2 : n]
-            rank[j : n - 2] = rank[j + 1 : n - 1]
-            n -= 1
-            near = [k for k in (j - 1, j) if 0 <= k < n - 1]
-            if near:
-                rank[near] = self.rank_of(ids[near], ids[[k + 1 for k in near]])
-        return ids[:n]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        first = self.rank_of(self.byte_id[row[:-1]], self.byte_id[row[1:]])
+        known: dict[tuple[int, int], int] = {}
+        at = np.flatnonzero(first != NO_PAIR)
+        heap = [(r << 32) | i for r, i in zip(first[at].tolist(), at.tolist(), strict=True)]
+        heapify(heap)
+
+        def offer(i: int) -> None:
+            rank = self._rank(known, ids[i], ids[after[i]])
+            if rank != NO_PAIR:
+                heappush(heap, (rank << 32) | i)
+
+        while heap:
+            best = heappop(heap)
+            rank, i = best >> 32, best & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n or self._rank(known, ids[i], ids[j]) != rank:
+                continue  # one of the pair has merged since
+            ids[i], ids[j] = rank, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out = np.array(ids, np.int32)
+        return out[out >= 0]
+
+    def _rank(self, known: dict[tuple[int, int], int], left: int, right: int) -> int:
+        rank = known.get((left, right))
+        if rank is None:
+            rank = known[left, right] = int(self.rank_of(np.array([left], np.int32), np.array([right], np.int32))[0])
+        return rank
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; every match of the pattern is encoded separately."""

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that the innermost scratch() is to remove.
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine if driver and executors are one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -21,5 +29,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _paths.get()) is not None:
+        paths.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what is to outlive them is written after it, see `settled`."""
+    paths: list[str] = []
+    token = _paths.set(paths)
+    try:
+        yield
+    finally:
+        _paths.reset(token)
+        for at in paths:
+            removed(spark, at)
+
+
+def settled(make, spark: SparkSession, name: str) -> DataFrame:
+    """The rows of make() as a table; all tables that make() writes on the way are removed."""
+    outer = _paths.get()
+    with scratch(spark):
+        rows = make()
+        inner = _paths.set(outer)
+        try:
+            return written(rows, name)
+        finally:
+            _paths.reset(inner)
