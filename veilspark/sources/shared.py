@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir (a folder of this machine only where that is unset, as in tests) and read back."""
+    """The rows, written to the folder of spark.checkpoint.dir and read back.
+
+    Where that is unset, a folder of this machine serves if driver and executors are one process; on a cluster it is an error.
+    """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
