@@ -218,35 +218,47 @@ def test_matching_statistics(text, templates):
 
 
 def brute_phrases(sample, text):
-    """Greedy longest phrases, stretch by stretch."""
-    count = 0
-    for lo in range(0, len(text), langid.STRETCH):
-        part, i = text[lo : lo + langid.STRETCH], 0
-        first = True
-        while i < len(part):
-            n = 0
-            while i + n < len(part) and part[i : i + n + 1] in sample:
-                n += 1
-            count += not first
-            first = False
-            i += max(1, n)
+    """Greedy longest phrases of the whole text."""
+    count = i = 0
+    while i < len(text):
+        n = 0
+        while i + n < len(text) and text[i : i + n + 1] in sample:
+            n += 1
+        count += 1
+        i += max(1, n)
     return count
 
 
-def test_cross_parsing():
+@pytest.mark.parametrize("stretch", [7, 64, 1024])
+def test_cross_parsing(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
     rng = random.Random(2)
-    sample = "".join(rng.choices("abc d", k=400))
-    parser = langid.train({"x": [sample]})
+    samples = {"x": ["".join(rng.choices("abc d", k=400)), "aaaaa"], "y": ["".join(rng.choices("abe", k=300))]}
+    parser = langid.train(samples)
     table = parser.classes()
     words = lambda t: "".join(" " if c == 0 else chr(int(c) + 96) for c in langid.symbols(t, table))
-    for n in (1, 30, 1500, 3000):
-        text = "".join(rng.choices("abcde f", k=n))
-        got, lengths, _ = langid.phrases(parser, table, [text])
+    texts = ["".join(rng.choices("abcde f", k=n)) for n in (1, 30, 1500, 3000)] + ["", "a" * 2500, "ab" * 900, "zz!z"]
+    got, lengths, letters = langid.phrases(parser, table, texts)
+    for i, text in enumerate(texts):
         clean = words(text)
-        assert lengths[0] == len(clean)
-        unknown = chr(parser.width - 1 + 96)
-        want = brute_phrases(words(sample) + " ", clean)
-        assert abs(got[0][0] - want) <= clean.count(unknown) + 1
+        assert lengths[i] == len(clean) and letters[i] == any(map(str.isalpha, text))
+        for j, lang in enumerate(parser.langs):
+            assert got[j][i] == brute_phrases("".join(words(s) + " " for s in samples[lang]), clean)
+
+
+def test_language_models_of_large_alphabets_stay_small():
+    rng = random.Random(4)
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x4E00 + 3000)) for _ in range(2000)) for _ in range(32)]
+    english = [" ".join(rng.choices("the of and that with this".split(), k=400)) for _ in range(32)]
+    parser = langid.train({"zh": chinese, "en": english})
+    assert parser.goto.nbytes + parser.first.nbytes < 50_000_000
+    assert parser.langs[langid.predictions(parser, parser.classes(), [chinese[0][:300]])[0][0]] == "zh"
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices(f"abc{chr(0x4E00 + i % 80)}", k=5)) for _ in range(30)), f"l{i % 80}", "s") for i in range(400)]
+    assert len(langid.fit(documents(spark, rows)).langs) == 80
 
 
 def test_language_id(spark):
@@ -259,6 +271,9 @@ def test_language_id(spark):
     assert out[900]["lang_pred"] == out[901]["lang_pred"] == "und" and out[902]["lang_pred"] in ("en", "de")
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert langid.drop_undetermined(docs, queries.language_model(docs)).count() == 81
+    odd = documents(spark, [(1, rows[0][1], "en", "s"), (2, "qzxkw jvpqy zzxqj kkqvw " * 10, "en", "s"), (3, "short qzx", "en", "s"), (4, "", "en", "s")])
+    assert sorted(r["doc_id"] for r in langid.drop_undetermined(odd, queries.language_model(docs)).collect()) == [1, 3]
+    assert langid.drop_undetermined(docs, langid.fit(docs.limit(0))).count() == 81  # nothing learned: all with letters stay
     nothing = langid.fit(docs.limit(0))
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 

@@ -15,31 +15,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import NO_PAIR, PairTable
 from .words import runs, texts_of
 
 UNDETERMINED = "und"
-#: A text is parsed in stretches of so many characters, all stretches of a batch side by side.
+#: A text is parsed in stretches of so many characters, all stretches of a batch side by side; phrases run on across them.
 STRETCH = 1024
-#: Learned from each language at most: documents (in expectation), characters of one document, characters in all.
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 96, 8000, 40_000
-#: Languages with the most labelled documents that are learned.
-LANGUAGES = 64
+#: Learned from each language: passages (in expectation, from everywhere in its labelled texts) of so many characters at most.
+PASSAGES, PASSAGE_CHARS = 32, 2000
+#: A text of LEAST symbols or more that needs WORST times as many phrases as unseen text of its best language is in none of the languages.
+LEAST, WORST = 64, 2.0
+#: Symbols of all languages of a group that are parsed at once.
+GROUP_SYMBOLS = 24_000_000
 SPACE = 0
+#: A state without transitions; automata of all languages share one table and number their states from 1.
+DEAD = 0
 
 
 @dataclass
 class CrossParser:
-    """Automata of all languages in one table: goto[state * width + symbol], 0 where there is no transition."""
+    """Automata of all languages in one table of transitions, (state, symbol) to state."""
 
     langs: list[str]
     alphabet: str
-    goto: np.ndarray
-    roots: np.ndarray
-    width: int
+    goto: PairTable
+    first: np.ndarray  # language x symbol: the state after a phrase's first symbol
+    usual: np.ndarray  # phrases for each symbol in unseen text of the language
+
+    @property
+    def width(self) -> int:
+        return len(self.alphabet) + 2
 
     def classes(self) -> np.ndarray:
         """Symbol of each code point: 0 unless a letter, 1.. for the alphabet, width - 1 for other letters."""
-        table = np.zeros(0x110000, np.int16)
+        table = np.zeros(0x110000, np.int32)
         letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         table[letters] = self.width - 1
         for i, c in enumerate(self.alphabet, 1):
@@ -80,72 +89,125 @@ def _automaton(sequence: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
-def train(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> CrossParser:
-    """Automata of the samples' first `chars` symbols of each language."""
+def train(samples: dict[str, list[str]]) -> CrossParser:
+    """Automata of each language's passages; every fourth is first left out to see how unseen text parses."""
     langs = sorted(samples)
     alphabet = "".join(sorted({c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha()}))
-    width = len(alphabet) + 2
-    parser = CrossParser(langs, alphabet, np.empty(0, np.int32), np.empty(0, np.int64), width)
+    parser = CrossParser(langs, alphabet, PairTable(*[np.empty(0, np.int32)] * 3), np.zeros((len(langs), len(alphabet) + 2), np.int64), np.ones(len(langs)))
     table = parser.classes()
-    roots, base = [], 1  # state 0: no transition
-    goto = np.zeros((1 + 2 * chars * len(langs), width), np.int32)  # as many states as there can be; unused ones cost nothing
-    for lang in langs:
-        sequence: list[int] = []
-        for text in samples[lang]:
-            sequence += [*symbols(text, table).tolist(), SPACE]
-            if len(sequence) >= chars:
-                break
-        states = _automaton([c for c in sequence[:chars] if c < width - 1])
-        for s, to in enumerate(states, base):
-            goto[s, list(to)] = [base + t for t in to.values()]
-        roots.append(base)
-        base += len(states)
-    parser.goto, parser.roots = goto[:base].ravel(), np.array(roots, np.int64)
+    usual = np.ones(len(langs))
+    for i, lang in enumerate(langs):
+        known, unseen = [x for j, x in enumerate(samples[lang]) if j % 4], samples[lang][::4]
+        if known:
+            n, lengths, _ = phrases(_built(parser, {lang: known}, table), table, unseen)
+            usual[i] = n.sum() / max(1, lengths.sum())
+    parser = _built(parser, samples, table)
+    parser.usual = usual
     return parser
 
 
+def _built(empty: CrossParser, samples: dict[str, list[str]], table: np.ndarray) -> CrossParser:
+    langs, width, base, parts = sorted(samples), empty.width, 1, []
+    first = np.full((len(langs), width), DEAD, np.int64)
+    for i, lang in enumerate(langs):
+        states = _automaton([c for text in samples[lang] for c in [*symbols(text, table).tolist(), SPACE] if c < width - 1])
+        counts = np.fromiter(map(len, states), np.int64, len(states))
+        total = int(counts.sum())
+        on = np.fromiter((c for s in states for c in s), np.int32, total)
+        to = np.fromiter((t for s in states for t in s.values()), np.int32, total) + base
+        parts.append((np.repeat(np.arange(base, base + len(states), dtype=np.int32), counts), on, to))
+        first[i, on[: counts[0]]] = to[: counts[0]]
+        base += len(states)
+    table_of = PairTable(*map(np.concatenate, zip(*parts, strict=True))) if parts else empty.goto
+    return CrossParser(langs, empty.alphabet, table_of, first, np.ones(len(langs)))
+
+
+def _walk(parser: CrossParser, flat: np.ndarray, state: np.ndarray, lang: np.ndarray, start: np.ndarray, size: np.ndarray, begins: np.ndarray, stop: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Parses each lane's stretch on from its state and marks in `begins` where phrases begin; (last states, lanes parsed to their end).
+
+    With `stop`, a lane ends where a phrase begins that began there before: from there on all is as it was.
+    """
+    n, total = len(parser.langs), len(flat)
+    state, done = state.copy(), np.ones(len(state), bool)
+    order = np.argsort(-size, kind="stable")
+    ends = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")
+    live = order
+    for t, upto in enumerate(ends.tolist()):
+        live = live[:upto] if not stop else live[size[live] > t]
+        if not len(live):
+            break
+        at = start[live] + t
+        c, of = flat[at], lang[live]
+        to = parser.goto.flat(state[live], c)
+        anew = to == NO_PAIR
+        place = of * total + at if n > 1 else at
+        if stop:
+            met = anew & begins[place]
+            if met.any():
+                done[live[met]] = False
+                on = ~met
+                live, place, of, c, to, anew = live[on], place[on], of[on], c[on], to[on], anew[on]
+        begins[place] = anew
+        state[live] = np.where(anew, parser.first[of, c], to)
+    return state, done
+
+
 def phrases(parser: CrossParser, table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrases of each language and text, symbols of each text, whether it has a letter)."""
+    """(greedy phrases of each language and text, symbols of each text, whether it has a letter).
+
+    All stretches are parsed at once as if a phrase began with each. Then each goes on from
+    the state in which the one before it ended, up to where both parses begin a phrase
+    together, and again for stretches whose forerunner then ended otherwise. In the end no stretch
+    shows in the result: it is that of parsing each whole text from its first symbol.
+    """
     parts = [symbols(x, table) for x in texts]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     letters = np.fromiter((bool((x != SPACE).any()) for x in parts), bool, len(parts))
     flat = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+    out = np.zeros((len(parser.langs), len(parts)), np.int64)
     pieces = -(-lengths // STRETCH)
     owner = np.repeat(np.arange(len(parts)), pieces)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = (np.cumsum(lengths) - lengths)[owner] + within * STRETCH
     size = np.minimum(STRETCH, lengths[owner] - within * STRETCH)
-    order = np.argsort(-size, kind="stable")
-    start, size, owner = start[order], size[order], owner[order]
-    live = np.searchsorted(-size, -np.arange(STRETCH), "left")  # stretches longer than t
-    k = len(parser.langs)
-    width, first = parser.width, parser.goto.reshape(-1, parser.width)[parser.roots]
-    state = np.repeat(parser.roots[:, None], len(order), 1) * width
-    count = np.zeros((k, len(order)), np.int64)
-    for t in range(int(size[0]) if len(size) else 0):
-        n = live[t]
-        c = flat[start[:n] + t]
-        to = parser.goto.take(state[:, :n] + c)
-        stuck = to == 0
-        count[:, :n] += stuck
-        anew = first[:, c]
-        anew = np.where(anew == 0, parser.roots[:, None], anew)
-        state[:, :n] = np.where(stuck, anew, to) * np.int64(width)
-    out = np.zeros((k, len(parts)))
-    for lang in range(k):
-        out[lang] = np.bincount(owner, count[lang], len(parts))
+    step = max(1, GROUP_SYMBOLS // max(1, len(flat)))
+    for lo in range(0, len(parser.langs), step):
+        some = CrossParser(parser.langs[lo : lo + step], parser.alphabet, parser.goto, parser.first[lo : lo + step], parser.usual)
+        k, m = len(some.langs), len(owner)
+        lane = lambda x: np.tile(x, k)  # noqa: B023, E731
+        lang, starts, sizes = np.repeat(np.arange(k), m), lane(start), lane(size)
+        begins = np.zeros(k * len(flat), bool)
+        state, _ = _walk(some, flat, np.full(k * m, DEAD), lang, starts, sizes, begins, False)
+        changed = np.arange(k * m)
+        while True:
+            follow = changed + 1
+            follow = follow[follow < k * m]
+            follow = follow[lane(within)[follow] > 0]
+            if not len(follow):
+                break
+            ended, whole = _walk(some, flat, state[follow - 1], lang[follow], starts[follow], sizes[follow], begins, True)
+            changed = follow[whole & (ended != state[follow])]
+            state[follow[whole]] = ended[whole]
+        sums = np.concatenate([[0], np.cumsum(begins)])
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        for i in range(k):
+            at = sums[i * len(flat) + bounds]
+            out[lo + i] = at[1:] - at[:-1]
     return out, lengths, letters
 
 
-def predictions(parser: CrossParser, table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each text's language, len(langs) for none; score)."""
+def predictions(parser: CrossParser, table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each text's language, len(langs) for none; score; phrases as a multiple of what is usual in that language)."""
     if not parser.langs:
-        return np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        return np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.where([any(map(str.isalpha, x)) for x in texts], 0.0, np.inf)
     n, lengths, letters = phrases(parser, table, texts)
-    per = (n + 1) / np.maximum(1, lengths)
+    per = n / np.maximum(1, lengths)
     two = np.sort(per, 0)[:2]
-    score = 1 - two[0] / two[1] if len(two) > 1 else np.ones(len(texts))
-    return np.where(letters, per.argmin(0), len(parser.langs)), np.where(letters, score, 0.0)
+    with np.errstate(invalid="ignore"):
+        score = np.where(letters, 1 - two[0] / two[1], 0.0) if len(two) > 1 else np.ones(len(texts))
+    lang = per.argmin(0)
+    strange = np.where(lengths >= LEAST, per[lang, np.arange(len(texts))] / parser.usual[lang], 1.0) if len(texts) else np.empty(0)
+    return np.where(letters, lang, len(parser.langs)), np.where(letters, score, 0.0), np.where(letters, strange, np.inf)
 
 
 def _identified(model, key: str, column: str):
@@ -156,41 +218,45 @@ def _identified(model, key: str, column: str):
         for batch in batches:
             texts = texts_of(batch, column)
             for lo, hi in runs(texts):
-                lang, score = predictions(parser, table, texts[lo:hi])
+                lang, score, _ = predictions(parser, table, texts[lo:hi])
                 yield pa.RecordBatch.from_pydict({key: batch.column(key).slice(lo, hi - lo), "lang_pred": pa.array(names[lang], pa.string()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def _determined(model, column: str):
+def _determined(model, column: str, worst: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser: CrossParser = model.value
         table = parser.classes()
         for batch in batches:
             texts = texts_of(batch, column)
             for lo, hi in runs(texts):
-                lang, _ = predictions(parser, table, texts[lo:hi])
-                yield batch.slice(lo, hi - lo).filter(pa.array(lang < len(parser.langs)))
+                _, _, strange = predictions(parser, table, texts[lo:hi])
+                yield batch.slice(lo, hi - lo).filter(pa.array(strange <= worst))
 
     return run
 
 
-def fit(labelled: DataFrame, lang: str = "lang", column: str = "text", by: str = "doc_id", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> CrossParser:
-    """Learn from a bounded sample of rows with a language and a text, chosen by a hash of `by`.
+def fit(labelled: DataFrame, lang: str = "lang", column: str = "text", by: str = "doc_id", passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> CrossParser:
+    """Learn every language from a bounded sample of the rows with a language and a text.
 
-    The sample holds `docs` rows of each of the LANGUAGES most frequent languages in
-    expectation, SAMPLE_DOC_CHARS characters of each and `chars` symbols in all.
+    Texts are cut into passages of `chars` characters and a hash of `by`, the text and the place
+    chooses `passages` of each language in expectation, so no part of a text is preferred
+    and the bound holds for long texts too. Copies of a passage count once. A language without a letter in its passages is not learned.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(column).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(column).isNotNull()).select(F.col(lang).alias("lang"), F.col(column).alias("text"), F.col(by).alias("by"))
+    rows = rows.withColumn("n", F.ceil(F.length("text") / chars)).where("n > 0")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("n")).collect()}
     samples: dict[str, list[str]] = {}
     if counts:
-        share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, docs / n)])
-        chance = F.pmod(F.xxhash64(F.col(by), F.lit("language")), F.lit(1_000_003)) / 1_000_003
-        got = rows.where(F.col(lang).isin(list(counts)) & (chance < share[F.col(lang)])).select(lang, F.substring(column, 1, SAMPLE_DOC_CHARS), chance).collect()
-        for name, text, _ in sorted(got, key=lambda r: (r[0], r[2], r[1])):
-            samples.setdefault(name, []).append(text)
-    return train({k: v for k, v in samples.items() if any(c.isalpha() for x in v for c in x)}, chars)
+        share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, passages / n)])
+        each = rows.withColumn("share", share[F.col("lang")]).withColumn("seed", F.xxhash64("by", "text")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        chance = F.pmod(F.xxhash64("seed", "i", F.lit("language")), F.lit(1_000_003)) / 1_000_003
+        taken = each.withColumn("chance", chance).where("chance < share").select("lang", "chance", F.substring(F.col("text"), (F.col("i") * chars + 1).cast("int"), F.lit(chars)).alias("passage"))
+        got = taken.dropDuplicates(["lang", "passage"]).collect()
+        for name, _, passage in sorted(got):
+            samples.setdefault(name, []).append(passage)
+    return train({k: v for k, v in samples.items() if any(c.isalpha() for x in v for c in x)})
 
 
 def identify(docs: DataFrame, parser: CrossParser, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -200,13 +266,18 @@ def identify(docs: DataFrame, parser: CrossParser, key: str = "doc_id", column:
     smaller language name wins). A text that is null or has no letters is `und` with score
     0, as is every text if nothing was learned. Rows are independent; repeated rows come
     out repeated, an empty table gives an empty result, other columns are not read. The
-    model is a broadcast whose size the sample's bound limits; no shuffle.
+    model is a broadcast; its transitions grow with the sampled symbols of all languages, not with their alphabets. No shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(parser)
     return docs.select(key, column).mapInArrow(_identified(model, key, column), f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
-def drop_undetermined(docs: DataFrame, parser: CrossParser, column: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language: all but null texts and texts without letters. No shuffle."""
+def drop_undetermined(docs: DataFrame, parser: CrossParser, column: str = "text", worst: float = WORST) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is in a learned language.
+
+    Dropped are null texts, texts without letters, and texts of LEAST symbols or more whose best
+    language needs more than `worst` times the phrases that unseen text of this language needs: other languages and noise.
+    If nothing was learned, all texts with letters stay. No shuffle.
+    """
     model = docs.sparkSession.sparkContext.broadcast(parser)
-    return docs.mapInArrow(_determined(model, column), docs.schema)
+    return docs.mapInArrow(_determined(model, column, worst), docs.schema)
