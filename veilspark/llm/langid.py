@@ -8,14 +8,13 @@ phrases for each character wins (cross-parsing estimates the cross entropy).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import NO_PAIR, PairTable
 from .words import runs, texts_of
 
 UNDETERMINED = "und"
@@ -24,21 +23,25 @@ STRETCH = 1024
 #: Learned from each language: passages (in expectation, from everywhere in its labelled texts) of so many characters at most.
 PASSAGES, PASSAGE_CHARS = 32, 2000
 #: A text of LEAST symbols or more that needs WORST times as many phrases as unseen text of its best language is in none of the languages.
-LEAST, WORST = 64, 2.0
+LEAST, WORST = 64, 2.25
 #: Symbols of all languages of a group that are parsed at once.
 GROUP_SYMBOLS = 24_000_000
 SPACE = 0
-#: A state without transitions; automata of all languages share one table and number their states from 1.
+#: A state without transitions.
 DEAD = 0
 
 
 @dataclass
 class CrossParser:
-    """Automata of all languages in one table of transitions, (state, symbol) to state."""
+    """Automata of all languages in one table of transitions.
+
+    A state is the place from which its transitions lie in `goto`, each symbol as far on: the
+    entry there holds the state (upper half), if it is this state's, and the next state (lower half).
+    """
 
     langs: list[str]
     alphabet: str
-    goto: PairTable
+    goto: np.ndarray
     first: np.ndarray  # language x symbol: the state after a phrase's first symbol
     usual: np.ndarray  # phrases for each symbol in unseen text of the language
 
@@ -89,37 +92,83 @@ def _automaton(sequence: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+def placed(state: np.ndarray, symbol: np.ndarray, states: int, width: int, seed: int = 3) -> np.ndarray:
+    """A place for each state such that no two transitions, each its symbol on from its state's place, meet and no two states share a place.
+
+    States with many transitions come first. Each round all open states of a batch try a random place;
+    of those that claim an entry together the first stays.
+    """
+    rng = np.random.default_rng(seed)
+    degree = np.bincount(state, minlength=states)
+    room = 2 * len(state) + 2 * states + 64
+    used, taken = np.zeros(room + width + 1, bool), np.zeros(room + 1, bool)
+    place = np.zeros(states, np.int64)
+    starts = np.cumsum(degree) - degree
+    by_degree = np.argsort(-degree, kind="stable")
+    taken[DEAD] = True
+    lo = 0
+    while lo < states:
+        d = max(1, int(degree[by_degree[lo]]))
+        hi = lo + int(np.searchsorted(-degree[by_degree[lo:]], -(d // 2), "left")) if d > 1 else states
+        todo = by_degree[lo : max(hi, lo + 1)]
+        while len(todo):
+            tried = rng.integers(1, room, len(todo))
+            mine = np.repeat(np.arange(len(todo)), degree[todo])
+            of = np.repeat(starts[todo] - (np.cumsum(degree[todo]) - degree[todo]), degree[todo]) + np.arange(len(mine))
+            at = tried[mine] + symbol[of]
+            bad = taken[tried]
+            bad[mine[used[at]]] = True
+            for claims, who in ((tried, np.arange(len(todo))), (at, mine)):  # of equal claims the first stays
+                open_ = ~bad[who]
+                _, first = np.unique(claims[open_], return_index=True)
+                lost = np.ones(int(open_.sum()), bool)
+                lost[first] = False
+                bad[who[open_][lost]] = True
+            good = ~bad
+            place[todo[good]] = tried[good]
+            taken[tried[good]] = True
+            used[at[good[mine]]] = True
+            todo = todo[bad]
+        lo = max(hi, lo + 1)
+    return place
+
+
 def train(samples: dict[str, list[str]]) -> CrossParser:
     """Automata of each language's passages; every fourth is first left out to see how unseen text parses."""
     langs = sorted(samples)
     alphabet = "".join(sorted({c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha()}))
-    parser = CrossParser(langs, alphabet, PairTable(*[np.empty(0, np.int32)] * 3), np.zeros((len(langs), len(alphabet) + 2), np.int64), np.ones(len(langs)))
-    table = parser.classes()
+    table = CrossParser(langs, alphabet, np.empty(0), np.empty(0), np.empty(0)).classes()
     usual = np.ones(len(langs))
     for i, lang in enumerate(langs):
         known, unseen = [x for j, x in enumerate(samples[lang]) if j % 4], samples[lang][::4]
         if known:
-            n, lengths, _ = phrases(_built(parser, {lang: known}, table), table, unseen)
+            n, lengths, _ = phrases(_built(alphabet, {lang: known}, table), table, unseen)
             usual[i] = n.sum() / max(1, lengths.sum())
-    parser = _built(parser, samples, table)
+    parser = _built(alphabet, samples, table)
     parser.usual = usual
     return parser
 
 
-def _built(empty: CrossParser, samples: dict[str, list[str]], table: np.ndarray) -> CrossParser:
-    langs, width, base, parts = sorted(samples), empty.width, 1, []
-    first = np.full((len(langs), width), DEAD, np.int64)
-    for i, lang in enumerate(langs):
+def _built(alphabet: str, samples: dict[str, list[str]], table: np.ndarray) -> CrossParser:
+    langs, width, base, parts = sorted(samples), len(alphabet) + 2, 0, []
+    roots = []
+    for lang in langs:
         states = _automaton([c for text in samples[lang] for c in [*symbols(text, table).tolist(), SPACE] if c < width - 1])
         counts = np.fromiter(map(len, states), np.int64, len(states))
         total = int(counts.sum())
-        on = np.fromiter((c for s in states for c in s), np.int32, total)
-        to = np.fromiter((t for s in states for t in s.values()), np.int32, total) + base
-        parts.append((np.repeat(np.arange(base, base + len(states), dtype=np.int32), counts), on, to))
-        first[i, on[: counts[0]]] = to[: counts[0]]
+        on = np.fromiter((c for s in states for c in s), np.int64, total)
+        to = np.fromiter((t for s in states for t in s.values()), np.int64, total) + base
+        parts.append((np.repeat(np.arange(base, base + len(states)), counts), on, to))
+        roots.append((on[: counts[0]], to[: counts[0]]))
         base += len(states)
-    table_of = PairTable(*map(np.concatenate, zip(*parts, strict=True))) if parts else empty.goto
-    return CrossParser(langs, empty.alphabet, table_of, first, np.ones(len(langs)))
+    state, on, to = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+    place = placed(state, on, base, width)
+    goto = np.full(int(place.max(initial=0)) + width + 1, -1 << 32, np.int64)
+    goto[place[state] + on] = place[state] << 32 | place[to]
+    first = np.full((len(langs), width), DEAD, np.int64)
+    for i, (symbol, then) in enumerate(roots):
+        first[i, symbol] = place[then]
+    return CrossParser(langs, alphabet, goto, first, np.ones(len(langs)))
 
 
 def _walk(parser: CrossParser, flat: np.ndarray, state: np.ndarray, lang: np.ndarray, start: np.ndarray, size: np.ndarray, begins: np.ndarray, stop: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -127,29 +176,31 @@ def _walk(parser: CrossParser, flat: np.ndarray, state: np.ndarray, lang: np.nda
 
     With `stop`, a lane ends where a phrase begins that began there before: from there on all is as it was.
     """
-    n, total = len(parser.langs), len(flat)
-    state, done = state.copy(), np.ones(len(state), bool)
     order = np.argsort(-size, kind="stable")
-    ends = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")
-    live = order
-    for t, upto in enumerate(ends.tolist()):
-        live = live[:upto] if not stop else live[size[live] > t]
-        if not len(live):
-            break
-        at = start[live] + t
-        c, of = flat[at], lang[live]
-        to = parser.goto.flat(state[live], c)
-        anew = to == NO_PAIR
-        place = of * total + at if n > 1 else at
+    size, live, at = size[order], state[order], start[order]
+    place, row = lang[order] * len(flat) + at, lang[order] * parser.width
+    last, whole, who = state.copy(), np.zeros(len(state), bool), order
+    first, goto = parser.first.ravel(), parser.goto
+    t = 0
+    while len(live):
+        n = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t
+        if n < len(live):
+            last[who[n:]], whole[who[n:]] = live[n:], True
+            size, live, at, place, row, who = size[:n], live[:n], at[:n], place[:n], row[:n], who[:n]
+        c = flat.take(at + t)
+        found = goto.take(live + c)
+        anew = found >> 32 != live
         if stop:
-            met = anew & begins[place]
+            met = anew & begins.take(place + t)
             if met.any():
-                done[live[met]] = False
                 on = ~met
-                live, place, of, c, to, anew = live[on], place[on], of[on], c[on], to[on], anew[on]
-        begins[place] = anew
-        state[live] = np.where(anew, parser.first[of, c], to)
-    return state, done
+                size, live, at, place, row, who, c, found, anew = (x[on] for x in (size, live, at, place, row, who, c, found, anew))
+        begins[place + t] = anew
+        live = found & 0xFFFFFFFF
+        lost = np.flatnonzero(anew)
+        live[lost] = first.take(row[lost] + c[lost])
+        t += 1
+    return last, whole
 
 
 def phrases(parser: CrossParser, table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +223,7 @@ def phrases(parser: CrossParser, table: np.ndarray, texts: list[str]) -> tuple[n
     size = np.minimum(STRETCH, lengths[owner] - within * STRETCH)
     step = max(1, GROUP_SYMBOLS // max(1, len(flat)))
     for lo in range(0, len(parser.langs), step):
-        some = CrossParser(parser.langs[lo : lo + step], parser.alphabet, parser.goto, parser.first[lo : lo + step], parser.usual)
+        some = replace(parser, langs=parser.langs[lo : lo + step], first=parser.first[lo : lo + step])
         k, m = len(some.langs), len(owner)
         lane = lambda x: np.tile(x, k)  # noqa: B023, E731
         lang, starts, sizes = np.repeat(np.arange(k), m), lane(start), lane(size)
@@ -188,7 +239,7 @@ def phrases(parser: CrossParser, table: np.ndarray, texts: list[str]) -> tuple[n
             ended, whole = _walk(some, flat, state[follow - 1], lang[follow], starts[follow], sizes[follow], begins, True)
             changed = follow[whole & (ended != state[follow])]
             state[follow[whole]] = ended[whole]
-        sums = np.concatenate([[0], np.cumsum(begins)])
+        sums = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         for i in range(k):
             at = sums[i * len(flat) + bounds]

@@ -26,10 +26,6 @@ class PairTable:
             todo = np.setdiff1d(todo, won, assume_unique=True)
             self.probes += 1
 
-    @property
-    def nbytes(self) -> int:
-        return self.keys.nbytes + self.values.nbytes
-
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -39,27 +35,13 @@ class PairTable:
         keys = ((left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)).ravel()
         out = np.full(len(keys), NO_PAIR, np.int32)
         todo = np.flatnonzero((left.ravel() >= 0) & (right.ravel() >= 0))
-        self._find(keys, todo, self._home(keys[todo]), out)
-        return out.reshape(shape)
-
-    def flat(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The same for flat arrays without padding."""
-        keys = (left << 32) | right
-        slot = self._home(keys)
-        held = self.keys.take(slot)
-        hit = held == keys
-        out = np.where(hit, self.values.take(slot), NO_PAIR)
-        todo = np.flatnonzero(~hit & (held >= 0))
-        if len(todo):
-            self._find(keys, todo, (slot[todo] + 1) & self.mask, out)
-        return out
-
-    def _find(self, keys: np.ndarray, todo: np.ndarray, slot: np.ndarray, out: np.ndarray) -> None:
+        slot = self._home(keys[todo])
         for _ in range(self.probes):
             if not len(todo):
-                return
+                break
             held = self.keys[slot]
             hit = held == keys[todo]
             out[todo[hit]] = self.values[slot[hit]]
             on = ~hit & (held >= 0)
             todo, slot = todo[on], (slot[on] + 1) & self.mask
+        return out.reshape(shape)
