@@ -358,37 +358,47 @@ def test_mix_cuts_follow_the_draws(spark):
         assert len(chosen) == round(budget / 10 + 1e-9) and chosen == draws[r["source"]][: len(chosen)]
 
 
-def brute_scores(texts, alpha=0.4):
+def brute_scores(texts, order, alpha=0.4):
     words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
-    one, two = (Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)) for n in (1, 2))
-    everything = sum(map(len, words))
+    count = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    own = [count(w) for w in words]
+    everything = sum(own, Counter())
+    total = sum(map(len, words))
     out = []
-    for w in words:
-        mine = [Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in (1, 2)]
-        rest = max(1, everything - len(w))
+    for w, mine in zip(words, own, strict=True):
+        rest = lambda gram: everything[gram] - mine[gram]  # noqa: E731, B023
         log = 0.0
-        for i, x in enumerate(w):
-            pair = (w[i - 1], x) if i else None
-            if pair and two[pair] - mine[1][pair] > 0:
-                log += math.log((two[pair] - mine[1][pair]) / (one[pair[:1]] - mine[0][pair[:1]]))
-                continue
-            log += math.log(alpha) if pair else 0.0
-            n = one[(x,)] - mine[0][(x,)]
-            log += math.log(n / rest) if n > 0 else math.log(alpha / rest)
+        for i in range(len(w)):
+            for n in range(min(order, i + 1), 0, -1):
+                gram = tuple(w[i - n + 1 : i + 1])
+                if rest(gram):
+                    log += math.log(rest(gram) / (rest(gram[:-1]) if n > 1 else max(1, total - len(w))))
+                    break
+                log += math.log(alpha)
+            else:
+                log -= math.log(max(1, total - len(w)))
         out.append((len(w), log))
     return out
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, order):
     rng = random.Random(3)
-    texts = [" ".join(rng.choices("a b c d e f g".split(), k=rng.randint(0, 25))) for _ in range(60)] + [None, "", "unique words only", "A b, A b!", "A b, A b!"]
+    texts = [" ".join(rng.choices("a b c d e f g".split(), k=rng.randint(0, 25))) for _ in range(60)] + [None, "", "unique words only", "A b, A b!", "A b, A b!", "a b c " * 4000]
     docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
-    got = {r["doc_id"]: r for r in lm_score.score(docs, block_docs=10).collect()}
-    for i, (n, log) in enumerate(brute_scores(texts)):
-        assert got[i]["n_words"] == n and math.isclose(got[i]["log_score"], log, abs_tol=1e-9)
+    got = {r["doc_id"]: r for r in lm_score.score(docs, order=order).collect()}
+    assert len(got) == len(texts)
+    for i, (n, log) in enumerate(brute_scores(texts, order)):
+        assert got[i]["n_words"] == n and math.isclose(got[i]["log_score"], log, rel_tol=1e-9, abs_tol=1e-9)
         assert (got[i]["mean_log_score"] is None) == (n == 0)
+
+
+def test_lm_scores_keep_every_row(spark):
+    docs = documents(spark, EDGE)
+    got = lm_score.score(docs)
+    assert got.columns == ["doc_id", "n_words", "log_score", "mean_log_score"]
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == sorted(r[0] or 0 for r in EDGE)
     assert lm_score.score(docs.limit(0)).count() == 0
-    assert lm_score.score(docs, order=3).count() == len(texts)
 
 
 def brute_edit(a, b):

@@ -1,25 +1,29 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
-Documents are dealt into blocks. A block's distinct n-grams, hashed to 64 bits, are sent
-with their counts to the part of the count table that their hash belongs to; the table
-adds them up and answers each block in the order of its keys; the block scores its
-documents. One row carries all keys of a block and a part, as arrays, so that the join of
-n-grams and counts costs a few bytes an n-gram. A document's own n-grams do not vouch for
-it: its counts are taken off before it is scored.
+Every document is exploded into its distinct longest n-grams: one row each, with the hash
+of the n-gram, how often it stands in the document and how often the document holds each
+shorter n-gram that a backoff may ask for. Adding the rows up by hash gives the count table
+of the longest n-grams; adding that up by suffix gives the table of each shorter order.
+Joins of these tables on hashes put all counts that a score can need on the row of the
+longest n-gram; one more join brings them to the exploded rows, whose terms are summed
+for each document. A document's own n-grams do not vouch for it: its counts are taken off
+before it is scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, owners, texts_of, word_hashes
+from .shared import settled, written
+from .words import mix, owners, runs, texts_of, word_hashes
 
-ORDER, ALPHA, BLOCK_DOCS = 2, 0.4, 2000
-#: Stands for all words of the corpus.
-ALL = mix(np.array([0x616C6C], np.uint64))[0]
+ORDER, ALPHA = 3, 0.4
 
 
 def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -35,99 +39,113 @@ def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return grams, counts
 
 
-def distinct(grams: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted keys, their counts, place of each n-gram among the keys: n x word)."""
-    flat = np.concatenate([*grams, np.array([ALL])])
-    keys, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    counts[where[-1]] = words
-    return keys, counts, where[:-1].reshape(len(grams), -1)
+def _within(owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each place's n-gram stands in its own text, the first place of that n-gram in the text)."""
+    by = np.lexsort((grams, owner))  # stable: of equal n-grams the first place leads
+    new = np.ones(len(by), bool)
+    new[1:] = (owner[by][1:] != owner[by][:-1]) | (grams[by][1:] != grams[by][:-1])
+    starts = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    own, first = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    own[by] = np.diff(np.append(starts, len(by)))[run]
+    first[by] = by[starts][run]
+    return own, first
+
+
+def _exploded(order: int):
+    """Rows of the distinct longest n-grams of each text; see `_schema`. A text without words gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch)
+            for lo, hi in runs(texts):
+                with np.errstate(over="ignore"):
+                    grams, counts = ngrams(texts[lo:hi], order)
+                owner = owners(counts)
+                own = [_within(owner, g) for g in grams]
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                words = np.minimum(at + 1, order)  # of the longest n-gram that ends at each place
+                top, times = np.zeros(len(owner), np.uint64), np.ones(len(owner), np.int64)
+                for n, (g, (k, _)) in enumerate(zip(grams, own, strict=True), 1):
+                    top[words == n] = g[words == n]
+                    if n == order:
+                        times[words == n] = k[words == n]
+                kept = np.flatnonzero((words < order) | (own[-1][1] == np.arange(len(owner))))
+                whose = owner[kept] + lo
+                out = {name: batch.column(name).take(pa.array(whose)) for name in ("d1", "d2")}
+                out |= {"gram": pa.array(top[kept].view(np.int64)), "n": pa.array(words[kept].astype(np.int32)), "times": pa.array(times[kept]), "n_words": pa.array(counts[owner[kept]])}
+                for n in range(1, order + 1):
+                    out[f"g{n}"] = pa.array(grams[n - 1][kept].view(np.int64), mask=words[kept] < n)
+                    out[f"own{n}"] = pa.array(own[n - 1][0][kept])
+                    if n > 1:  # the context of n words is the shorter n-gram that ends one place before
+                        before = np.maximum(kept - 1, 0)
+                        out[f"c{n}"] = pa.array(grams[n - 2][before].view(np.int64), mask=words[kept] < n)
+                        out[f"before{n}"] = pa.array(own[n - 2][0][before])
+                yield pa.RecordBatch.from_pydict(out)
 
+    return run
 
-def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the stretches of sorted keys that belong to each part of the count table."""
-    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
+def _schema(order: int) -> str:
+    """Digests of the text, longest n-gram, its words, places it is the longest at, words of the text; the hash and the text's own count of the n-gram of each order that ends there, and of its context."""
+    each = [f"g{n} long, own{n} long" + (f", c{n} long, before{n} long" if n > 1 else "") for n in range(1, order + 1)]
+    return ", ".join(["d1 long, d2 long, gram long, n int, times long, n_words long", *each])
 
-def _asked(order: int, parts: int):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            grams, counts = ngrams(texts_of(rows), order)
-            keys, n, _ = distinct(grams, int(counts.sum()))
-        bounds = parts_of(keys, parts)
-        full = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        return pa.table({
-            "part": pa.array([p for p, _, _ in full], pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int64()),
-            "keys": pa.array([keys[a:b].tobytes() for _, a, b in full], pa.binary()), "counts": pa.array([n[a:b].astype("<u4").tobytes() for _, a, b in full], pa.binary()),
-        })
 
-    return run
+def _counted(grams: DataFrame, order: int) -> tuple[DataFrame, int]:
+    """(rows of the longest n-grams: gram, t1.. the corpus's counts of the n-gram of each order, u2.. of its context; words of the corpus)."""
+    hashes = [f"g{n}" for n in range(1, order + 1)] + [f"c{n}" for n in range(2, order + 1)]
+    words = []
 
+    def chains() -> DataFrame:
+        tops = written(grams.groupBy("gram", "n").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in hashes]), "lm-grams")
+        words.append(tops.agg(F.sum("times")).first()[0] or 0)
+        # an n-gram is counted where it is longest, and as the suffix of every longer one
+        tables = {n: written(tops.where(F.col("n") >= n).groupBy(F.col(f"g{n}").alias("of")).agg(F.sum("times").alias("total")), f"lm-counts-{n}") for n in range(1, order + 1)}
+        out = tops.select("gram", "n", *hashes)
+        asked = [(f"t{n}", f"g{n}", n) for n in range(1, order + 1)] + [(f"u{n}", f"c{n}", n - 1) for n in range(2, order + 1)]
+        for name, column, n in asked:
+            out = out.join(tables[n].select(F.col("of").alias(column), F.col("total").alias(name)), column, "left")
+        return out.select("gram", "n", *[name for name, _, _ in asked])
 
-def _answered(rows: pa.Table) -> pa.Table:
-    """Adds up one part of the count table and answers every block that asked."""
-    asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("counts")])
-    _, where = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(where, counts).astype("<i8")[where]
-    bounds = np.cumsum([0, *map(len, asked)])
-    return pa.table({"part": rows.column("part"), "block": rows.column("block"), "totals": pa.array([totals[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
-
-
-def scores(grams: list[np.ndarray], counts: np.ndarray, where: np.ndarray, totals: np.ndarray, corpus: int, alpha: float) -> np.ndarray:
-    """Natural logarithm of each text's stupid-backoff score against the rest of the corpus."""
-    owner = owners(counts)
-    rest = []  # counts of each n-gram outside its own text
-    for n, places in enumerate(where):
-        mine = owner * np.int64(len(totals)) + places
-        _, back, own = np.unique(mine, return_inverse=True, return_counts=True)
-        rest.append(np.where(grams[n] != 0, totals[places] - own[back], 0))
-    words = np.maximum(1, corpus - counts)[owner]
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    log = np.zeros(len(owner))
-    open_ = np.ones(len(owner), bool)
-    for n in range(len(grams), 0, -1):
-        known = open_ & (rest[n - 1] > 0)
-        before = words if n == 1 else np.concatenate([[1], rest[n - 2][:-1]]) if len(owner) else words
-        log[known] += np.log(rest[n - 1][known] / before[known])
-        open_ &= ~known
-        log[open_ & (at >= n - 1)] += np.log(alpha)
-    log[open_] -= np.log(words[open_])  # a word that no other text has
-    return np.bincount(owner, log, len(counts))
-
-
-def _scored(order: int, alpha: float):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            grams, counts = ngrams(texts_of(docs), order)
-            keys, _, where = distinct(grams, int(counts.sum()))
-        by_part = np.argsort(answers.column("part").to_numpy())
-        parts = answers.column("totals")
-        totals = np.concatenate([np.frombuffer(parts[int(i)].as_buffer(), "<i8") for i in by_part])
-        score = scores(grams, counts, where, totals, int(totals[np.searchsorted(keys, ALL)]), alpha)
-        mean = np.divide(score, counts, out=np.full(len(score), np.nan), where=counts > 0)
-        return pa.table({"key": docs.column("key"), "n_words": pa.array(counts, pa.int64()), "log_score": pa.array(score, pa.float64()), "mean_log_score": pa.array(mean, pa.float64(), mask=counts == 0)})
+    return settled(chains, grams.sparkSession, "lm-chains"), words[0]
 
-    return run
+
+def _log_score(order: int, alpha: float, corpus: int) -> Column:
+    """Logarithm of one place's score: the longest n-gram that other texts hold, `alpha` for every shorter step."""
+    words = F.greatest(F.lit(1), F.lit(corpus) - F.col("n_words"))
+    step = float(np.log(alpha))
+
+    def longer(shorter: Column, n: int) -> Column:
+        rest = F.col(f"t{n}") - F.col(f"own{n}")
+        before = words if n == 1 else F.col(f"u{n}") - F.col(f"before{n}")
+        return F.when(F.col("n") < n, shorter).when(rest > 0, F.log(rest / before)).otherwise(shorter + step)
+
+    return reduce(longer, range(1, order + 1), -F.log(words))
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str = "doc_id", column: str = "text", parts: int | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, n_words, log_score (sum of natural logarithms), mean_log_score of every whole text.
 
     For each word the longest n-gram, of `order` words at most, that other texts contain
     gives count / count of its context; every shorter step costs a factor `alpha`, and a
     word of no other text scores as one in all words. Counts are of all rows: a repeated
     row vouches for its copy. Null and empty texts have 0 words, score 0 and a null mean;
-    an empty table gives an empty result. `parts` (default: the shuffle partitions, an eighth of the blocks at least) is
-    the number of parts of the count table; a block sends each distinct n-gram once,
-    so a frequent n-gram weighs no more than a rare one.
+    a null or repeated key is scored row by row like any other; an empty table gives an
+    empty result. Texts of one digest (128 bits) have one score. An n-gram is one row of
+    each text however often it stands there, and one row of a count table: tables and joins
+    are partitioned by hash. Counts and sums are added up before they are shuffled, so a hot
+    n-gram or text sends few rows; in the joins, a small count table is broadcast by Spark's
+    own size check, else both sides are sorted by hash and adaptive execution splits hot keys.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.col(column).alias("text"))
-    blocks = max(1, -(-rows.count() // block_docs))
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)))
-    asked = rows.groupBy("block").applyInArrow(_asked(order, parts), "part int, block long, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(_answered, "part int, block long, totals binary")
-    schema = f"key {docs.schema[key].dataType.simpleString()}, n_words long, log_score double, mean_log_score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, alpha), schema).withColumnRenamed("key", key)
+    text = F.coalesce(F.col(column), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit("lm"), text).alias("d2"))
+    grams = rows.select("d1", "d2", "text").mapInArrow(_exploded(order), _schema(order))
+    chains, corpus = _counted(grams, order)
+    owns = [c for n in range(1, order + 1) for c in ([f"own{n}"] if n == 1 else [f"own{n}", f"before{n}"])]
+    terms = grams.select("d1", "d2", "gram", "n", "times", "n_words", *owns).join(chains, ["gram", "n"])
+    summed = terms.groupBy("d1", "d2").agg(F.sum(F.col("times") * _log_score(order, alpha, corpus)).alias("log"), F.sum("times").alias("times"), F.max("n_words").alias("n_words"))
+    n_words = F.coalesce("n_words", F.lit(0).cast("long"))
+    mean = F.col("log") / F.col("times")  # copies of a text add to both
+    out = rows.select("key", "d1", "d2").join(summed, ["d1", "d2"], "left")
+    return out.select(F.col("key").alias(key), n_words.alias("n_words"), F.coalesce(mean * n_words, F.lit(0.0)).alias("log_score"), mean.alias("mean_log_score"))
