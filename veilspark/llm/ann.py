@@ -75,7 +75,7 @@ def _encoded(shared, key: str):
     return run
 
 
-def _probed(shared, cell_shards, sizes: np.ndarray, probes: int, k: int, groups: int, key: str):
+def _probed(shared, cell_shards, sizes: np.ndarray, probes: int, k: int, key: str):
     """One row for each query and shard that holds a probed cell; cells hold k rows beside the query or are all probed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,14 +86,14 @@ def _probed(shared, cell_shards, sizes: np.ndarray, probes: int, k: int, groups:
                 q = np.array(part["vector"].tolist(), np.float64)
                 best = np.argsort(-(q @ index.centroids.T), 1, kind="stable")
                 most = np.maximum(probes, (np.cumsum(sizes[best], 1) <= k).sum(1) + 1)
-                out = {"query_id": [], "shard": [], "part": [], "cells": [], "raw": []}
+                out = {"query_id": [], "shard": [], "cells": [], "raw": []}
                 for i, raw, cells, m in zip(part[key].tolist(), packed(part["vector"], index.dtype), best.tolist(), most.tolist(), strict=True):
                     at: dict[int, list[int]] = {}
                     for c in cells[:m]:
                         for s in shards[c]:
                             at.setdefault(s, []).append(c)
                     for s, own in at.items():
-                        for name, v in zip(out, (i, s, hash(i) % groups, own, raw), strict=True):
+                        for name, v in zip(out, (i, s, own, raw), strict=True):
                             out[name].append(v)
                 yield pd.DataFrame(out)
 
@@ -207,7 +207,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     lie in probed cells at the rate `recall`, and each query probes on until its cells hold k
     other rows. Of the rows of probed cells none of the best is lost: tables leave out only rows
     that their quantisation error keeps from the k best, however many are near copies. Cells are laid out in shards of bounded size
-    (a hot cell in several) and queries meet shards in groups of bounded size.
+    (a hot cell in several). A shard's queries meet it in groups of bounded size, and a shard
+    that no query probes does not move; only shards asked by more than GROUP_QUERIES are copied.
     """
     spark = vectors.sparkSession
     dtype = stored_as(vectors.schema[column].dataType)
@@ -230,10 +231,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     held = np.array([sizes.get(c, 0) for c in range(len(index.centroids))])
     layout, _ = shard_cells(sizes, len(index.centroids), per_shard)
     first, pieces = (F.array(*map(F.lit, x)) for x in ([s[0] for s in layout], [len(s) for s in layout]))
-    groups = max(1, -(-n_asked // GROUP_QUERIES))
     at = F.col("cell") + 1
-    placed = coded.withColumn("shard", F.element_at(first, at) + F.pmod(F.xxhash64("vec_id"), F.element_at(pieces, at)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    probed = asked.mapInPandas(_probed(shared, spark.sparkContext.broadcast(layout), held, probes, k, groups, key), f"query_id {kind}, shard int, part int, cells array<int>, raw binary")
+    placed = coded.withColumn("shard", F.element_at(first, at) + F.pmod(F.xxhash64("vec_id"), F.element_at(pieces, at)).cast("int"))
+    probed = written(asked.mapInPandas(_probed(shared, spark.sparkContext.broadcast(layout), held, probes, k, key), f"query_id {kind}, shard int, cells array<int>, raw binary"), "ann-probed")
+    load = written(probed.groupBy("shard").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("groups")), "ann-load")
+    placed = placed.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(1), "groups")).alias("part"), "vec_id", "cell", "codes", "raw")
+    load = load.select(F.col("shard").alias("of"), F.col("groups").alias("copies"))
+    probed = probed.join(load, F.col("shard") == F.col("of")).select("shard", (F.pmod(F.xxhash64("query_id"), "copies") + 1).cast("int").alias("part"), "query_id", "cells", "raw")
     found = placed.groupBy("shard", "part").cogroup(probed.groupBy("shard", "part")).applyInPandas(_searched(shared, k, rerank), f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
