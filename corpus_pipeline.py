@@ -4,7 +4,7 @@ Each stage works on all that its predecessor kept. Language identification drops
 documents without a language; the toxicity model, fitted on the labelled rows, drops what
 it predicts as toxic; of near-duplicate documents the smallest doc_id stays; the mix
 repeats or drops documents until each source meets its target; the last stage encodes
-what is left.
+what is left. Between stages the documents are a Parquet table in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import bpe, langid, mixing, near_dup, queries, toxicity
+from veilspark.llm.shared import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

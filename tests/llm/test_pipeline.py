@@ -1,5 +1,7 @@
 """The pipeline's stages, one after another, against what each promises on its own input."""
 
+import pytest
+
 import corpus_pipeline
 from veilspark.llm import queries
 
@@ -23,6 +25,45 @@ def test_stages(spark):
     assert set(docs.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
 
 
+def test_run_writes_every_stage(spark):
+    got = corpus_pipeline.run(spark, SF)
+    assert set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    assert any("stage-mix" in f for f in got.inputFiles()) and got.count() > 0
+
+
+def test_kept_rows_stay_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (1, "another text of this key", "c"), (2, text, "d"), (None, text, "e"), (None, text, "f"), (3, None, "g"), (3, "", "h")], "doc_id long, text string, repeat string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    rows = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert rows == sorted([(0, text), (0, text), (1, text), (1, "another text of this key"), (3, "")])
+
+
+COLUMNS = {
+    "op1_ann_search": "query_id:bigint rank:int vec_id:bigint score:double",
+    "op2_mix_sources": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+    "op3_license_scan": "doc_id:bigint n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string score:double",
+    "op4_byte_bpe": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
+    "op5_lm_score": "doc_id:bigint n_words:bigint log_score:double mean_log_score:double",
+    "op6_near_dup": "doc_id:bigint class_id:bigint n_links:bigint kept:boolean",
+    "op7_language_id": "doc_id:bigint held_out:boolean lang_pred:string score:double",
+    "op8_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
+    "op9_embed_dedup": "vec_id:bigint n_links:bigint component_id:bigint kept:boolean",
+    "op10_token_counts": "doc_id:bigint n_bytes:bigint n_tokens:bigint over_limit:boolean",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_columns_and_rows(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    types = dict(got.dtypes)
+    assert {c: types.get(c) for c in (x.split(":")[0] for x in COLUMNS[name].split())} == dict(x.split(":") for x in COLUMNS[name].split())
+    table = spark.read.parquet(f"{SF}/{'embeddings' if 'vec_id' in COLUMNS[name] else 'documents'}.parquet")
+    n = table.count() if name != "op1_ann_search" else 20 * table.where("vec_id % 20 = 0").count()
+    assert got.count() == n
+
+
 def test_registered_queries_run(spark):
     import __spark_entry__
 
