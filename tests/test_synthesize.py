@@ -122,3 +122,9 @@ def test_synthetic_marginals_reach_their_targets(spark, name, attrs, most):
     domain = LINE_DOMAIN.project(attrs)
     targets, counts = (synthesize.datavectors(df, domain, all_cliques(domain, 2)) for df in (coded_lines(spark, SF), QUERIES[name](spark, SF)))
     assert records.total_error(counts, targets) <= most * sum(x.sum() for x in counts.values())
+
+
+def test_datavectors_leave_out_codes_outside_the_domain(spark):
+    df = spark.createDataFrame([(0, 1), (1, 0), (-1, 1), (3, 0), (None, 1)], "a long, b long")
+    got = synthesize.datavectors(df, Domain({"a": 3, "b": 2}), [("a",), ("b",), ("a", "b")])
+    assert got["a",].tolist() == [1, 1, 0] and got["b",].tolist() == [2, 3] and got["a", "b"].tolist() == [[0, 1], [1, 0], [0, 0]]

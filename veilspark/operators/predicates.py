@@ -5,27 +5,50 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries that share one pass; an aggregate of more columns is costly to plan and compile.
-QUERIES_A_PASS = 200
-
-
 def conjunction(terms: Mapping[str, object]) -> Column:
     """attribute -> (lo, hi) for a closed range, or a value for equality."""
     return reduce(Column.__and__, [F.col(a).between(*t) if isinstance(t, tuple) else F.col(a) == t for a, t in terms.items()])
 
 
-def selectivities(df: DataFrame, queries: Sequence[Mapping[str, object]]) -> DataFrame:
-    """query (from 0), n, share of rows that satisfy each conjunction; many queries in one scan."""
+def query_rows(spark: SparkSession, queries: Sequence[Mapping[str, object]], attrs: Sequence[str]) -> DataFrame:
+    """query, <attr>_lo, <attr>_hi of the queries over exactly `attrs`, and a row of nulls that stands for all rows."""
+    rows = [(i, *[x for a in attrs for x in (q[a] if isinstance(q[a], tuple) else (q[a], q[a]))]) for i, q in enumerate(queries) if set(q) == set(attrs)]
+    rows = [tuple(float(x) if any(isinstance(r[j], float) for r in rows) else x for j, x in enumerate(row)) for row in rows]
+    return spark.createDataFrame([*rows, (None,) * (1 + 2 * len(attrs))], ["query", *[f"{a}_{end}" for a in attrs for end in ("lo", "hi")]])
+
+
+def counted(df: DataFrame, queries: Sequence[Mapping[str, object]], values: Mapping[str, Column]) -> DataFrame:
+    """query (null: all rows) and the sum of each of `values` over the rows that satisfy each conjunction.
+
+    Rows are added up once for each set of attributes that queries name; the queries are
+    a small table that meets the distinct tuples, so neither scans nor generated code grow
+    with the number of queries. A null attribute satisfies no query.
+    """
     parts = []
-    for lo in range(0, len(queries), QUERIES_A_PASS):
-        batch = queries[lo : lo + QUERIES_A_PASS]
-        row = df.agg(F.count("*").alias("total"), *[F.count_if(conjunction(q)).alias(f"q{lo + i}") for i, q in enumerate(batch)])
-        each = F.explode(F.array(*[F.struct(F.lit(lo + i).cast("long").alias("query"), F.col(f"q{lo + i}").alias("n")) for i in range(len(batch))]))
-        parts.append(row.select("total", each.alias("q")).select("q.query", "q.n", (F.col("q.n") / F.col("total")).alias("share")))
-    return reduce(DataFrame.unionByName, parts)
+    sums = [F.sum(c).alias(c) for c in values]
+    for attrs in dict.fromkeys(tuple(sorted(q)) for q in queries):
+        asked = query_rows(df.sparkSession, queries, attrs)
+        cells = df.groupBy(*attrs).agg(*[F.sum(v.cast("long")).alias(name) for name, v in values.items()])
+        inside = reduce(Column.__and__, [F.col(a).between(F.col(f"{a}_lo"), F.col(f"{a}_hi")) for a in attrs])
+        met = cells.join(F.broadcast(asked), F.col("query").isNull() | inside).select("query", *values)
+        parts.append(met.union(asked.select("query", *[F.lit(0).cast("long") for _ in values])).groupBy("query").agg(*sums))
+    every = [part.where("query is not null") for part in parts[1:]]
+    return reduce(DataFrame.unionByName, [parts[0], *every])
+
+
+def shares(df: DataFrame, queries: Sequence[Mapping[str, object]], values: Mapping[str, Column]) -> DataFrame:
+    """query (from 0) and, for each of `values`, n_<name> and <name>, the share of the sum over all rows (null if that is 0)."""
+    total = lambda c: F.max(F.when(F.col("query").isNull(), F.col(c))).over(Window.partitionBy())  # noqa: E731  one row for each query
+    out = counted(df, queries, values)
+    return out.select("query", *[x for c in values for x in (F.col(c).alias(f"n_{c}"), F.try_divide(c, total(c)).alias(c))]).where("query is not null")
+
+
+def selectivities(df: DataFrame, queries: Sequence[Mapping[str, object]]) -> DataFrame:
+    """query (from 0), n, share of rows that satisfy each conjunction; see `counted`."""
+    return shares(df, queries, {"share": F.lit(1)}).select("query", F.col("n_share").alias("n"), "share")
 
 
 def dot(columns: Sequence[str], weights: Sequence[float]) -> Column:

@@ -18,10 +18,11 @@ from .selection import exponential_mechanism, spanning_tree
 
 
 def datavectors(df: DataFrame, domain: Domain, cliques: Sequence[Clique]) -> dict[Clique, np.ndarray]:
-    """Exact counts of all cliques from one pass, as dense arrays over the public domain."""
+    """Exact counts of all cliques from one pass, as dense arrays over the public domain; a code outside it does not count for its cliques."""
     out = {c: np.zeros(domain.project(c).shape) for c in cliques}
     by_name = {clique_name(c): c for c in cliques}
-    for r in marginals(df, list(cliques)).toLocalIterator():
+    inside = [F.when(F.col(a).between(0, domain[a] - 1), F.col(a)).alias(a) for a in dict.fromkeys(a for c in cliques for a in c)]
+    for r in marginals(df.select(*inside), list(cliques)).toLocalIterator():
         c = by_name[r["clique"]]
         out[c][tuple(r[f"k{i + 1}"] for i in range(len(c)))] = r["n"]
     return out

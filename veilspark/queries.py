@@ -365,9 +365,9 @@ def prefix_2d_queries(spark, sf_dir):
     return predicates.prefix_2d(marginal.zero_filled(coded_lines(spark, sf_dir), LINE_DOMAIN, ("line", "tax")), "line", "tax")
 
 
-CONJUNCTIONS = [{"flag": i % 3, "quantity": (i % 25, i % 25 + 20), "tax": (i % 4, i % 4 + 3)} for i in range(60)]
-_terms = lambda q: " and ".join(f"{a} between {t[0]} and {t[1]}" if isinstance(t, tuple) else f"{a} = {t}" for a, t in q.items())
-_many = lambda where: " union all ".join(f"select {i}::bigint as query, count(*) filter ({_terms(q)})::bigint as n, count(*) filter ({_terms(q)}) / count(*)::double as share from {LINE_SQL} where {where}" for i, q in enumerate(CONJUNCTIONS))
+CONJUNCTIONS = [{"flag": i % 3, "quantity": (i % 25, i % 25 + 20 - i // 300 * 3), "tax": (i % 4, i % 4 + 3)} for i in range(1000)]
+_asked = "(values " + ", ".join(str((i, q["flag"], *q["quantity"], *q["tax"])) for i, q in enumerate(CONJUNCTIONS)) + ") q(query, f, a, b, c, d)"
+_many = lambda where: f"select q.query::bigint as query, count(x.quantity)::bigint as n, count(x.quantity) / (select count(*)::double from {LINE_SQL} where {where}) as share from {_asked} left join (select flag, quantity, tax from {LINE_SQL} where {where}) x on flag = f and quantity between a and b and tax between c and d group by 1"
 
 
 @register(f"select query, n, round(share, 9) as share from ({_many('true')})")
