@@ -505,6 +505,8 @@ def test_components(spark):
                 least[a] = least[b] = min(least[a], least[b])
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == least
+    halves = [spark.createDataFrame(links[i::2], "a long, b long") for i in (0, 1)]
+    assert {r["node"]: r["component"] for r in components.extended(components.components(halves[0]), halves[1]).collect()} == least
 
 
 def vectors(spark, x, labels=None, extra=()):

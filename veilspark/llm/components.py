@@ -37,3 +37,16 @@ def components(links: DataFrame) -> DataFrame:
         root = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to"))
     least = root.groupBy("to").agg(F.min("node").alias("n")).select("to", F.least("n", "to").alias("component"))
     return written(root.join(least, "to").select("node", "component"), "cc-components")
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of what components() found and of further links (a, b); only classes that new links join are worked on."""
+    links = links.select("a", "b").where(F.col("a") != F.col("b"))
+    of = found.select("node", "component")
+    label = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    ends = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(of, "node", "left_anti")
+    every = of.union(fresh.select("node", F.col("node").alias("component")))
+    moved = every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    return written(moved.select("node", F.coalesce("into", "component").alias("component")), "cc-extended")
