@@ -6,53 +6,71 @@ import math
 from dataclasses import dataclass, field
 
 
-def _least_alpha(slope, low: float, high: float, rounds: int = 200) -> float:
-    """Where a convex function's derivative changes sign."""
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        low, high = (mid, high) if slope(mid) < 0 else (low, mid)
-    return (low + high) / 2
+def _zero(f, low: float, high: float) -> float:
+    """Where a rising function of the logarithm of its argument passes zero between low and high."""
+    low, high = math.log(low), math.log(high)
+    while low < (mid := (low + high) / 2) < high:
+        if f(math.exp(mid)) < 0:
+            low = mid
+        else:
+            high = mid
+    return math.exp(high)
 
 
-def cdp_delta(rho: float, eps: float) -> float:
-    """Least delta with which rho-zCDP implies (eps, delta)-DP by the optimal order."""
-    if rho == 0:
-        return 0.0
-    slope = lambda a: (2 * a - 1) * rho - eps + math.log1p(-1 / a)
-    a = _least_alpha(slope, 1.01, (eps + 1) / (2 * rho) + 2)
-    return min(1.0, math.exp((a - 1) * (a * rho - eps) + a * math.log1p(-1 / a)) / (a - 1))
+# rho-zCDP gives, for every u > 0 (the Renyi order less one), the trade
+#     log delta + eps * u = rho * u * (1 + u) + u * log(u) - (1 + u) * log(1 + u).
+# Each conversion below is the best u for one unknown, from where the derivative by u is zero.
+
+
+def _traded(rho: float, u: float) -> float:
+    return rho * u * (1 + u) + u * math.log(u) - (1 + u) * math.log1p(u)
 
 
-def _bisect(ok, low: float, high: float, rounds: int = 200) -> tuple[float, float]:
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        low, high = (mid, high) if ok(mid) else (low, mid)
-    return low, high
+def zcdp_delta(rho: float, eps: float) -> float:
+    """Least delta with which rho-zCDP gives (eps, delta)-DP.
+
+    The derivative rho * (1 + 2u) - eps - log(1 + 1/u) rises and is concave, so Newton
+    steps from its negative side approach the zero without passing it.
+    """
+    if rho == 0:
+        return 0.0
+    u = max(math.exp(-3 * rho), 1e-300)
+    for _ in range(1000):
+        step = (eps + math.log1p(1 / u) - rho * (1 + 2 * u)) / (2 * rho + 1 / (u * (1 + u)))
+        u += max(step, 0.0)
+        if step <= 1e-15 * u:
+            break
+    return min(1.0, math.exp(_traded(rho, u) - eps * u))
 
 
-def cdp_eps(rho: float, delta: float) -> float:
-    """Least eps with which rho-zCDP implies (eps, delta)-DP."""
+def zcdp_eps(rho: float, delta: float) -> float:
+    """Least eps with which rho-zCDP gives (eps, delta)-DP: the best u has rho * u^2 + log(1 + u) = log(1 / delta)."""
     if rho == 0 or delta >= 1:
         return 0.0
-    return _bisect(lambda e: cdp_delta(rho, e) > delta, 0.0, rho + 2 * math.sqrt(rho * math.log(1 / delta)))[1]
+    log = -math.log(delta)
+    u = _zero(lambda u: rho * u * u + math.log1p(u) - log, 1e-300, math.sqrt(log / rho))
+    return max(0.0, (_traded(rho, u) + log) / u)
 
 
-def cdp_rho(eps: float, delta: float) -> float:
-    """Largest rho whose zCDP implies (eps, delta)-DP."""
-    if delta >= 1:
+def zcdp_rho(eps: float, delta: float) -> float:
+    """Largest rho with which rho-zCDP gives (eps, delta)-DP: both conditions above at once leave one equation in u, which rises up to u = 1 / delta - 1."""
+    if not 0 < delta < 1:
         return 0.0
-    return _bisect(lambda r: cdp_delta(r, eps) <= delta, 0.0, eps + 1)[0]
+    log = -math.log(delta)
+    rho = lambda u: max(0.0, log - math.log1p(u)) / (u * u)
+    u = _zero(lambda u: eps + math.log1p(1 / u) - rho(u) * (1 + 2 * u), 1e-100, math.expm1(log))
+    return rho(u)
 
 
-def cdp_rho_closed(eps: float, delta: float) -> float:
-    """A rho that suffices by the standard conversion; never above cdp_rho."""
+def zcdp_rho_closed(eps: float, delta: float) -> float:
+    """A rho that suffices by the standard conversion; never above zcdp_rho."""
     log = math.log(1 / delta)
     return eps + 2 * log - 2 * math.sqrt(eps * log + log * log)
 
 
 def advanced_composition_sigma(eps: float, delta: float, queries: int, sensitivity: float = 1.0) -> float:
     """Gaussian deviation for each of `queries` answers under one (eps, delta) by zCDP."""
-    return sensitivity * math.sqrt(queries / (2 * cdp_rho(eps, delta)))
+    return sensitivity * math.sqrt(queries / (2 * zcdp_rho(eps, delta)))
 
 
 def weighted_shares(cells: dict, rho: float) -> dict:
@@ -100,4 +118,4 @@ def noise_multiplier(eps: float, delta: float, q: float, steps: int) -> float:
     high = 1.0
     while rdp_eps(q, high, steps, delta) > eps:
         high *= 2
-    return _bisect(lambda s: rdp_eps(q, s, steps, delta) > eps, 0.05, high, 60)[1]
+    return _zero(lambda s: eps - rdp_eps(q, s, steps, delta), 0.05, high)
