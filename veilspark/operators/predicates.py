@@ -130,3 +130,13 @@ def haar(hist: DataFrame, size: int) -> DataFrame:
         parts.append(hist.groupBy(F.floor(F.col("code") / width).alias("block")).agg(F.sum(sign).alias("n")).select(F.lit(level).cast("long").alias("level"), "block", "n"))
         width, level = half, level + 1
     return reduce(DataFrame.unionByName, parts)
+
+
+def range_2d(table: DataFrame, a: str, b: str, queries: DataFrame) -> DataFrame:
+    """query, n: counts of boxes (query, a_lo, a_hi, b_lo, b_hi) from four corners of the prefix table each, so a box costs the same whatever it holds."""
+    upto = prefix_2d(table, a, b).select(F.col(a).alias("x"), F.col(b).alias("y"), "n")
+    corner = lambda x, y, s: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"), F.lit(s).alias("sign"))
+    low = queries.withColumns({"a_lo": F.col("a_lo") - 1, "b_lo": F.col("b_lo") - 1})
+    corners = F.array(corner("a_hi", "b_hi", 1), corner("a_lo", "b_hi", -1), corner("a_hi", "b_lo", -1), corner("a_lo", "b_lo", 1))
+    met = low.select("query", F.explode(corners).alias("c")).select("query", "c.x", "c.y", "c.sign").join(upto, ["x", "y"], "left")
+    return met.groupBy("query").agg(F.coalesce(F.sum(F.col("n") * F.col("sign")), F.lit(0)).cast("long").alias("n"))

@@ -748,3 +748,107 @@ def normal_scores(spark, sf_dir):
 select case when n < round_even((select count(*) from events) * 0.0105::double, 0) then '__rare__' else events.props end as props, count(*)::bigint as n from events join c using (props) group by 1""")
 def rare_by_frequency(spark, sf_dir):
     return encode.rare_by_rows(table(spark, sf_dir, "events"), "props", 0.0105).groupBy("props").agg(F.count("*").alias("n"))
+
+
+# --- whole tables to codes and back --------------------------------------------------------
+
+
+_ORDER_CODES = """(with p as (select o_orderpriority v, (row_number() over (order by o_orderpriority) - 1)::bigint c from orders group by 1),
+b as (select min(o_totalprice) lo, max(o_totalprice) hi from orders)
+select o_orderkey, p.c as priority, least(99, floor((o_totalprice - lo) / ((hi - lo) / 100)))::bigint as price, o_orderpriority as name, lo, hi from orders join p on o_orderpriority = p.v, b)"""
+
+
+def _order_codes(spark, sf_dir):
+    from .operators.discretize import Discretizer
+
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    fitted = Discretizer().fit(df, ["priority", "price"])
+    return fitted, fitted.transform(df)
+
+
+@register(f"select o_orderkey, priority, price from {_ORDER_CODES}")
+def discretized(spark, sf_dir):
+    return _order_codes(spark, sf_dir)[1]
+
+
+@register(f"select o_orderkey, name as priority, round(lo + (hi - lo) / 100 * (price + 0.5::double), 6) as price from {_ORDER_CODES}")
+def discretizer_inverse(spark, sf_dir):
+    fitted, codes = _order_codes(spark, sf_dir)
+    return fitted.inverse(codes).withColumn("price", F.round("price", 6))
+
+
+def _gauss_sql(seed: str, sigma: float, key: str) -> str:
+    return f"({sigma}::double * sqrt(-2 * ln({_share_sql(seed + 'a', key)})) * cos(2 * pi() * {_share_sql(seed + 'b', key)}))"
+
+
+@register(f"""with c as (select props v, count(*) + {_gauss_sql('rare', 2.0, 'props')} y from events group by 1), t as (select sum(greatest(0, y)) total from c)
+select case when y < 6 or y <= total * 0.01::double then 'R' else props end as props, count(*)::bigint as n from events join c on props = v, t group by 1""")
+def rare_merge_noisy(spark, sf_dir):
+    from .operators.discretize import rare_merged_noisy
+
+    return rare_merged_noisy(table(spark, sf_dir, "events"), "props", 2.0, 0.01, "rare").groupBy("props").agg(F.count("*").alias("n"))
+
+
+@register("""with f as (select min(ts) first from events)
+select floor((epoch_us(ts) // 1000000 - epoch_us(first) // 1000000) / 3600.0)::bigint as hour, ((value >= 10)::int + (value >= 50)::int + (value >= 100)::int)::bigint as step, count(*)::bigint as n from events, f where value is not null group by all""")
+def time_and_step_bins(spark, sf_dir):
+    from .operators import discretize
+
+    df = discretize.time_bin(table(spark, sf_dir, "events").where("value is not null"), "ts", 3600, "hour")
+    return df.groupBy("hour", discretize.stepped(F.col("value"), [10, 50, 100]).alias("step")).agg(F.count("*").alias("n"))
+
+
+HOT = {"size": 50, "brand": 25}
+_PART_CODES = "(select p_partkey, (p_size - 1)::bigint as size, (dense_rank() over (order by p_brand) - 1)::bigint as brand from part)"
+
+
+def _part_codes(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 1).cast("long").alias("size"), F.col("p_brand").alias("brand"))
+    return encode.ordinal_encode(df, ["brand"])
+
+
+@register(f"select slot, count(*)::bigint as n from (select size as slot from {_PART_CODES} union all select 50 + brand from {_PART_CODES}) group by 1")
+def onehot_slots(spark, sf_dir):
+    from .operators.discretize import hot_slots
+
+    return hot_slots(_part_codes(spark, sf_dir), "p_partkey", HOT).groupBy("slot").agg(F.count("*").alias("n"))
+
+
+@register(f"select p_partkey, size, brand from {_PART_CODES}")
+def onehot_round_trip(spark, sf_dir):
+    from .operators.discretize import from_slots, hot_slots
+
+    return from_slots(hot_slots(_part_codes(spark, sf_dir), "p_partkey", HOT), "p_partkey", HOT)
+
+
+_TOTALS = " union all ".join(f"select {s * s * k}::double as variance, sum(n + {_gauss_sql('tot', float(s), a)}) as total from (select {a}, count(*) n from {LINE_SQL} group by 1)" for a, k, s in (("flag", 3, 2), ("line", 7, 3), ("tax", 9, 4)))
+
+
+@register(f"select round(sum(total / variance) / sum(1 / variance), 6) as total, round(1 / sum(1 / variance), 9) as variance from ({_TOTALS})")
+def combined_total(spark, sf_dir):
+    """The number of line items from noisy marginals of three attributes, weighted by inverse variance."""
+    from functools import reduce
+
+    from .operators.discretize import running_total
+
+    counts = marginal.marginals(coded_lines(spark, sf_dir), [("flag",), ("line",), ("tax",)])
+    part = lambda a, s: counts.where(F.col("clique") == a).agg(F.sum(F.col("n") + noise.keyed_gaussian("tot", float(s), "k1")).alias("total"), F.lit(float(s * s * LINE_DOMAIN[a])).alias("variance"))
+    totals = reduce(DataFrame.unionByName, [part("flag", 2), part("line", 3), part("tax", 4)])
+    return running_total(totals).select(F.round("total", 6).alias("total"), F.round("variance", 9).alias("variance"))
+
+
+RANGES_2D = [(i, i % 3 * 5, 20 + i % 7 * 4, i % 4, 4 + i % 6) for i in range(40)]
+
+
+@register("select q.query::bigint as query, count(l.quantity)::bigint as n from (values " + ", ".join(map(str, RANGES_2D)) + f") q(query, al, ah, bl, bh) left join {LINE_SQL} l on quantity between al and ah and discount between bl and bh group by 1")
+def range_2d_queries(spark, sf_dir):
+    cells = marginal.zero_filled(coded_lines(spark, sf_dir), LINE_DOMAIN, ("quantity", "discount"))
+    queries = spark.createDataFrame(RANGES_2D, "query long, a_lo long, a_hi long, b_lo long, b_hi long")
+    return predicates.range_2d(cells, "quantity", "discount", queries)
+
+
+@register(f"""select flag, line, round(count(*) + (-1.5::double * sign({_share_sql('lap', "flag || '|' || line")} - 0.5::double) * ln(1 - 2 * abs({_share_sql('lap', "flag || '|' || line")} - 0.5::double))), 6) as y from {LINE_SQL} group by flag, line""")
+def laplace_marginal(spark, sf_dir):
+    """Counts with Laplace noise."""
+    counts = marginal.marginals(coded_lines(spark, sf_dir), [("flag", "line")])
+    return counts.select(F.col("k1").alias("flag"), F.col("k2").alias("line"), F.round(F.col("n") + noise.keyed_laplace("lap", 1.5, "k1", "k2"), 6).alias("y"))
