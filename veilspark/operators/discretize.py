@@ -38,7 +38,7 @@ class Discretizer:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        binned = {c: uniform_bin(F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)), lo, hi, self.bins) for c, (lo, hi) in self.ranges.items()}
+        binned = {c: F.when(F.col(c).isNotNull(), uniform_bin(F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)), lo, hi, self.bins)) for c, (lo, hi) in self.ranges.items()}
         return encode(df, self.maps).withColumns(binned) if binned else encode(df, self.maps)
 
     def inverse(self, df: DataFrame) -> DataFrame:

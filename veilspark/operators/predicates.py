@@ -140,3 +140,20 @@ def range_2d(table: DataFrame, a: str, b: str, queries: DataFrame) -> DataFrame:
     corners = F.array(corner("a_hi", "b_hi", 1), corner("a_lo", "b_hi", -1), corner("a_hi", "b_lo", -1), corner("a_lo", "b_lo", 1))
     met = low.select("query", F.explode(corners).alias("c")).select("query", "c.x", "c.y", "c.sign").join(upto, ["x", "y"], "left")
     return met.groupBy("query").agg(F.coalesce(F.sum(F.col("n") * F.col("sign")), F.lit(0)).cast("long").alias("n"))
+
+
+def disjunctions(df: DataFrame, queries: Sequence[Sequence[Mapping[str, object]]]) -> DataFrame:
+    """query, n: rows that satisfy at least one conjunction of each query, all of one pass over the distinct tuples of the queried attributes."""
+    attrs = sorted({a for q in queries for terms in q for a in terms})
+    cells = df.groupBy(*attrs).agg(F.count("*").alias("n"))
+    some = lambda q: F.sum(F.when(reduce(Column.__or__, map(conjunction, q)), F.col("n")))
+    row = cells.agg(*[F.coalesce(some(q), F.lit(0)).cast("long").alias(f"q{i}") for i, q in enumerate(queries)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("query"), F.col(f"q{i}").alias("n")) for i in range(len(queries))])).alias("e")).select("e.*")
+
+
+def ranges(hist: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, n: counts of ranges (query, lo, hi) of codes, two prefix sums each; a range without codes counts 0."""
+    upto = prefix_sums(hist)
+    ends = queries.select("query", F.explode(F.array(F.struct("hi", F.lit(1).alias("sign")), F.struct((F.col("lo") - 1).alias("hi"), F.lit(-1).alias("sign")))).alias("e"))
+    met = ends.select("query", F.col("e.hi").alias("code"), "e.sign").join(upto, "code", "left")
+    return met.groupBy("query").agg(F.coalesce(F.sum(F.col("n") * F.col("sign")), F.lit(0)).cast("long").alias("n"))

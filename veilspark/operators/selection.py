@@ -86,3 +86,26 @@ def spanning_tree(weights: Mapping[Clique, float], attrs: Sequence[str], rho: fl
         part[root(edge[0])] = root(edge[1])
         tree.append(edge)
     return tree
+
+
+def top_above(scores: DataFrame, key: str, score: str, q: int, least: float) -> DataFrame:
+    """At most q candidates of greatest score, of those at or above `least`; ties to the smaller key."""
+    return scores.where(F.col(score) >= least).orderBy(F.desc(score), key).limit(q)
+
+
+def combined(cliques: Sequence[Clique], domain: Domain, cells: int = 5000) -> list[Clique]:
+    """Cliques merged, smallest union first, while a union that shares attributes stays within `cells` cells; none lies inside another."""
+    out = [tuple(a for a in domain if a in c) for c in dict.fromkeys(map(frozenset, cliques))]
+    while True:
+        unions = [(domain.size(u), i, j, u) for i, x in enumerate(out) for j, y in enumerate(out[:i]) if set(x) & set(y) for u in [tuple(a for a in domain if a in x or a in y)]]
+        size, i, j, union = min(unions, default=(math.inf, 0, 0, ()))
+        if size > cells and not any(set(u) in (set(out[a]), set(out[b])) for _, a, b, u in unions):
+            return out
+        if size > cells:
+            _, i, j, union = next(x for x in unions if set(x[3]) in (set(out[x[1]]), set(out[x[2]])))
+        out = [c for k, c in enumerate(out) if k not in (i, j)] + [union]
+
+
+def isolated(domain: Domain, cliques: Sequence[Clique]) -> list[str]:
+    """Attributes that no clique holds; they are measured alone."""
+    return [a for a in domain if not any(a in c for c in cliques)]

@@ -852,3 +852,47 @@ def laplace_marginal(spark, sf_dir):
     """Counts with Laplace noise."""
     counts = marginal.marginals(coded_lines(spark, sf_dir), [("flag", "line")])
     return counts.select(F.col("k1").alias("flag"), F.col("k2").alias("line"), F.round(F.col("n") + noise.keyed_laplace("lap", 1.5, "k1", "k2"), 6).alias("y"))
+
+
+DISJUNCTS = [[{"flag": i % 3, "quantity": (i, i + 15)}, {"tax": (i % 5, i % 5 + 2), "status": i % 2}] for i in range(20)]
+
+
+@register(" union all ".join(f"select {i}::bigint as query, count(*)::bigint as n from {LINE_SQL} where (flag = {a['flag']} and quantity between {a['quantity'][0]} and {a['quantity'][1]}) or (tax between {b['tax'][0]} and {b['tax'][1]} and status = {b['status']})" for i, (a, b) in enumerate(DISJUNCTS)))
+def disjunct_counts(spark, sf_dir):
+    return predicates.disjunctions(coded_lines(spark, sf_dir), DISJUNCTS)
+
+
+@register(f"""with q as (select i as query, floor({_share_sql('lo', 'i')} * 50)::bigint a, floor({_share_sql('hi', 'i')} * 50)::bigint b from (select unnest(range(200)) i))
+select query::bigint as query, count(l.quantity)::bigint as n from q left join {LINE_SQL} l on l.quantity between least(a, b) and greatest(a, b) group by 1""")
+def random_ranges(spark, sf_dir):
+    """Counts of 200 ranges with keyed random ends."""
+    end = lambda s: F.floor(noise.keyed_uniform(s, "id") * 50).cast("long")
+    asked = spark.range(200).select(F.col("id").alias("query"), F.least(end("lo"), end("hi")).alias("lo"), F.greatest(end("lo"), end("hi")).alias("hi"))
+    return predicates.ranges(predicates.histogram(coded_lines(spark, sf_dir), "quantity", 50), asked)
+
+
+@register(f"select quantity, count(*)::bigint as n from {LINE_SQL} group by 1 having count(*) >= (select count(*) / 50.0::double from lineitem) order by n desc, quantity limit 12")
+def top_above_mean(spark, sf_dir):
+    """At most 12 of the quantities that stand at least as often as the mean of the domain."""
+    counts = coded_lines(spark, sf_dir).groupBy("quantity").agg(F.count("*").alias("n"))
+    return selection.top_above(counts, "quantity", "n", 12, counts.agg(F.sum("n")).first()[0] / 50)
+
+
+@register("select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P')")
+def index_filter(spark, sf_dir):
+    """Line items of a table of row ids, by a semi join."""
+    ids = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(ids, "l_orderkey", "left_semi")
+
+
+@register("select c_nationkey as nation from customer union select s_nationkey from supplier")
+def union_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+
+
+@register(" union all ".join(f"select '{c}' as attr, count({c})::bigint as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as deviation, min({c})::double as least, max({c})::double as greatest from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
+def described(spark, sf_dir):
+    """Number, mean, deviation and range of columns, all from one pass."""
+    columns = ("l_quantity", "l_extendedprice", "l_discount")
+    fields = lambda c: F.struct(F.lit(c).alias("attr"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+    return table(spark, sf_dir, "lineitem").agg(F.array(*map(fields, columns)).alias("e")).select(F.explode("e").alias("e")).select("e.*")
