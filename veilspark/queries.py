@@ -847,7 +847,7 @@ def range_2d_queries(spark, sf_dir):
     return predicates.range_2d(cells, "quantity", "discount", queries)
 
 
-@register(f"""select flag, line, round(count(*) + (-1.5::double * sign({_share_sql('lap', "flag || '|' || line")} - 0.5::double) * ln(1 - 2 * abs({_share_sql('lap', "flag || '|' || line")} - 0.5::double))), 6) as y from {LINE_SQL} group by flag, line""")
+@register(f"""select flag::bigint as flag, line::bigint as line, round(count(*) + (-1.5::double * sign({_share_sql('lap', "flag || '|' || line")} - 0.5::double) * ln(1 - 2 * abs({_share_sql('lap', "flag || '|' || line")} - 0.5::double))), 6) as y from {LINE_SQL} group by flag, line""")
 def laplace_marginal(spark, sf_dir):
     """Counts with Laplace noise."""
     counts = marginal.marginals(coded_lines(spark, sf_dir), [("flag", "line")])
