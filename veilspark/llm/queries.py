@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import ann, bpe, embed_dedup, langid, license_scan, lm_score, mixing, near_dup, token_counts, toxicity
+from . import ann, bpe, embed_dedup, filter_audit, fim, langid, license_scan, lm_score, mixing, near_dup, token_counts, toxicity
 from .shared import shared_dir
 
 
@@ -131,8 +131,70 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_bucket(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each step of all orders of five filters, for each language."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = f"""
+with recursive
+texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+words as (select *, regexp_extract_all(text, '{WORDS}') as words, min(doc_id) over (partition by text) as first from texts),
+masks as (
+  select w.part,
+    (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * len(regexp_extract_all(w.text, '[A-Z]')) > 3 * length(w.text))::int
+    + 8 * regexp_matches(w.text, '[#$%&*|]')::int + 16 * (w.doc_id > w.first)::int as mask,
+    coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic
+  from words w left join labels l using (doc_id)),
+cells as (select part, mask, good, toxic, count(*) as n from masks group by all),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+prefixes(prefix, step, letter, bit, before, applied) as (
+  select '', 0, '', 0, 0, 0
+  union all
+  select prefix || l.letter, step + 1, l.letter, l.bit, applied, applied | l.bit from prefixes join letters l on applied & l.bit = 0),
+met as (
+  select part, prefix, step, letter,
+    coalesce(sum(n) filter (mask & applied = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & before > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & before = 0 and good), 0)::bigint as good_lost,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & before = 0 and toxic), 0)::bigint as toxic_lost
+  from cells, prefixes where step > 0 group by all)
+select part, f.prefix as filter_order, m.step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, m.letter))::bigint as shapley
+from met m join prefixes f on f.step = 5 and starts_with(f.prefix, m.prefix)
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rewritten for filling in its middle, as digests."""
+    return fim.fill_in_middle(_table(spark, sf_dir, "documents"), with_output=False)
+
+
+OP13_SQL = """
+with drawn as (
+  select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+numbers as (
+  select *, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from drawn),
+cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from numbers),
+pieces as (
+  select *, substring(text, 1, lo) as prefix, substring(text, lo + 1, hi - lo) as middle, substring(text, hi + 1) as suffix from cuts)
+select doc_id, n::bigint as n, form,
+  case when form <> 'plain' then lo end::bigint as prefix_chars, case when form <> 'plain' then hi - lo end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from pieces
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann_search, op2_mix_sources, op3_license_scan, op4_byte_bpe, op5_lm_score, op6_near_dup, op7_language_id, op8_toxicity, op9_embed_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_ann_search, op2_mix_sources, op3_license_scan, op4_byte_bpe, op5_lm_score, op6_near_dup, op7_language_id, op8_toxicity, op9_embed_dedup, op10_token_counts, op12_filter_audit, op13_fill_in_middle)
 }
 
-ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op12_filter_audit": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
