@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import ann, bpe, embed_dedup, filter_audit, fim, langid, license_scan, lm_score, mixing, near_dup, token_counts, toxicity
+from . import ann, bpe, embed_dedup, filter_audit, fim, html_extract, langid, license_scan, lm_score, mixing, near_dup, token_counts, toxicity
 from .shared import shared_dir
 
 
@@ -131,6 +131,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_bucket(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by wrappers inferred for each host."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each step of all orders of five filters, for each language."""
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -194,7 +199,7 @@ from pieces
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann_search, op2_mix_sources, op3_license_scan, op4_byte_bpe, op5_lm_score, op6_near_dup, op7_language_id, op8_toxicity, op9_embed_dedup, op10_token_counts, op12_filter_audit, op13_fill_in_middle)
+    f.__name__: f for f in (op1_ann_search, op2_mix_sources, op3_license_scan, op4_byte_bpe, op5_lm_score, op6_near_dup, op7_language_id, op8_toxicity, op9_embed_dedup, op10_token_counts, op11_html_extract, op12_filter_audit, op13_fill_in_middle)
 }
 
 ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op12_filter_audit": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
