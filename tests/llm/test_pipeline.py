@@ -51,6 +51,9 @@ COLUMNS = {
     "op8_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op9_embed_dedup": "vec_id:bigint n_links:bigint component_id:bigint kept:boolean",
     "op10_token_counts": "doc_id:bigint n_bytes:bigint n_tokens:bigint over_limit:boolean",
+    "op11_html_extract": "page_id:bigint url:string text:string n_chars:bigint",
+    "op12_filter_audit": "part:string filter_order:string step:int kept:bigint removed:bigint redundant:bigint unique_fails:bigint good_lost:bigint toxic_lost:bigint shapley:bigint",
+    "op13_fill_in_middle": "doc_id:bigint n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
 }
 
 
@@ -59,8 +62,8 @@ def test_columns_and_rows(spark, name):
     got = queries.QUERIES[name](spark, SF)
     types = dict(got.dtypes)
     assert {c: types.get(c) for c in (x.split(":")[0] for x in COLUMNS[name].split())} == dict(x.split(":") for x in COLUMNS[name].split())
-    table = spark.read.parquet(f"{SF}/{'embeddings' if 'vec_id' in COLUMNS[name] else 'documents'}.parquet")
-    n = table.count() if name != "op1_ann_search" else 20 * table.where("vec_id % 20 = 0").count()
+    table = spark.read.parquet(f"{SF}/{'embeddings' if 'vec_id' in COLUMNS[name] else 'pages' if 'page_id' in COLUMNS[name] else 'documents'}.parquet")
+    n = {"op1_ann_search": lambda: 20 * table.where("vec_id % 20 = 0").count(), "op12_filter_audit": lambda: 600 * table.select("lang").distinct().count()}.get(name, table.count)()
     assert got.count() == n
 
 
@@ -68,5 +71,5 @@ def test_registered_queries_run(spark):
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(names)

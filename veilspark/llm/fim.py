@@ -47,9 +47,11 @@ class Cutter:
         n = sum(map(len, parts))
 
         def place(units: int) -> int:
+            if not units:
+                return 0
             for part in parts:
                 if units <= len(part):
-                    return part[units - 1] if units else 0
+                    return part[units - 1]
                 units -= len(part)
             raise IndexError(units)
 
