@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from veilspark.functions import tables
 from veilspark.functions.budget import Ledger
 from veilspark.operators import evaluate, graphical, partition, synthesize
 from veilspark.plans.domain import Domain, all_cliques
@@ -56,7 +57,17 @@ def test_sampled_rows_follow_the_model(spark):
     rows = synthesize.sample(spark, model, 20000)
     got = synthesize.datavectors(rows, D, all_cliques(D, 2))
     assert rows.count() == 20000 and all(np.abs(got[c] / 4 - model.project(c)).sum() / 5000 < 0.05 for c in got)
-    assert sorted(rows.limit(50).collect()) == sorted(synthesize.sample(spark, model, 20000).limit(50).collect())
+    assert rows.orderBy("row_id").collect() == synthesize.sample(spark, model, 20000).orderBy("row_id").collect()
+
+
+def test_sampled_rows_do_not_move(spark, monkeypatch):
+    x = chain_joint(np.random.default_rng(3))
+    model = graphical.fit(D, [graphical.Measurement(c, view(x, c), 1.0) for c in [("a", "b"), ("b", "c"), ("c", "d")]], 200)
+    rows = synthesize.sample(spark, model, 3000)
+    assert not any(x in rows._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Join"))
+    for bound in ("LITERAL", "BROADCAST"):  # the same rows from a broadcast and from a joined table
+        monkeypatch.setattr(tables, bound, 0)
+        assert synthesize.sample(spark, model, 3000).orderBy("row_id").collect() == rows.orderBy("row_id").collect()
 
 
 @pytest.mark.parametrize("how", ["aim", "mst"])

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.noise import keyed_uniform
+from ..functions.tables import literal, looked_up
 from ..plans.domain import Clique, Domain
-from ..sources.shared import settled
+from ..sources.shared import Rounds
 from .marginal import cell_codes, cell_id
 
 
@@ -19,9 +20,9 @@ def start(spark: SparkSession, domain: Domain, one_way: Mapping[str, np.ndarray]
     out = spark.range(rows).withColumnRenamed("id", "row_id")
     for a in domain:
         share = np.maximum(one_way[a], 0)
-        upto = (np.cumsum(share) / max(share.sum(), 1e-12))[:-1].tolist()
+        upto = (np.cumsum(share) / max(share.sum(), 1e-12))[:-1]
         u = keyed_uniform(seed + a, "row_id")
-        out = out.withColumn(a, F.size(F.filter(F.array(*map(F.lit, upto)).cast("array<double>"), lambda p: p <= u)).cast("long"))  # noqa: B023
+        out = out.withColumn(a, F.size(F.filter(literal(upto), lambda p: p <= u)).cast("long"))  # noqa: B023
     return out
 
 
@@ -29,7 +30,7 @@ def moved(df: DataFrame, domain: Domain, clique: Clique, target: np.ndarray, cou
     """One step towards a marginal: each row of an over-full cell leaves with the probability of the cell's excess, and draws its new cell by the deficits.
 
     Rows decide by a hash of their id, so nothing is ordered, no cell gathers in a task and
-    a retried task moves the same rows. The cells' table is bounded by the domain.
+    a retried task moves the same rows. Tables of cells are bounded by the domain.
     """
     off = (counts - target * counts.sum() / max(target.sum(), 1e-12)).ravel()
     leave = np.where(off > 0, alpha * off / np.maximum(counts.ravel(), 1), 0.0)
@@ -37,13 +38,11 @@ def moved(df: DataFrame, domain: Domain, clique: Clique, target: np.ndarray, cou
     if not room.sum() or not (leave > 0).any():
         return df
     ids = np.flatnonzero(room)
-    spark = df.sparkSession
-    out_of = spark.createDataFrame([(int(i), float(leave[i])) for i in np.flatnonzero(leave)], "_cell long, _leave double")
-    upto = (np.cumsum(room[ids]) / room.sum()).tolist()
-    rows = df.withColumn("_cell", cell_id(domain, clique)).join(out_of, "_cell", "left")
+    upto = np.cumsum(room[ids]) / room.sum()
+    rows = looked_up(df.withColumn("_cell", cell_id(domain, clique)), F.col("_cell"), leave, "_leave")
     goes = keyed_uniform(seed + "leave", "row_id") <= F.coalesce("_leave", F.lit(0.0))
-    place = F.size(F.filter(F.array(*map(F.lit, upto[:-1])).cast("array<double>"), lambda p: p <= keyed_uniform(seed + "enter", "row_id")))
-    new = F.element_at(F.array(*map(F.lit, ids.tolist())).cast("array<long>"), place + 1)
+    place = F.size(F.filter(literal(upto[:-1]), lambda p: p <= keyed_uniform(seed + "enter", "row_id")))
+    new = F.get(literal(ids), place).cast("long")
     rows = rows.withColumn("_new", F.when(goes, new).otherwise(F.col("_cell")))
     codes = {a: c for a, c in zip(clique, cell_codes(domain, clique, F.col("_new")), strict=True)}
     return rows.withColumns(codes).select(*df.columns)
@@ -59,18 +58,21 @@ def total_error(counts: Mapping[Clique, np.ndarray], targets: Mapping[Clique, np
 
 
 def updated(df: DataFrame, domain: Domain, targets: Mapping[Clique, np.ndarray], rounds: int = MOST_ROUNDS, alpha: float = 1.0, decay: float = 0.6, seed: str = "move") -> DataFrame:
-    """Passes over all target marginals with decreasing step until their total error stops falling; each step counts its marginal and settles the rows."""
+    """Passes over all target marginals with decreasing step until their total error stops falling; each step counts its marginal and settles the rows, and what it started from is removed."""
     from .synthesize import datavectors
 
     best, least = df, total_error(datavectors(df, domain, list(targets)), targets)
+    tables = Rounds(df.sparkSession, "records")
     for k in range(rounds):
         for clique, target in targets.items():
             counts = datavectors(df, domain, [clique])[clique]
-            df = settled(moved(df, domain, clique, target, counts, alpha * decay**k, f"{seed}{k}{','.join(clique)}"), "records")
+            df = tables(moved(df, domain, clique, target, counts, alpha * decay**k, f"{seed}{k}{','.join(clique)}"))
+            tables.only(df, best)
         error = total_error(datavectors(df, domain, list(targets)), targets)
         if error >= least:
             break
         best, least = df, error
+    tables.only(best)
     return best
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.budget import Ledger
 from ..functions.noise import gaussian_sigma
+from ..functions.tables import looked_up
 from ..plans.domain import Clique, Domain, all_cliques, score_workload
 from .graphical import MODEL_MB, Measurement, TreeModel, elimination, fit, model_mb
 from .marginal import clique_name, marginals
@@ -102,9 +103,10 @@ def mst(df: DataFrame, domain: Domain, rho: float, rng: np.random.Generator | No
 def sample(spark: SparkSession, model: TreeModel, rows: int, seed: str = "rows") -> DataFrame:
     """`rows` synthetic rows: each attribute in turn from its conditional distribution given its clique.
 
-    The conditionals are tables of a cumulative array for each combination of parents; a
-    row's draw is a hash of its id, the attribute and the seed, so a retried task draws the
-    same. One join on the parents for each attribute, no shuffle where the table is small.
+    The conditionals are cumulative arrays, one for each combination of parents, looked up
+    by the parents' mixed-radix code: literals, so that rows never move; a model beyond
+    that size is broadcast or, beyond a checked bound, joined (see functions/tables.py). A
+    row's draw is a hash of its id, the attribute and the seed, so a retried task draws alike.
     """
     domain = model.domain
     order, _ = elimination(domain, model.nodes)
@@ -115,16 +117,12 @@ def sample(spark: SparkSession, model: TreeModel, rows: int, seed: str = "rows")
         table = model.project((*parents, a))
         mass = table.sum(-1, keepdims=True)
         share = np.where(mass > 0, table / np.where(mass > 0, mass, 1), 1 / table.shape[-1])
-        upto = np.minimum(np.cumsum(share, -1), 1.0)[..., :-1]  # the last code takes the rest
+        upto = np.minimum(np.cumsum(share, -1), 1.0)[..., :-1].reshape(mass.size, -1)  # the last code takes the rest
         u = (F.pmod(F.xxhash64("row_id", F.lit(a), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        code = lambda cdf: F.size(F.filter(cdf, lambda p: p <= u)).cast("long")  # noqa: B023, E731
-        if not parents:
-            out = out.withColumn(a, code(F.array(*map(F.lit, upto.tolist())).cast("array<double>")))
-        else:
-            cells = np.stack(np.unravel_index(np.arange(mass.size), mass.shape[:-1]), 1).tolist()
-            schema = ", ".join(f"`{p}` long" for p in parents) + ", _cdf array<double>"
-            cdf = spark.createDataFrame([(*c, p) for c, p in zip(cells, upto.reshape(mass.size, -1).tolist(), strict=True)], schema)
-            out = out.join(cdf, list(parents)).withColumn(a, code(F.col("_cdf"))).drop("_cdf")
+        cell = F.lit(0).cast("long")
+        for p in parents:
+            cell = cell * domain[p] + F.col(p)
+        out = looked_up(out, cell, upto, "_cdf").withColumn(a, F.size(F.filter("_cdf", lambda p: p <= u)).cast("long")).drop("_cdf")  # noqa: B023
         done.append(a)
     return out.select("row_id", *domain.attrs)
 
