@@ -450,6 +450,62 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def brute_kept(rows, similarity=0.8):
+    """The class of each row, by all pairs of distinct word sequences."""
+    words = {t: tuple(re.findall(r"\w+", (t or "").lower())) for _, t in rows}
+    nodes = sorted({w for w in words.values() if w})
+    of = {w: w for w in nodes}
+    links = [(a, b) for a in nodes for b in nodes if a < b and 1 - brute_edit(a, b) / max(len(a), len(b)) >= similarity]
+    for _ in nodes:
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
+    least = {}
+    for k, t in rows:
+        if k is not None and words[t]:
+            c = of[words[t]]
+            least[c] = min(k, least.get(c, k))
+    return [k if k is None or not words[t] else least[of[words[t]]] for k, t in rows]
+
+
+def test_keys_with_several_texts_lose_none(spark):
+    rng = random.Random(21)
+    text = lambda n=60: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    x, d, e, f = text(), text(), text(), text()
+    near = d.split()
+    for i in range(0, 50, 10):
+        near[i] = "changed"
+    near = " ".join(near)
+    rows = [(1, x), (5, x), (5, d), (7, d), (9, near), (11, e), (11, e), (12, e), (12, f), (3, f), (None, f), (20, ""), (20, None), (21, "!"), (13, f)]
+    docs = documents(spark, [(*r, "en", "s") for r in rows])
+    got = near_dup.near_duplicates(docs)
+    classes = brute_kept(rows)
+    order = lambda v: sorted(v, key=str)
+    assert order((r["doc_id"], r["class_id"], r["kept"]) for r in got.collect()) == order((k, c, c == k) for (k, _), c in zip(rows, classes, strict=True))
+    kept = [(r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(docs).collect()]
+    want = {(k, t or "") for (k, t), c in zip(rows, classes, strict=True) if k is not None and c == k} | {(None, f)}
+    assert order((k, t or "") for k, t in kept) == order(want) and sum(t == d for _, t in kept) == 1 and (5, d) in kept
+
+
+def test_random_keys_and_texts_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    pool = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(30, 60))]
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.choice([0, 1, 2, 15])):
+                copy[at] = word()
+            pool.append(" ".join(copy))
+    rows = [(rng.randrange(40), rng.choice(pool)) for _ in range(120)]
+    docs = documents(spark, [(*r, "en", "s") for r in rows])
+    classes = brute_kept(rows)
+    kept = sorted({(k, t) for (k, t), c in zip(rows, classes, strict=True) if c == k})
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(docs).collect()) == kept
+    monkeypatch.setattr(near_dup, "BROADCAST_NODES", 0)  # the same by shuffled joins
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(docs).collect()) == kept
+
+
 def test_near_duplicates_whose_values_lie_in_a_hot_bucket(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
@@ -472,10 +528,11 @@ def test_similar_texts_share_a_rare_gram(a, edits, similarity):
         b[at : at + (how > 0)] = [w] if how < 2 else []
     if not a or not b or not near_dup.similar(np.array(a), np.array(b), similarity) or a == b:
         return
-    batch = pa.RecordBatch.from_pydict({"doc": [1, 2], "text": [" ".join(f"w{x}" for x in t) for t in (a, b)]})
+    words = [near_dup.word_hashes([" ".join(f"w{x}" for x in t)])[0].astype("<u4").tobytes() for t in (a, b)]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([b"1", b"2"]), "words": pa.array(words)})
     shared = SimpleNamespace(value=np.arange(near_dup.RARITY_SLOTS) % 7)
     out = pa.Table.from_batches(near_dup._rare(shared, similarity)([batch])).to_pandas()
-    met = out[out.doc == 1].merge(out[out.doc == 2], on="value")
+    met = out[out.node == b"1"].merge(out[out.node == b"2"], on="value")
     k, longer = near_dup._gram(similarity), max(len(a), len(b))
     assert met[["left_x", "left_y"]].min(axis=1).max() >= longer - k + 1 - k * math.floor((1 - similarity) * longer + 1e-9)
 
