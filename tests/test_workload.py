@@ -19,12 +19,6 @@ def test_strategies_lower_the_error():
     assert np.isclose(found.l1(), 1.0) and w.expected_error(ranges, found, 1.0) < 0.9 * w.expected_error(ranges, w.Identity(64), 1.0)
 
 
-def test_multiplicative_weights_move_towards_answers():
-    q = np.array([[1, 1, 0, 0], [0, 1, 1, 0]], float)
-    got = w.multiplicative_weights(np.ones(4), q, np.array([0.8, 0.6]), 300)
-    assert np.allclose(q @ got, [0.8, 0.6], atol=0.02)
-
-
 def test_subsets(spark):
     df = spark.range(3000).selectExpr("id", "id % 5 as code", "if(id % 10 = 0, null, id % 3) as gap")
     parts = {r["split"]: r["count"] for r in subsets.split(df, "id", {"train": 0.8, "test": 0.2}).groupBy("split").count().collect()}

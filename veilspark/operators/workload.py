@@ -192,15 +192,3 @@ def p_identity(workload: Workload, p: int, rounds: int = 200, seed: int = 0) ->
         error = score(trial)
         b, best, step = (trial, error, step * 1.1) if error < best else (b, best, max(0.01, step * 0.97))
     return build(b)
-
-
-def multiplicative_weights(weights: np.ndarray, queries: np.ndarray, answers: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """A distribution over support cells moved towards measured answers; the average of all rounds. queries: query x cell in [0, 1]."""
-    w = np.asarray(weights, float) / np.sum(weights)
-    mean = np.zeros_like(w)
-    for _ in range(rounds):
-        for q, m in zip(queries, answers, strict=True):
-            w = w * np.exp(q * (m - q @ w) / 2)
-            w /= w.sum()
-        mean += w / rounds
-    return mean

@@ -896,3 +896,71 @@ def described(spark, sf_dir):
     columns = ("l_quantity", "l_extendedprice", "l_discount")
     fields = lambda c: F.struct(F.lit(c).alias("attr"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("greatest"))
     return table(spark, sf_dir, "lineitem").agg(F.array(*map(fields, columns)).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+
+
+# --- reweighted supports, query numbers, public rows ---------------------------------------
+
+WEIGHED = ("flag", "status", "line", "tax")
+WEIGHED_PAIRS = all_cliques(LINE_DOMAIN.project(WEIGHED), 2)
+
+
+def _reweighted_sql(rounds: int) -> str:
+    """The rounds of multiplicative weights as a chain of tables, from equal weights."""
+    pairs = " union all ".join("select '{0},{1}' as clique, {0} as k1, {1} as k2, sum({{w}}) as share from {{t}} group by all".format(*c) for c in WEIGHED_PAIRS)
+    match = " ".join(f"when '{a},{b}' then {a} = k1 and {b} = k2" for a, b in WEIGHED_PAIRS)
+    cols = ", ".join(WEIGHED)
+    steps = [f"measured as ({pairs.format(w='share', t=f'(select *, 1::double / count(*) over () as share from {LINE_SQL} where l_orderkey % 2 = 0)')})", f"t0 as (select {cols}, 0::double as log, 1::double / count(*) over () as w from (select distinct {cols} from {LINE_SQL}))"]
+    for r in range(1, rounds + 1):
+        steps += [
+            f"q{r} as (select clique, k1, k2, sum(y) as error from (select clique, k1, k2, share as y from measured union all select clique, k1, k2, -share from ({pairs.format(w='w', t=f't{r - 1}')})) group by all order by abs(error) desc, clique, k1, k2 limit 1)",
+            f"u{r} as (select {cols}, log + case when case clique {match} end then error else 0 end as log from t{r - 1}, q{r})", f"t{r} as (select *, exp(log) / sum(exp(log)) over () as w from u{r})",
+        ]
+    joins = " ".join(f"join t{r} using ({cols})" for r in range(1, rounds))
+    mean = " + ".join(f"t{r}.w" for r in range(1, rounds + 1))
+    return f"with {', '.join(steps)} select {cols}, round(t{rounds}.w, 9) as last, round(({mean}) / {rounds}, 9) as mean from t{rounds} {joins}"
+
+
+@register(_reweighted_sql(3))
+def reweighted_support(spark, sf_dir):
+    """Weights of all occupied cells after three rounds towards the two-way shares of even orders."""
+    from .operators import reweight
+
+    lines = coded_lines(spark, sf_dir)
+    measured = reweight.measured_shares(halves(lines)[0], WEIGHED_PAIRS)
+    out, _ = reweight.multiplicative_weights(lines.select(*WEIGHED).distinct(), measured, WEIGHED_PAIRS, 3, settle=2)
+    return out.select(*WEIGHED, F.round("last", 9).alias("last"), F.round("mean", 9).alias("mean"))
+
+
+def _first(attr: str) -> int:
+    return sum(LINE_DOMAIN[a] for a in LINE_DOMAIN.attrs[: LINE_DOMAIN.attrs.index(attr)])
+
+
+def _query_index_sql() -> str:
+    parts, at = [], 0
+    for a, b in TWO:
+        m, n = LINE_DOMAIN[a], LINE_DOMAIN[b]
+        code = lambda x: f"(c // {n})" if x == a else f"(c % {n})" if x == b else "-1"  # noqa: B023, E731
+        codes = ", ".join(f"{code(x)}::bigint as {x}" for x in LINE_DOMAIN)
+        parts.append(f"select ({at} + c)::bigint as query, '{a},{b}' as clique, ({_first(a)} + c // {n})::bigint as p1, ({_first(b)} + c % {n})::bigint as p2, {codes}, coalesce(m.n, 0)::bigint as n from range({m * n}) r(c) left join (select {a} as x, {b} as y, count(*) as n from {LINE_SQL} group by all) m on m.x = c // {n} and m.y = c % {n}")
+        at += m * n
+    return " union all ".join(parts)
+
+
+@register(_query_index_sql())
+def query_index(spark, sf_dir):
+    """Every query of the two-way workload: its number, one-hot positions, attribute codes and answer."""
+    from .operators import query_index as index
+
+    out = index.answered(marginal.marginals(coded_lines(spark, sf_dir), TWO), LINE_DOMAIN, TWO)
+    return out.select("query", "clique", F.col("positions")[0].alias("p1"), F.col("positions")[1].alias("p2"), *LINE_DOMAIN, "n")
+
+
+@register()
+def public_filter(spark, sf_dir):
+    """Odd vectors, as public rows, filtered towards the noisy mean embedding of even vectors and their labels."""
+    from .operators import public_filter as public
+
+    e = table(spark, sf_dir, "embeddings")
+    embedding = public.embedded(F.col("embedding"), FREQUENCIES, F.col("label"), range(10))
+    target = public.mean_embedding(e.where("vec_id % 2 = 0"), embedding, 0.001)
+    return public.filtered(e.where("vec_id % 2 = 1"), "vec_id", embedding, target)
