@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running
+
 #: Columns with fewer distinct values are coded by order, others are binned or merged.
 DISTINCT = 100
 
@@ -14,13 +16,13 @@ DISTINCT = 100
 def ordinal_map(df: DataFrame, column: str) -> DataFrame:
     """value, code: rank of each distinct value in order, from 0. One row for each value."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code"))
+    return running(values, ["value"])[0].select("value", F.col("_rank").alias("code"))
 
 
 def frequency_map(df: DataFrame, column: str) -> DataFrame:
     """value, code, n: most frequent value first, ties by value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.select("value", (F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1).cast("long").alias("code"), "n")
+    return running(counts, [F.desc("n"), "value"])[0].select("value", F.col("_rank").alias("code"), "n")
 
 
 def encode(df: DataFrame, maps: dict[str, DataFrame], suffix: str = "") -> DataFrame:
@@ -103,14 +105,12 @@ def rescaled_99(x: Column, lo: float, hi: float) -> Column:
 
 def quantile_rows(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """lo, hi: the observed values at or above the low and at or below the high quantile."""
-    rows = df.where(F.col(column).isNotNull())
-    n = rows.count()
-    at = Window.orderBy(column)
     from math import ceil, floor
 
-    counts = rows.groupBy(column).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(at))
-    pick = lambda i: F.min(F.when(F.col("upto") > i, F.col(column)))
-    return counts.agg(pick(ceil(low * (n - 1))).alias("lo"), pick(floor(high * (n - 1))).alias("hi"))
+    rows = df.where(F.col(column).isNotNull())
+    counts, total = running(rows.groupBy(column).agg(F.count("*").alias("n")), [column], ["n"])
+    pick = lambda i: F.min(F.when(F.col("_before_n") + F.col("n") > i, F.col(column)))
+    return counts.agg(pick(ceil(low * (total["n"] - 1))).alias("lo"), pick(floor(high * (total["n"] - 1))).alias("hi"))
 
 
 def standardised(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -145,8 +145,8 @@ def one_hot_counts(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
 def empirical_cdf(df: DataFrame, column: str, name: str = "cdf") -> DataFrame:
     """Average rank / n of each row's value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumns({"_upto": F.sum("_n").over(Window.orderBy("_v")), "_all": F.sum("_n").over(Window.partitionBy())})
-    ranks = counts.select("_v", ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all")).alias(name))
+    counts, total = running(counts, ["_v"], ["_n"])
+    ranks = counts.select("_v", ((F.col("_before__n") + (F.col("_n") + 1) / 2) / F.lit(total["_n"])).alias(name))
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
@@ -158,11 +158,39 @@ def rare_by_rows(df: DataFrame, column: str, share: float, other: str = "__rare_
     return df.join(rare, F.col(column) == F.col("_v"), "left").withColumn(column, F.when(F.col("_rare"), F.lit(other)).otherwise(F.col(column).cast("string"))).drop("_v", "_rare")
 
 
+# Wichura's rational approximations of the normal quantile (algorithm AS 241, the
+# double-precision form), numerators and denominators by falling powers.
+_CENTRE = (
+    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080),
+    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+)
+_FLANK = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258, 3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0),
+)
+_TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580, 5.46378491116411436990, 6.65790464350110377720),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
+
+def _ratio(parts: tuple, x: Column) -> Column:
+    def polynomial(coefficients: tuple) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    return polynomial(parts[0]) / polynomial(parts[1])
+
+
 def inverse_normal(p: Column) -> Column:
-    """Quantile of the standard normal distribution by the usual rational approximation (error below 5e-4)."""
-    t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(p < 0.5, -z).otherwise(z)
+    """Quantile of the standard normal distribution, to about 16 digits; infinite at 0 and 1."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.signum(q) * F.when(r <= 5, _ratio(_FLANK, r - 1.6)).otherwise(_ratio(_TAIL, r - 5))
+    end = F.when(p == 0, float("-inf")).when(p == 1, float("inf"))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(_CENTRE, 0.180625 - q * q)).otherwise(F.coalesce(end, tail))
 
 
 def quantile_normal(df: DataFrame, column: str, name: str) -> DataFrame:

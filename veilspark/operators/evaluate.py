@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running
 from ..plans.domain import Clique
 from .marginal import marginals
 from .predicates import shares
@@ -72,7 +73,8 @@ def classification(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """auc by the rank sum; tied scores share their average rank. Ranks come from counts of distinct scores."""
     counts = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    rank = F.sum("n").over(Window.orderBy(score)) - (F.col("n") - 1) / 2.0
+    counts, _ = running(counts, [score], ["n"])
+    rank = F.col("_before_n") + (F.col("n") + 1) / 2.0
     sums = counts.withColumn("rank", rank).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

@@ -6,10 +6,11 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise import keyed_gumbel
+from ..functions.ranks import running
 from ..plans.domain import Clique, Domain
 
 
@@ -32,19 +33,18 @@ def exponential_mechanism(scores: Mapping, epsilon: float, sensitivity: float =
 
 def proportional(df: DataFrame, n: int, weight: str, *order: str) -> DataFrame:
     """Adds `take`: integers that follow the weights and add up to n, by rounding running shares."""
-    upto = F.sum(weight).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(weight).over(Window.partitionBy())
-    edge = F.bround(upto / total * n).cast("long")
-    return df.withColumn("_edge", edge).withColumn("take", F.col("_edge") - F.coalesce(F.lag("_edge").over(Window.orderBy(*order)), F.lit(0).cast("long"))).drop("_edge")
+    out, total = running(df, order, [weight])
+    edge = lambda upto: F.bround(upto / F.lit(total[weight]) * n).cast("long")
+    before = F.col(f"_before_{weight}")
+    return out.withColumn("take", edge(before + F.col(weight)) - edge(before)).select(*df.columns, "take")
 
 
 def largest_remainder(df: DataFrame, n: int, weight: str, key: str) -> DataFrame:
     """Adds `take`: floors of the exact shares of n, the rest to the largest fractions (ties: smaller key)."""
-    exact = F.col(weight) * n / F.sum(weight).over(Window.partitionBy())
+    exact = F.col(weight) * n / F.lit(df.agg(F.sum(weight)).first()[0])
     out = df.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact").cast("long"))
-    rest = n - F.sum("_floor").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_exact") - F.col("_floor"), 9)), key))
-    return out.withColumn("take", F.col("_floor") + (place <= rest).cast("long")).drop("_exact", "_floor")
+    out, total = running(out, [F.desc(F.round(F.col("_exact") - F.col("_floor"), 9)), key], ["_floor"])
+    return out.withColumn("take", F.col("_floor") + (F.col("_rank") < n - total["_floor"]).cast("long")).select(*df.columns, "take")
 
 
 def pareto(points: Mapping[object, tuple[float, float]]) -> list:

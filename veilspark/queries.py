@@ -737,11 +737,22 @@ def tvd_weighted_summary(spark, sf_dir):
     return by.agg(F.round(F.sum(F.col("tvd") * F.col("w")) / F.sum("w"), 9).alias("tvd"))
 
 
-@register("""with c as (select o_totalprice v, count(*) n from orders group by 1), r as (select v, (sum(n) over (order by v) - (n - 1) / 2.0::double) / sum(n) over () - 0.5::double / sum(n) over () as p from c),
-t as (select v, p, sqrt(-2 * ln(least(p, 1 - p))) as t from r), z as (select v, p, t - (2.515517::double + 0.802853::double * t + 0.010328::double * t * t) / (1 + 1.432788::double * t + 0.189269::double * t * t + 0.001308::double * t * t * t) as z from t)
-select o_orderkey, round(case when p < 0.5 then -z else z end, 6) as score from orders join z on v = o_totalprice""")
+def _ratio_sql(parts: tuple, x: str) -> str:
+    def polynomial(coefficients: tuple) -> str:
+        out = f"{coefficients[0]!r}::double"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r}::double)"
+        return out
+
+    return f"{polynomial(parts[0])} / {polynomial(parts[1])}"
+
+
+@register(f"""with c as (select o_totalprice v, count(*) n from orders group by 1), r as (select v, (sum(n) over (order by v) - (n - 1) / 2.0::double) / sum(n) over () - 0.5::double / sum(n) over () as p from c),
+t as (select v, p - 0.5 as q, 0.180625::double - (p - 0.5) * (p - 0.5) as c, sqrt(-ln(least(p, 1 - p))) - 1.6::double as f, sqrt(-ln(least(p, 1 - p))) - 5 as e from r),
+z as (select v, case when abs(q) <= 0.425 then q * {_ratio_sql(encode._CENTRE, "c")} else sign(q) * case when e <= 0 then {_ratio_sql(encode._FLANK, "f")} else {_ratio_sql(encode._TAIL, "e")} end end as z from t)
+select o_orderkey, round(z, 8) as score from orders join z on v = o_totalprice""")
 def normal_scores(spark, sf_dir):
-    return encode.quantile_normal(table(spark, sf_dir, "orders"), "o_totalprice", "score").select("o_orderkey", F.round("score", 6).alias("score"))
+    return encode.quantile_normal(table(spark, sf_dir, "orders"), "o_totalprice", "score").select("o_orderkey", F.round("score", 8).alias("score"))
 
 
 @register("""with c as (select props, count(*) n from events group by 1)
@@ -964,3 +975,44 @@ def public_filter(spark, sf_dir):
     embedding = public.embedded(F.col("embedding"), FREQUENCIES, F.col("label"), range(10))
     target = public.mean_embedding(e.where("vec_id % 2 = 0"), embedding, 0.001)
     return public.filtered(e.where("vec_id % 2 = 1"), "vec_id", embedding, target)
+
+
+@register(f"""with l as (select line as sep, tax, l_orderkey from {LINE_SQL}),
+m as (select sep, tax, count(*) as n from l where l_orderkey % 2 = 0 group by all),
+s as (select c.sep, t.tax, coalesce(n, 0) as n from (select distinct sep from l) c cross join range({LINE_DOMAIN["tax"]}) t(tax) left join m using (sep, tax)),
+v as (select sep, tax, sum(n) over (partition by sep order by tax) / sum(n) over (partition by sep)::double as v from s),
+k as (select sep, count(*) as rows from l group by 1),
+e as (select sep, tax, case when tax = {LINE_DOMAIN["tax"] - 1} then rows else floor(v * rows + 0.5) end as edge from v join k using (sep))
+select sep::bigint as line, tax::bigint as tax, (edge - coalesce(lag(edge) over (partition by sep order by tax), 0))::bigint as n from e qualify n > 0""")
+def appended_attribute(spark, sf_dir):
+    """Counts of lines and an appended tax: every line's rows follow the shares of even orders to within one."""
+    from .operators import append, synthesize
+
+    lines = coded_lines(spark, sf_dir)
+    clique = ("line", "tax")
+    target = synthesize.datavectors(halves(lines)[0], LINE_DOMAIN, [clique])[clique]
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), (F.col("l_linenumber") - 1).cast("long").alias("line"))
+    out = append.appended(rows, "id", LINE_DOMAIN, append.Leaf("tax", ("line",), clique), target)
+    return out.groupBy("line", "tax").agg(F.count("*").alias("n"))
+
+
+def _uniform_sql(seed: str, *keys: str) -> str:
+    return f"((('0x' || substr(md5('{seed}|' || " + " || '|' || ".join(f"{k}::varchar" for k in keys) + "), 1, 8))::bigint::double + 1) / 4294967297.0::double)"
+
+
+@register(f"""with rows as (select o_orderkey as key, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as status, cast(substr(o_orderpriority, 1, 1) as int) - 1 as priority from orders),
+each as (select 'status' as "column", status as category, key from rows union all select 'priority', priority, key from rows),
+placed as (select *, row_number() over (partition by "column", category order by md5(key::varchar), key) - 1 as k from each),
+counts as (select "column", category, count(*) as n from each group by all),
+shares as (select *, sum(ln(1 + n)) over (partition by "column" order by category) / sum(ln(1 + n)) over (partition by "column") as upto from counts),
+asked as (select c_custkey as request, case least(1, floor({_uniform_sql("conditioncolumn", "c_custkey")} * 2)) when 0 then 'status' else 'priority' end as "column", {_uniform_sql("conditioncategory", "c_custkey")} as u, {_uniform_sql("conditionrow", "c_custkey")} as r from customer),
+drawn as (select request, a."column", count(*) filter (s.upto <= a.u) as category, any_value(r) as r from asked a join shares s on a."column" = s."column" group by 1, 2)
+select request, d."column", d.category::bigint as category, p.k::bigint as k, p.key from drawn d join counts c on c."column" = d."column" and c.category = d.category
+join placed p on p."column" = d."column" and p.category = d.category and p.k = least(floor(d.r * c.n), c.n - 1)""")
+def conditional_rows(spark, sf_dir):
+    """For each customer a keyed draw: a column, one of its categories by log frequency, one of the orders of that category."""
+    from .operators import postings
+
+    status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"))
+    return postings.conditional_sample(table(spark, sf_dir, "customer"), "c_custkey", orders, "o_orderkey", {"status": 3, "priority": 5})
