@@ -7,7 +7,6 @@ import random
 import re
 import zlib
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -519,22 +518,52 @@ def test_near_duplicates_whose_values_lie_in_a_hot_bucket(spark):
     assert got == {i: i - i % 2 for i in range(200)}
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2), st.integers(0, 9)), max_size=8), st.sampled_from([0.6, 0.75, 0.8, 0.9]))
-def test_similar_texts_share_a_rare_gram(a, edits, similarity):
+@pytest.mark.parametrize("shared", [0.3, 0.6])
+def test_finer_values_of_similar_texts(shared):
+    """Texts that share a frequent passage: those that are similar by their own words too share a finer value, others seldom."""
+    rng = random.Random(31)
+    word = lambda: str(rng.randrange(10**9))
+    passage, texts = [word() for _ in range(int(100 * shared))], []
+    for _ in range(300):
+        own = [word() for _ in range(100 - len(passage))]
+        copy = list(own)
+        for at in rng.sample(range(len(own)), 20):
+            copy[at] = word()
+        texts += [" ".join(own + passage), " ".join(copy + passage)]
+    often = np.zeros(near_dup.RARITY_SLOTS, np.int64)
+    with np.errstate(over="ignore"):
+        h, counts = near_dup.word_hashes(texts)
+        np.add.at(often, (near_dup.kmers(h, counts, 1)[0] % np.uint64(near_dup.RARITY_SLOTS)).astype(np.int64), 1)
+        values, text = near_dup.finer(h, counts, often, near_dup.K)
+    held = [set() for _ in texts]
+    for v, t in zip(values.tolist(), text.tolist(), strict=True):
+        held[t].add(v)
+    assert np.mean([bool(held[i] & held[i + 1]) for i in range(0, 600, 2)]) >= 0.99
+    rare = [set(values[(text == t)][: near_dup.FINER].tolist()) for t in range(0, 600, 2)]
+    assert np.mean([bool(rare[i] & rare[i + 1]) for i in range(299)]) < 0.05
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2), st.integers(0, 9)), max_size=10), st.sampled_from([0.6, 0.8, 0.9]))
+def test_bags_keep_all_similar_texts(a, edits, similarity):
     b = list(a)
     for at, how, w in edits:
         at = min(at, len(b))
         b[at : at + (how > 0)] = [w] if how < 2 else []
-    if not a or not b or not near_dup.similar(np.array(a), np.array(b), similarity) or a == b:
-        return
     words = [near_dup.word_hashes([" ".join(f"w{x}" for x in t)])[0].astype("<u4").tobytes() for t in (a, b)]
-    batch = pa.RecordBatch.from_pydict({"node": pa.array([b"1", b"2"]), "words": pa.array(words)})
-    shared = SimpleNamespace(value=np.arange(near_dup.RARITY_SLOTS) % 7)
-    out = pa.Table.from_batches(near_dup._rare(shared, similarity)([batch])).to_pandas()
-    met = out[out.node == b"1"].merge(out[out.node == b"2"], on="value")
-    k, longer = near_dup._gram(similarity), max(len(a), len(b))
-    assert met[["left_x", "left_y"]].min(axis=1).max() >= longer - k + 1 - k * math.floor((1 - similarity) * longer + 1e-9)
+    bags = pa.Table.from_batches(near_dup._bags([pa.RecordBatch.from_pydict({"id": pa.array([1, 2]), "words": pa.array(words)})])).to_pydict()
+    pair = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "ba": [bags["bag"][0]], "bb": [bags["bag"][1]], "na": [len(a)], "nb": [len(b)]})
+    kept = sum(x.num_rows for x in near_dup._sifted(similarity)([pair]))
+    assert kept == 1 or not near_dup.similar(np.array(a), np.array(b), similarity)
+
+
+def test_numbers_of_digests_never_meet(spark, monkeypatch):
+    plain = F.xxhash64
+    monkeypatch.setattr(near_dup.F, "xxhash64", lambda *c: F.pmod(plain(*c), F.lit(50)) if len(c) == 1 else plain(*c))  # most numbers meet
+    firsts = spark.createDataFrame([(bytes([i]), i) for i in range(100)], "node binary, doc long")
+    numbered, renamed = near_dup._numbered(firsts)
+    rows = numbered.collect()
+    assert len(rows) == len({r["id"] for r in rows}) == 100 and {r["node"]: r["id"] for r in near_dup._with_ids(firsts, renamed).collect()} == {r["node"]: r["id"] for r in rows}
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])

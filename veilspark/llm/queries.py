@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from . import ann, bpe, embed_dedup, filter_audit, fim, html_extract, langid, license_scan, lm_score, mixing, near_dup, token_counts, toxicity
-from .shared import shared_dir
+from .shared import removed, settled, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,22 +17,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    """The 20 nearest of every twentieth vector."""
+    return settled(lambda: ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0), spark, "ann-search")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
     return lm_score.score(_table(spark, sf_dir, "documents"))
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    """The near-duplicate component of every vector within its label."""
+    return settled(lambda: embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")), spark, "embed-dedup")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to ids and decoded again, as digests."""
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents")
@@ -40,10 +45,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache of this call's own."""
     import public_tokenizers
 
     cache = f"{shared_dir(spark)}/token_counts-{uuid.uuid4().hex}"  # of this call alone: every call does the whole work
-    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    docs, path = _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    counted = settled(lambda: token_counts.count_tokens(docs, path, cache), spark, "token-counts")
+    removed(spark, cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
@@ -59,8 +67,10 @@ def mix_columns() -> tuple:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
     size, quality = mix_columns()
-    return mixing.mix(_table(spark, sf_dir, "documents"), size, quality).select("row.doc_id", "size", "source_size", "target", "taken")
+    mixed = lambda: mixing.mix(_table(spark, sf_dir, "documents"), size, quality).select("row.doc_id", "size", "source_size", "target", "taken")
+    return settled(mixed, spark, "mixed")
 
 
 OP2_SQL = f"""
@@ -92,6 +102,7 @@ select doc_id, size, source_size, target, ((epochs + (upto - size / 2.0 <= budge
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or holds."""
     found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
     starts, base = F.col("base.first_word"), F.col("base.label")
     named = F.filter("spans", lambda x: x.named)
@@ -112,6 +123,7 @@ def language_model(docs: DataFrame) -> langid.CrossParser:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, language_model(docs)).select("doc_id", F.coalesce(_bucket(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
@@ -126,6 +138,7 @@ TOXIC = 0.3
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", F.coalesce(_bucket(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths of the tables that the innermost scratch() is to remove.
 _paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
@@ -40,6 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Rows up to which a narrow table (a few numbers or digests a row, some 100 bytes in memory) is broadcast.
+NARROW = 500_000
+
+
+def small(narrow: DataFrame, rows: int = NARROW) -> DataFrame:
+    """A narrow written table, to be broadcast if it has no more than `rows` rows (its files' footers tell), else joined as Spark sees fit."""
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def removed(spark: SparkSession, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import Pieces
-from .shared import shared_dir
+from .shared import NARROW, shared_dir, written
 from .words import runs, texts_of
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
@@ -113,23 +113,34 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, key: str
     """key, n_bytes (UTF-8), n_tokens of every whole text.
 
     `path` is a tokenizer file (.json or .model) that the driver and all workers have;
-    `cache` a folder that all share (default: token_counts in the shared folder). Digests
-    and one row number travel to find the distinct misses; a text moves only if it is the
-    one of its digest to be encoded, and a digest shared by many rows meets its count in a
-    join whose large partitions Spark may split. A cache that already holds a digest twice
-    (two runs at once) is reduced to one row for each. Null text counts as empty; repeated
-    rows and null keys keep a row each; an empty table gives an empty result.
+    `cache` a folder that all share (default: token_counts in the shared folder). Keys,
+    digests and sizes are written once; digests and the hash of one row of each travel to
+    find the distinct misses. The rows to be encoded are picked where they are read, by a
+    broadcast of the misses or, where these are many, of the digests that are stored
+    already or stand in several rows; only if both are more than NARROW do texts move, once,
+    to meet their digests. A digest shared by many rows meets its count in a join whose
+    large partitions Spark may split. A cache that already holds a digest twice (two runs
+    at once) is reduced to one row for each. Null text counts as empty; repeated rows and
+    null keys keep a row each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     cache = cache or f"{shared_dir(spark)}/token_counts"
     tokenizer = tokenizer_digest(path)
     text = normalised(F.col(column))
-    rows = docs.select(F.col(key), text.alias("text")).withColumns({"content": F.sha2(F.col("text"), 256)})
+    rows = docs.select(F.col(key).alias("key"), text.alias("text")).withColumns({"content": F.sha2(F.col("text"), 256), "pick": F.xxhash64("key")})
+    narrow = written(rows.select("key", "content", "pick", F.octet_length("text").cast("long").alias("n_bytes")), "token-rows")
     stored = lambda: read_cache(spark, cache).where(F.col("tokenizer") == tokenizer)
-    missing = rows.groupBy("content").agg(F.min(F.xxhash64(F.col(key))).alias("pick")).join(stored().select("content"), "content", "left_anti")
-    picked = rows.withColumn("pick", F.xxhash64(F.col(key))).join(missing.hint("shuffle_hash"), ["content", "pick"], "left_semi")
+    digests = narrow.groupBy("content").agg(F.min("pick").alias("pick"), F.count("*").alias("n"))
+    digests = written(digests.join(stored().select("content", F.lit(True).alias("known")).distinct(), "content", "left"), "token-digests")
+    missing, others = digests.where("known is null").select("content", "pick"), digests.where("known or n > 1")
+    if missing.count() <= NARROW:
+        picked = rows.join(F.broadcast(missing), ["content", "pick"], "left_semi")
+    elif others.count() <= NARROW:
+        met = rows.join(F.broadcast(others.select("content", F.when(F.col("known").isNull(), F.col("pick")).alias("one"), F.lit(True).alias("other"))), "content", "left")
+        picked = met.where(F.col("other").isNull() | (F.col("pick") == F.col("one")))
+    else:
+        picked = rows.join(missing.hint("shuffle_hash"), ["content", "pick"], "left_semi")
     once = picked.select("content", "text").mapInArrow(_counts(path), "content string, n_tokens long")
     once.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    sizes = rows.select(key, "content", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sizes.join(counts, "content").select(key, "n_bytes", "n_tokens")
+    return narrow.join(counts, "content").select(F.col("key").alias(key), "n_bytes", "n_tokens")
