@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.functions import tables
 from veilspark.functions.budget import Ledger
@@ -126,6 +127,24 @@ def test_record_updates_move_rows_to_the_targets(spark):
     assert len(records.separated([("a", "b"), ("c", "d"), ("b", "x")])) == 2
 
 
+@pytest.mark.parametrize(("mode", "schedule"), [("complete", "constant"), ("halves, partial", "root")])
+def test_complete_updates_copy_rows_of_the_cell(spark, mode, schedule):
+    from veilspark.operators import records
+
+    x = chain_joint(np.random.default_rng(6))
+    rows = records.start(spark, D, {a: view(x, (a,)) for a in D}, 4000).withColumn("tag", F.concat_ws("-", *D))
+    targets = {c: view(x, c) for c in [("a", "b"), ("b", "c")]}
+    counts = synthesize.datavectors(rows, D, list(targets))
+    clique = ("a", "b")
+    once = records.moved(rows, D, clique, targets[clique], counts[clique], 1.0, "s", 1.0)
+    assert once.count() == 4000 and once.columns == rows.columns and once.where(F.col("tag") != F.concat_ws("-", *D)).count() == 0  # whole rows are copied
+    assert once.orderBy("row_id").collect() == records.moved(rows, D, clique, targets[clique], counts[clique], 1.0, "s", 1.0).orderBy("row_id").collect()
+    after = records.updated(rows, D, targets, rounds=2, schedule=schedule, mode=mode)
+    error = lambda df: records.total_error(synthesize.datavectors(df, D, list(targets)), targets)
+    assert after.count() == 4000 and error(after) < 0.6 * error(rows)
+    assert set(records.SCHEDULES) >= {"constant", "root"} and all(0 < f(k) <= 1 for f in records.SCHEDULES.values() for k in (0, 7, 120))
+
+
 @pytest.mark.parametrize(("name", "attrs", "most"), [("gum_synth", ["flag", "status", "line", "tax"], 0.014), ("aim_synth", list(LINE_DOMAIN), 0.113)])
 def test_synthetic_marginals_reach_their_targets(spark, name, attrs, most):
     from veilspark.operators import records

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.noise import keyed_uniform
-from ..functions.tables import literal, looked_up
+from ..functions.ranks import numbered_within, stretches
+from ..functions.tables import BROADCAST, literal, looked_up
 from ..plans.domain import Clique, Domain
 from ..sources.shared import Rounds
 from .marginal import cell_codes, cell_id
@@ -26,11 +28,15 @@ def start(spark: SparkSession, domain: Domain, one_way: Mapping[str, np.ndarray]
     return out
 
 
-def moved(df: DataFrame, domain: Domain, clique: Clique, target: np.ndarray, counts: np.ndarray, alpha: float, seed: str) -> DataFrame:
+def moved(df: DataFrame, domain: Domain, clique: Clique, target: np.ndarray, counts: np.ndarray, alpha: float, seed: str, whole: float = 0.0) -> DataFrame:
     """One step towards a marginal: each row of an over-full cell leaves with the probability of the cell's excess, and draws its new cell by the deficits.
 
-    Rows decide by a hash of their id, so nothing is ordered, no cell gathers in a task and
-    a retried task moves the same rows. Tables of cells are bounded by the domain.
+    Of the rows that enter a cell which has rows, a share of `whole` copies another row of
+    that cell in all attributes (a complete update); the others, and all that enter an empty cell, change
+    the clique's attributes alone (a partial update). Rows decide by a hash of their id, so
+    a retried task moves the same rows. Partial updates order nothing and move nothing;
+    complete ones look their donor up by (cell, position), with cells numbered in stretches.
+    Tables of cells are bounded by the domain.
     """
     off = (counts - target * counts.sum() / max(target.sum(), 1e-12)).ravel()
     leave = np.where(off > 0, alpha * off / np.maximum(counts.ravel(), 1), 0.0)
@@ -45,7 +51,27 @@ def moved(df: DataFrame, domain: Domain, clique: Clique, target: np.ndarray, cou
     new = F.get(literal(ids), place).cast("long")
     rows = rows.withColumn("_new", F.when(goes, new).otherwise(F.col("_cell")))
     codes = {a: c for a, c in zip(clique, cell_codes(domain, clique, F.col("_new")), strict=True)}
-    return rows.withColumns(codes).select(*df.columns)
+    if whole <= 0:
+        return rows.withColumns(codes).select(*df.columns)
+    copies = F.coalesce(goes & (keyed_uniform(seed + "whole", "row_id") <= whole), F.lit(False))
+    donors = numbered_within(rows.where(~F.coalesce(goes, F.lit(False))), ["_cell"], F.floor(keyed_uniform(seed + "donor", "row_id") * stretches(df)), [keyed_uniform(seed + "donor", "row_id"), "row_id"])
+    rest = [c for c in df.columns if c != "row_id"]
+    donors = donors.select(F.col("_cell").alias("_new"), F.col("_position").alias("_at"), "_size", F.struct(*rest).alias("_donor"))
+    sizes = donors.groupBy("_new").agg(F.first("_size").alias("_of"))  # one row for each cell
+    asked = rows.where(copies).join(F.broadcast(sizes) if domain.size(clique) <= BROADCAST else sizes, "_new", "left")
+    asked = asked.withColumn("_at", F.floor(keyed_uniform(seed + "copy", "row_id") * F.col("_of"))).join(donors, ["_new", "_at"], "left")
+    keep = {c: F.when(F.col("_donor").isNotNull(), F.col(f"_donor.{c}")).otherwise(codes.get(c, F.col(c))) for c in rest}
+    return rows.where(~copies).withColumns(codes).select(*df.columns).unionByName(asked.select("row_id", *[v.alias(c) for c, v in keep.items()]))
+
+
+# How the step falls with the pass, from 0, by name.
+SCHEDULES: dict[str, Callable[[int], float]] = {
+    "constant": lambda k: 1.0, "tenth": lambda k: 0.1, "fifth": lambda k: 0.2, "three tenths": lambda k: 0.3, "half": lambda k: 0.5,
+    "geometric": lambda k: 0.98**k, "slowing": lambda k: 0.98 ** min(k, 100) * 0.99 ** max(0, k - 100), "steps": lambda k: 0.84 ** (k // 20), "exponential": lambda k: math.exp(-0.008 * k),
+    "linear": lambda k: 1 / (1 + 0.02 * k), "root": lambda k: 1 / math.sqrt(1 + 0.12 * k), "fast": lambda k: 0.6**k,
+}
+# The shares of complete updates in even and in odd passes, by name.
+MODES: dict[str, tuple[float, float]] = {"partial": (0.0, 0.0), "complete": (1.0, 1.0), "halves": (0.5, 0.5), "partial, complete": (0.0, 1.0), "halves, complete": (0.5, 1.0), "halves, partial": (0.5, 0.0)}
 
 
 #: Passes at most, as in the reference.
@@ -57,21 +83,31 @@ def total_error(counts: Mapping[Clique, np.ndarray], targets: Mapping[Clique, np
     return float(sum(np.abs(counts[c] - t * counts[c].sum() / max(t.sum(), 1e-12)).sum() for c, t in targets.items()))
 
 
-def updated(df: DataFrame, domain: Domain, targets: Mapping[Clique, np.ndarray], rounds: int = MOST_ROUNDS, alpha: float = 1.0, decay: float = 0.6, seed: str = "move") -> DataFrame:
-    """Passes over all target marginals with decreasing step until their total error stops falling; each step counts its marginal and settles the rows, and what it started from is removed."""
+def updated(df: DataFrame, domain: Domain, targets: Mapping[Clique, np.ndarray], rounds: int = MOST_ROUNDS, alpha: float = 1.0, schedule: str = "fast", mode: str = "partial", seed: str = "move") -> DataFrame:
+    """Passes over all target marginals with decreasing step until their total error stops falling.
+
+    The step of pass k is alpha times SCHEDULES[schedule](k), the share of complete updates
+    MODES[mode]. A pass takes the targets in order of their error at its start, the worst
+    first; each step counts its marginal and settles the rows, and what it started from is removed.
+    """
     from .synthesize import datavectors
 
-    best, least = df, total_error(datavectors(df, domain, list(targets)), targets)
+    def errors(rows: DataFrame) -> dict[Clique, float]:
+        counts = datavectors(rows, domain, list(targets))
+        return {c: total_error({c: counts[c]}, {c: t}) for c, t in targets.items()}
+
+    off = errors(df)
+    best, least = df, sum(off.values())
     tables = Rounds(df.sparkSession, "records")
     for k in range(rounds):
-        for clique, target in targets.items():
+        for clique in sorted(targets, key=lambda c: -off[c]):
             counts = datavectors(df, domain, [clique])[clique]
-            df = tables(moved(df, domain, clique, target, counts, alpha * decay**k, f"{seed}{k}{','.join(clique)}"))
+            df = tables(moved(df, domain, clique, targets[clique], counts, alpha * SCHEDULES[schedule](k), f"{seed}{k}{','.join(clique)}", MODES[mode][k % 2]))
             tables.only(df, best)
-        error = total_error(datavectors(df, domain, list(targets)), targets)
-        if error >= least:
+        off = errors(df)
+        if sum(off.values()) >= least:
             break
-        best, least = df, error
+        best, least = df, sum(off.values())
     tables.only(best)
     return best
 

@@ -1016,3 +1016,38 @@ def conditional_rows(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"))
     return postings.conditional_sample(table(spark, sf_dir, "customer"), "c_custkey", orders, "o_orderkey", {"status": 3, "priority": 5})
+
+
+# --- selection by coins, integer noise -----------------------------------------------------
+
+
+@register(f"""with s as (select s_nationkey, s_suppkey, s_acctbal, max(s_acctbal) over (partition by s_nationkey) as top from supplier),
+c as (select *, {_uniform_sql("flipcoin", "s_nationkey", "s_suppkey")} as coin, {_uniform_sql("fliporder", "s_nationkey", "s_suppkey")} as place from s)
+select s_nationkey, arg_min(s_suppkey, struct_pack(a := place, b := s_suppkey)) as s_suppkey from c where s_acctbal = top or coin <= exp(0.002 * (s_acctbal - top) / 2) group by 1""")
+def permute_flip(spark, sf_dir):
+    """One supplier of each nation by permute-and-flip over the balances."""
+    from .operators import mechanisms
+
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    return mechanisms.permute_and_flip(s, "s_suppkey", "s_acctbal", 0.002, "flip", by=["s_nationkey"]).select("s_nationkey", "s_suppkey")
+
+
+@register("""with b as (select 1 + s_nationkey % 5 as d, max(s_acctbal) as q from supplier group by 1)
+select s_suppkey, round(min((s_acctbal - q - 3 * (1 + s_nationkey % 5 - d)) / (1 + s_nationkey % 5 + d)), 6) as scaled from supplier, b group by s_suppkey""")
+def comparable_scores(spark, sf_dir):
+    """Scores of suppliers whose sensitivities differ, as margins of sensitivity 1."""
+    from .operators import mechanisms
+
+    s = table(spark, sf_dir, "supplier").withColumn("d", 1 + F.col("s_nationkey") % 5)
+    return mechanisms.comparable(s, "s_acctbal", "d", 3.0).select("s_suppkey", F.round("scaled", 6).alias("scaled"))
+
+
+@register()
+def integer_noise(spark, sf_dir):
+    """All cells of (line, tax) with their counts and exact discrete Gaussian noise of variance 12.25."""
+    from fractions import Fraction
+
+    from .functions import exact
+
+    cells = marginal.zero_filled(coded_lines(spark, sf_dir), LINE_DOMAIN, ("line", "tax"))
+    return cells.withColumn("noisy", F.col("n") + exact.exact_gaussian("integers", Fraction(49, 4), "line", "tax"))
