@@ -2,8 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 
 from veilspark.operators import consistency, marginal, selection
 from veilspark.plans.domain import Domain, all_cliques, downward_closure, maximal, score_workload
@@ -36,18 +34,57 @@ def test_marginals_on_edge_cases(spark):
         marginal.zero_filled(df, Domain({"a": 1, "b": 3}), ("a", "b")).collect()
 
 
-@given(st.lists(st.floats(-50, 50), min_size=1, max_size=30))
-def test_norm_sub_keeps_the_total(x):
-    y = consistency.norm_sub(np.array(x))
-    assert (y >= 0).all() and abs(y.sum() - max(0, sum(x))) < 1e-6
+def shifted(x, total):
+    """The nearest non-negative vector of a total."""
+    lo, hi = min(x) - abs(total) - 1, max(x)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.maximum(0, x - mid).sum() > total else (lo, mid)
+    return np.maximum(0, x - hi)
 
 
-def test_consistent_marginals_agree():
+def test_norm_sub_is_the_nearest(spark):
+    rng = np.random.default_rng(3)
+    groups = [rng.normal(rng.choice([-3, 0, 4]), 5, rng.integers(1, 12)).round(1) for _ in range(60)]
+    rows = [(g, i, float(v)) for g, x in enumerate(groups) for i, v in enumerate(x)]
+    got = consistency.norm_sub(spark.createDataFrame(rows, "g long, cell long, n double"), "cell", "n", "g").collect()
+    by = {(r["g"], r["cell"]): r["n"] for r in got}
+    for g, x in enumerate(groups):
+        want = shifted(x, x.sum()) if x.sum() > 0 else np.zeros(len(x))
+        assert np.allclose([by[g, i] for i in range(len(x))], want, atol=1e-6)
+
+
+def brute_agreed(out, shared):
+    """One round over the sets, one after another."""
+    for s in shared:
+        who = [c for c in out if set(s) <= set(c)]
+        views = {c: out[c].sum(tuple(i for i, a in enumerate(c) if a not in s)) for c in who}
+        behind = {c: out[c].size / views[c].size for c in who}
+        mean = sum(views[c] / behind[c] for c in who) / sum(1 / behind[c] for c in who)
+        for c in who:
+            out[c] = out[c] + np.expand_dims((mean - views[c]) / behind[c], tuple(i for i, a in enumerate(c) if a not in s))
+    return out
+
+
+def test_consistent_marginals_agree(spark):
     rng = np.random.default_rng(1)
+    domain = Domain({"a": 3, "b": 4, "c": 5})
     noisy = {("a", "b"): rng.normal(10, 5, (3, 4)), ("b", "c"): rng.normal(8, 5, (4, 5)), ("a", "c"): rng.normal(8, 5, (3, 5))}
-    out = consistency.consistent(noisy, rounds=200)
-    assert np.allclose(out["a", "b"].sum(0), out["b", "c"].sum(1), atol=0.05) and np.allclose(out["a", "b"].sum(1), out["a", "c"].sum(1), atol=0.05)
-    assert all(m.min() > -0.05 for m in out.values())
+    table = lambda x: spark.createDataFrame([(",".join(c), int(i), int(j), float(m[i, j])) for c, m in x.items() for i, j in np.ndindex(m.shape)], "clique string, k1 long, k2 long, n double")
+
+    def arrays(df):
+        out = {c: np.zeros(m.shape) for c, m in noisy.items()}
+        for r in df.collect():
+            out[tuple(r["clique"].split(","))][r["k1"], r["k2"]] = r["n"]
+        return out
+
+    want = brute_agreed({c: m.copy() + 50 for c, m in noisy.items()}, [(), ("a",), ("b",), ("c",)])  # nothing is cut
+    got = arrays(consistency.consistent(table({c: m + 50 for c, m in noisy.items()}), domain, list(noisy), rounds=1))
+    assert all(np.allclose(got[c], want[c]) for c in noisy)
+    out = arrays(consistency.consistent(table(noisy), domain, list(noisy), rounds=6))
+    assert np.allclose(out["a", "b"].sum(0), out["b", "c"].sum(1), atol=1.5) and np.allclose(out["a", "b"].sum(1), out["a", "c"].sum(1), atol=1.5)
+    assert all(m.min() >= -1e-9 for m in out.values())
+
 
 
 def test_selection():

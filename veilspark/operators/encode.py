@@ -11,6 +11,8 @@ from ..functions.ranks import running
 
 #: Columns with fewer distinct values are coded by order, others are binned or merged.
 DISTINCT = 100
+#: What the least value is lifted to before its logarithm is taken.
+LOG_OFFSET = 0.01
 
 
 def ordinal_map(df: DataFrame, column: str) -> DataFrame:
@@ -50,7 +52,7 @@ def uniform_bin(x: Column, lo: float, hi: float, bins: int = 100) -> Column:
     return (F.least(F.lit(bins - 1), F.floor((x - lo) / width)) if width > 0 else F.when(x.isNotNull(), F.lit(0))).cast("long")
 
 
-def log_bin(x: Column, lo: float, hi: float, bins: int = 100, offset: float = 0.01) -> Column:
+def log_bin(x: Column, lo: float, hi: float, bins: int = 100, offset: float = LOG_OFFSET) -> Column:
     """Equal-width bin of log2(x - (lo - offset))."""
     from math import log2
 

@@ -136,12 +136,5 @@ def two_way_workload(domain: Domain, most_cells: int = 250_000) -> dict[Clique,
     return dict.fromkeys(all_cliques(domain, 2, most_cells), 1.0)
 
 
-def filtered_codes(counts: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """(new code of each code, old codes of the merged one): counts below three deviations share the last code."""
-    keep = counts >= 3 * sigma
-    code = np.where(keep, np.cumsum(keep) - 1, keep.sum())
-    return code, np.flatnonzero(~keep)
-
-
 def names(cliques: Iterable[Clique]) -> list[str]:
     return [clique_name(c) for c in cliques]

@@ -613,15 +613,15 @@ def mst_tvd(spark, sf_dir):
 @register()
 def consistency_loop(spark, sf_dir):
     """clique, k1, k2, n: noisy two-way marginals of four attributes made non-negative and consistent."""
-    import numpy as np
+    from functools import reduce
 
-    from .operators import consistency, synthesize
+    from .operators import consistency
 
-    cliques = all_cliques(LINE_DOMAIN.project(["flag", "status", "line", "tax"]), 2)
-    rng = _generator()
-    noisy = {c: x + rng.normal(0, 20, x.shape) for c, x in synthesize.datavectors(coded_lines(spark, sf_dir), LINE_DOMAIN, cliques).items()}
-    rows = [(",".join(c), int(i), int(j), float(x[i, j])) for c, x in consistency.consistent(noisy).items() for i, j in np.ndindex(x.shape)]
-    return spark.createDataFrame(rows, "clique string, k1 long, k2 long, n double")
+    domain = LINE_DOMAIN.project(["flag", "status", "line", "tax"])
+    cliques = all_cliques(domain, 2)
+    lines = coded_lines(spark, sf_dir)
+    noisy = [marginal.zero_filled(lines, domain, c).select(F.lit(",".join(c)).alias("clique"), F.col(c[0]).alias("k1"), F.col(c[1]).alias("k2"), (F.col("n") + noise.keyed_gaussian("agree", 20.0, F.lit(",".join(c)), *c)).alias("n")) for c in cliques]
+    return consistency.consistent(reduce(DataFrame.unionByName, noisy), domain, cliques)
 
 
 @register()
@@ -1051,3 +1051,58 @@ def integer_noise(spark, sf_dir):
 
     cells = marginal.zero_filled(coded_lines(spark, sf_dir), LINE_DOMAIN, ("line", "tax"))
     return cells.withColumn("noisy", F.col("n") + exact.exact_gaussian("integers", Fraction(49, 4), "line", "tax"))
+
+
+# --- other bins, draws inside bins, significant values -------------------------------------
+
+_PRICE_LOG = "least(99, floor((log2(o_totalprice - (lo - 0.01::double)) - log2(0.01::double)) / ((log2(hi - (lo - 0.01::double)) - log2(0.01::double)) / 100)))"
+
+
+@register(f"""with b as (select min(o_totalprice) lo, max(o_totalprice) hi from orders)
+select o_orderkey, {_PRICE_LOG}::bigint as code,
+round(pow(2::double, log2(0.01::double) + (log2(hi - (lo - 0.01::double)) - log2(0.01::double)) / 100 * ({_PRICE_LOG} + {_uniform_sql("inverseo_totalprice", "o_orderkey")})) + (lo - 0.01::double), 4) as draw from orders, b""")
+def discretizer_log_draws(spark, sf_dir):
+    """Prices coded by logarithmic bins, and drawn back inside their bins."""
+    from .operators.discretize import Discretizer
+
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    fitted = Discretizer(method="exp").fit(df, ["o_totalprice"])
+    codes = fitted.transform(df)
+    drawn = fitted.inverse(codes.withColumn("code", F.col("o_totalprice")), "o_orderkey")
+    return drawn.select("o_orderkey", "code", F.round("o_totalprice", 4).alias("draw"))
+
+
+@register("""with b as (select min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem), c as (select l_orderkey, l_linenumber, least(99, floor((l_extendedprice - lo) / ((hi - lo) / 100))) as code, lo, hi,
+l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as id from lineitem, b)
+select id, code::bigint as code, round(lo + (hi - lo) / 100 * (code + """ + _uniform_sql("inversel_extendedprice", "id") + """), 6) as draw from c""")
+def discretizer_draws(spark, sf_dir):
+    """Prices coded by equal bins, and drawn back inside their bins."""
+    from .operators.discretize import Discretizer
+
+    df = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), "l_extendedprice")
+    fitted = Discretizer().fit(df, ["l_extendedprice"])
+    drawn = fitted.inverse(fitted.transform(df).withColumn("code", F.col("l_extendedprice")), "id")
+    return drawn.select("id", "code", F.round("l_extendedprice", 6).alias("draw"))
+
+
+@register()
+def discretizer_private(spark, sf_dir):
+    """method, code, n: prices coded by private splitting and by private partition."""
+    from .operators.discretize import Discretizer
+
+    df = table(spark, sf_dir, "lineitem").select("l_extendedprice")
+    out = [Discretizer(method=m, rng=_generator()).fit(df, ["l_extendedprice"]).transform(df).groupBy(F.col("l_extendedprice").alias("code")).agg(F.count("*").alias("n")).withColumn("method", F.lit(m)) for m in ("privtree", "dawa")]
+    return out[0].unionByName(out[1])
+
+
+@register(f"""with c as (select props as value, count(*) as n from events where props is not null group by 1), k as (select value, n + {_gauss_sql('signal', 35.0, 'value')} >= 105 as kept, n from c),
+m as (select value, n, kept, case when kept then count(*) filter (kept) over (order by value) - 1 else count(*) filter (kept) over () end as code from k)
+select code::bigint as code, sum(n)::bigint as n, count(*)::bigint as values from m group by 1""")
+def significant_codes(spark, sf_dir):
+    """Codes of event properties whose noisy count is three deviations or more, and one for all others; rows and values of each."""
+    from .operators.discretize import SignificantValues
+
+    df = table(spark, sf_dir, "events").select("event_id", "props")
+    fitted = SignificantValues.fit(df, "props", 35.0, "signal")
+    coded = fitted.encode(df, "props").groupBy(F.col("props").alias("code")).agg(F.count("*").alias("n"))
+    return coded.where("code is not null").join(fitted.codes.groupBy("code").agg(F.count("*").alias("values")), "code")
