@@ -1106,3 +1106,14 @@ def significant_codes(spark, sf_dir):
     fitted = SignificantValues.fit(df, "props", 35.0, "signal")
     coded = fitted.encode(df, "props").groupBy(F.col("props").alias("code")).agg(F.count("*").alias("n"))
     return coded.where("code is not null").join(fitted.codes.groupBy("code").agg(F.count("*").alias("values")), "code")
+
+
+@register()
+def mode_values(spark, sf_dir):
+    """Every event's value as a mode of the fitted mixture and deviations from it, and back."""
+    from .operators import mixture
+
+    df = table(spark, sf_dir, "events").select("event_id", "value")
+    fitted = mixture.fit_modes(df, "value", rounds=25)
+    out = fitted.transform(df, "value", "event_id", mode="mode", value="normal")
+    return fitted.inverse(out, "back", "mode", "normal")
