@@ -71,7 +71,7 @@ def test_sampled_rows_do_not_move(spark, monkeypatch):
         assert synthesize.sample(spark, model, 3000).orderBy("row_id").collect() == rows.orderBy("row_id").collect()
 
 
-@pytest.mark.parametrize("how", ["aim", "mst"])
+@pytest.mark.parametrize("how", ["aim", "mst", "adaptive"])
 def test_loops_spend_their_budget_and_beat_independence(spark, how):
     x = np.zeros(D.shape)
     for a, b, c, d in np.ndindex(D.shape):
@@ -79,7 +79,11 @@ def test_loops_spend_their_budget_and_beat_independence(spark, how):
     rows = [tuple(map(int, i)) for i in np.ndindex(D.shape) for _ in range(int(x[i]))]
     df = spark.createDataFrame(rows, list(D))
     rng = np.random.default_rng(4)
-    model, ledger = synthesize.aim(df, D, synthesize.two_way_workload(D), 2.0, rounds=6, rng=rng) if how == "aim" else synthesize.mst(df, D, 2.0, rng=rng)
+    ways = {
+        "aim": lambda: synthesize.aim(df, D, synthesize.two_way_workload(D), 2.0, rounds=6, rng=rng), "mst": lambda: synthesize.mst(df, D, 2.0, rng=rng),
+        "adaptive": lambda: synthesize.adaptive(df, D, 2.0, rounds=8, rng=rng)[:2],
+    }
+    model, ledger = ways[how]()
     assert ledger.left < 1e-6 * 2.0 + 1e-9
     answers = {c: view(x, c) for c in all_cliques(D, 2)}
     alone = graphical.fit(D, [graphical.Measurement((a,), view(x, (a,)), 1.0) for a in D], 300)
@@ -87,6 +91,17 @@ def test_loops_spend_their_budget_and_beat_independence(spark, how):
     assert error(model) < 0.5 * error(alone)
 
 
+def test_adaptive_selection_measures_again_and_doubles(spark):
+    x = chain_joint(np.random.default_rng(9))
+    rows = [tuple(map(int, i)) for i in np.ndindex(D.shape) for _ in range(int(x[i]))]
+    df = spark.createDataFrame(rows, list(D))
+    model, ledger, times = synthesize.adaptive(df, D, 0.05, rounds=20, rng=np.random.default_rng(2))
+    assert abs(ledger.left) < 1e-9 and sum(times.values()) <= 20 and set(times) <= set(all_cliques(D, 2))
+    spent = [s for what, s in ledger.spent if what != "selection"]
+    assert max(spent) > 1.9 * min(spent)  # a marginal that taught nothing doubled the budget
+    assert all(m.sum() > 0 for m in model.marginals.values())
+
+
 def test_ledger_stops_measurements():
     measure = synthesize.Measurer({("a",): np.zeros(3)}, Ledger(0.1), np.random.default_rng(0))
     with pytest.raises(ValueError):

@@ -78,6 +78,47 @@ def aim(df: DataFrame, domain: Domain, workload: Mapping[Clique, float], rho: fl
     return fit(domain, found, 4 * fit_rounds, model), ledger
 
 
+def adaptive(df: DataFrame, domain: Domain, rho: float, most_mb: float = MODEL_MB, rounds: int | None = None, fit_rounds: int = 60, enhance: float | None = None, rng: np.random.Generator | None = None) -> tuple[TreeModel, Ledger, dict[Clique, int]]:
+    """(model, ledger, how often each two-way marginal was measured) by adaptive selection with doubling, under rho-zCDP.
+
+    One-way marginals first. Each round scores every two-way marginal by twice its L1 error
+    in the model, less sqrt(1 / (pi rho)) a cell, what noise of the round's budget explains;
+    draws one by the exponential mechanism; measures it, again if it was measured before;
+    and fits with the newest measurement's weight times `enhance` (the number of attributes),
+    which then falls back. Where a marginal measured for the first time moves the model by
+    less than its noise, the budgets of both steps double, so later measurements weigh
+    more. The last round spends exactly what is left. Answers are counted by Spark once.
+    """
+    pairs = all_cliques(domain, 2)
+    answers = datavectors(df, domain, [*((a,) for a in domain), *pairs])
+    ledger = Ledger(rho)
+    measure = Measurer(answers, ledger, rng)
+    chance = _Random(measure.rng)
+    rounds = rounds or 16 * len(domain)
+    share = rho / (rounds + len(domain))
+    enhance = enhance or float(len(domain))
+    found = [measure((a,), 0.9 * share) for a in domain]
+    times: dict[Clique, int] = {}
+    model = fit(domain, found, fit_rounds)
+    while ledger.left > 1e-9 * rho:
+        if ledger.left < 2 * share:
+            share = ledger.left
+        measuring, choosing = 0.9 * share, 0.1 * share
+        bias = math.sqrt(1 / (math.pi * measuring))
+        used = [m.clique for m in found]
+        allowed = [c for c in pairs if model.holder(c) or model_mb(domain, [*used, c]) <= most_mb]
+        worth = {c: 2 * (np.abs(answers[c] - model.project(c)).sum() - bias * domain.size(c)) for c in allowed}
+        ledger.charge("selection", choosing)
+        best = exponential_mechanism(worth, math.sqrt(8 * choosing), 2.0, rng=chance)
+        times[best] = times.get(best, 0) + 1
+        before, newest = model.project(best), measure(best, min(measuring, ledger.left))
+        model = fit(domain, [*found, Measurement(newest.clique, newest.counts, newest.sigma / math.sqrt(enhance))], fit_rounds, model)
+        found.append(newest)
+        if times[best] == 1 and np.abs(model.project(best) - before).sum() < bias * domain.size(best):
+            share *= 2
+    return fit(domain, found, 4 * fit_rounds, model), ledger, times
+
+
 class _Random:
     """random() of a numpy generator, for the selection functions."""
 

@@ -1117,3 +1117,12 @@ def mode_values(spark, sf_dir):
     fitted = mixture.fit_modes(df, "value", rounds=25)
     out = fitted.transform(df, "value", "event_id", mode="mode", value="normal")
     return fitted.inverse(out, "back", "mode", "normal")
+
+
+@register()
+def adaptive_synth(spark, sf_dir):
+    """As many synthetic line items as the noisy total, by adaptive selection of two-way marginals with doubling budgets."""
+    from .operators import synthesize
+
+    model, _, _ = synthesize.adaptive(coded_lines(spark, sf_dir), LINE_DOMAIN, RHO, rng=_generator())
+    return synthesize.sample(spark, model, round(model.total))
