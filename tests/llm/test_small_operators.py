@@ -625,6 +625,28 @@ def test_ann(spark):
     assert ann.search(vectors(spark, x[:0]), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_of_repeated_and_null_keys(spark):
+    a, b, c, d = ([float(v) for v in np.eye(4)[i] + 0.1 * i] for i in range(4))
+    rows = [(1, a, 0, "x"), (1, b, 0, "x"), (20, c, 0, "ask"), (20, d, 0, "x"), (3, a, 0, "x"), (None, d, 0, "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string")
+    score = lambda x, y: float(np.dot(np.float32(x).astype(float), np.float32(y).astype(float)))
+    got = ann.search(table, F.col("cell") == "ask").orderBy("rank").collect()
+    want = sorted(((-score(c, v), k is not None, k or 0, k) for k, v, *_ in [rows[0], rows[1], rows[3], rows[4], rows[5]]))
+    assert [(r["vec_id"], round(r["score"], 6)) for r in got] == [(k, round(-s, 6)) for s, _, _, k in want] and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+    both = ann.search(table, F.col("vec_id") % 20 == 0)
+    assert both.count() == 10 and both.where("vec_id = 20").count() == 2  # each row of the key is the other's candidate
+
+
+def test_embedding_duplicates_of_repeated_and_null_keys(spark):
+    a, b, c = ([float(v) for v in np.eye(4)[i]] for i in range(3))
+    rows = [(5, a, 1, "x"), (5, b, 1, "x"), (7, a, 1, "x"), (None, a, 1, "x"), (None, c, 1, "x"), (9, b, 2, "x"), (None, None, 1, "x"), (8, b, 1, "x"), (8, b, 1, "x")]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string"))
+    order = lambda v: sorted(v, key=str)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    want = [(5, 2, 5, True), (7, 2, 5, False), (None, 2, 5, False), (None, 0, None, True), (9, 0, 9, True), (None, 0, None, True), (5, 2, 5, True), (8, 2, 5, False), (8, 2, 5, False)]
+    assert order(map(tuple, got.collect())) == order(want)
+
+
 def test_ann_among_near_copies_and_in_small_cells(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1200, 16))

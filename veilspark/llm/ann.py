@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .vectors import kmeans, matrix, nearest, packed, stored_as, valid_vectors
+from .vectors import kmeans, matrix, nearest, numbered, packed, stored_as, valid_vectors
 
 #: Rows of the training sample in expectation; most cells; codewords of a subspace.
 SAMPLE, MOST_CELLS, WORDS = 16_384, 1024, 256
@@ -197,10 +197,11 @@ def shard_cells(sizes: dict[int, int], cells: int, per_shard: int) -> tuple[list
 def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", column: str = "embedding", rerank: int = RERANK, recall: float = AUDIT_RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's k rows of largest inner product, itself left out.
 
-    `queries` is a condition that picks the query rows among `vectors`. Vectors that are
-    null, zero, not finite, or of another than the most frequent length take no part; of
-    rows with one key any one stands for all; ties go to the smaller key. Fewer candidates
-    than k give all of them; an empty table gives an empty result.
+    `queries` is a condition on columns of `vectors` that picks the query rows. Vectors that
+    are null, zero, not finite, or of another than the most frequent length take no part.
+    Every row is a vector of its own: keys may repeat, a query has k rows for each row of
+    its key, and a null key is a candidate like any other. Ties go to the smaller key, null first. Fewer
+    candidates than k give all of them; an empty table gives an empty result.
 
     The index is fitted on about SAMPLE rows chosen by a hash and holds every row. The
     number of probed cells is measured, not set: exact neighbours of AUDIT queries must
@@ -212,17 +213,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     """
     spark = vectors.sparkSession
     dtype = stored_as(vectors.schema[column].dataType)
-    rows = written(valid_vectors(vectors, key, column), "ann-rows")
+    marked = vectors.select(F.col(key).alias("key"), F.col(column).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    rows = numbered(valid_vectors(marked), "key", "ann-rows")
     n = rows.count()
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"query_id {(kind := rows.schema['key'].dataType.simpleString())}, rank int, vec_id {kind}, score double")
+    keys, key, kind = rows.select("row", "key"), "row", "long"
     got = sorted(rows.where(_chance(key, "train") <= SAMPLE / n).select(key, "vector").collect()) or rows.limit(1).collect()
     index = fit(np.array([list(r[1]) for r in got], np.float64), n, dtype)
     shared = spark.sparkContext.broadcast(index)
     coded = written(rows.mapInPandas(_encoded(shared, key), f"vec_id {kind}, cell int, codes binary, raw binary"), "ann-codes")
-    asked = rows.where(queries)
+    asked = rows.where("asked")
     n_asked = asked.count()
     audit = sorted(asked.where(_chance(key, "audit") <= AUDIT / max(1, n_asked)).select(key, "vector").collect())
     probes = probes_for(index, coded, audit, k, recall)
@@ -240,4 +241,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     probed = probed.join(load, F.col("shard") == F.col("of")).select("shard", (F.pmod(F.xxhash64("query_id"), "copies") + 1).cast("int").alias("part"), "query_id", "cells", "raw")
     found = placed.groupBy("shard", "part").cogroup(probed.groupBy("shard", "part")).applyInPandas(_searched(shared, k, rerank), f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    of = lambda name: keys.select(F.col("row").alias(name), F.col("key").alias(f"{name}_key"))
+    return found.join(of("query_id"), "query_id").join(of("vec_id"), "vec_id").select(F.col("query_id_key").alias("query_id"), "rank", F.col("vec_id_key").alias("vec_id"), "score")

@@ -261,21 +261,23 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", column: str = "embedding", label: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """key (long), n_links, component_id, kept: one row for each key.
+    """key (long), n_links, component_id, kept: one row for each row of `vectors`.
 
     n_links counts the other vectors of the same label whose cosine is at least
     `threshold`; component_id is the smallest key reachable by links; kept: it is the
     row's own. Vectors that are null, zero, not finite or not of the most frequent length,
-    and rows without a label, link with nothing. Rows with one key count as one vector;
-    rows without a key are left out; an empty table gives an empty result.
+    and rows without a label, link with nothing. Every row is a vector of its own: keys may
+    repeat, and a row without a key links like any other (its component is null, and it is
+    kept, unless it links with rows that have a key); an empty table gives an empty result.
 
     A hot label has more shards, of the same size; every shard meets every other of its
     label, so work within a label grows with the square of its shards. Of a group of near
     copies only counts and links between local components leave a task, never all pairs.
     """
     dtype = stored_as(vectors.schema[column].dataType)
-    rows = valid_vectors(vectors.select(F.col(key).cast("long").alias("vec_id"), column, F.col(label).cast("string").alias("label")), "vec_id", column, "label").where("label is not null")
-    rows = rows.mapInPandas(_flattened(dtype), "vec_id long, label string, raw binary")
+    every = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).alias("vector"), F.col(label).cast("string").alias("label"))
+    every = written(every.withColumn("vec_id", F.monotonically_increasing_id()), "hnsw-vectors")  # the table fixes the numbers
+    rows = valid_vectors(every.where("label is not null")).select("vec_id", "label", "vector").mapInPandas(_flattened(dtype), "vec_id long, label string, raw binary")
     rows = written(rows.withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))), "hnsw-rows")
     shards = rows.groupBy("label").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     dealt = rows.join(shards, "label").withColumn("shard", (F.col("deal") % F.col("shards")).cast("int"))
@@ -292,9 +294,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     more = cross.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     parts = own.join(found.select(F.col("node").alias("part"), "component"), "part", "left").join(more, "vec_id", "left")
     parts = parts.select("vec_id", (F.col("degree") + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "part").alias("component_id"))
-    every = vectors.select(F.col(key).cast("long").alias("vec_id")).where("vec_id is not null").distinct()
-    out = every.join(parts, "vec_id", "left").select(F.col("vec_id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    parts = every.select("key", "vec_id").join(parts, "vec_id", "left").withColumn("component", F.coalesce("component_id", "vec_id"))
+    least = parts.groupBy("component").agg(F.min("key").alias("component_id"))
+    out = parts.drop("component_id").join(least, "component")
+    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _flattened(dtype: str):

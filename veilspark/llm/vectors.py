@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType
 
+from .shared import written
+
 
 def finite(vector: Column) -> Column:
     """Not null, not empty, all components finite numbers, and one of them not zero."""
@@ -19,11 +21,22 @@ def stored_as(kind: DataType) -> str:
     return "<f4" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "<f8"
 
 
-def valid_vectors(df: DataFrame, key: str, column: str, *carry: str) -> DataFrame:
-    """Rows that take part: key not null, finite vector of the most frequent length; one row for each key."""
-    rows = df.select(key, F.col(column).alias("vector"), *carry).where(F.col(key).isNotNull() & finite(F.col("vector")))
+def valid_vectors(rows: DataFrame) -> DataFrame:
+    """The rows whose `vector` takes part: finite, and of the most frequent length."""
+    rows = rows.where(finite(F.col("vector")))
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vector") == (length[0][0] if length else 0)).dropDuplicates([key])
+    return rows.where(F.size("vector") == (length[0][0] if length else 0))
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows as a table with `row`, a number of its own for each, rising with the key (nulls first).
+
+    Ranges are of key and vector, so rows of one key may lie in several tasks. The table
+    fixes the numbers: later steps, retried tasks too, read them.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(key), F.xxhash64("vector")]
+    return written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), name)
 
 
 def matrix(column, dtype: str) -> np.ndarray:
