@@ -595,6 +595,56 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in components.extended(components.components(halves[0]), halves[1]).collect()} == least
 
 
+def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2, bits):
+    """FTRL-proximal, one coordinate after another in plain numbers."""
+    z, n = Counter(), Counter()
+
+    def weight(j):
+        penalty = 0.0 if j == 1 << bits else l1
+        if abs(z[j]) <= penalty:
+            return 0.0
+        return -(z[j] - math.copysign(penalty, z[j])) / ((beta + math.sqrt(n[j])) / alpha + (0.0 if j == 1 << bits else l2))
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels, strict=True):
+            w = {j: weight(j) for j in row}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for j in row:
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / alpha * w[j]
+                n[j] += g * g
+    return {j: w for j in n if (w := weight(j))}
+
+
+@pytest.mark.parametrize(("l1", "l2"), [(0.5, 0.0), (0.0, 0.3), (2.0, 0.1)])
+def test_ftrl_equals_a_plain_loop(l1, l2):
+    rng = np.random.default_rng(int(10 * l1))
+    bits = 6
+    rows = [np.append(rng.choice(60, rng.integers(0, 12), replace=False), 1 << bits).astype(np.uint32) for _ in range(150)]
+    labels = np.array([int(1 in r or rng.random() < 0.2) for r in rows])
+    model = toxicity.ftrl(rows, labels, bits, 3, 0.4, 1.0, l1, l2)
+    want = plain_ftrl([r.tolist() for r in rows], labels.tolist(), 3, 0.4, 1.0, l1, l2, bits)
+    bias = want.pop(1 << bits)
+    assert model.index.tolist() == sorted(want) and np.allclose(model.weight, [want[j] for j in sorted(want)], rtol=1e-9) and math.isclose(model.bias, bias, rel_tol=1e-9)
+    assert not l1 or len(want) < 60  # a penalty leaves weights at 0
+
+
+def test_toxicity_features_are_word_pairs_and_skips():
+    """Equal features exactly where words, neighbours or words around one are equal, whatever text they are in."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("ab cd ef gh ij".split(), k=rng.randint(0, 9))) for _ in range(40)]
+    of, at = toxicity.features(texts, 40)
+    got = [sorted(at[of == i].tolist()) for i in range(len(texts))]
+    name = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        plain = [(x,) for x in w] + [(0, *p) for p in zip(w, w[1:])] + [(1, x, y) for x, y in zip(w, w[2:])]
+        assert len(got[i]) == len(plain)
+        name[i] = Counter(plain)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (name[i] == name[j]) == (got[i] == got[j]) and sum((name[i] & name[j]).values()) == sum((Counter(got[i]) & Counter(got[j])).values())
+
+
 def vectors(spark, x, labels=None, extra=()):
     rows = [(i, [float(v) for v in r], None if labels is None else labels[i], "z") for i, r in enumerate(x)] + list(extra)
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string")
