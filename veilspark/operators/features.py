@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def doubles(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double"))
@@ -31,27 +35,158 @@ def fourier_means(df: DataFrame, vector: str, frequencies: Sequence[Sequence[flo
     return row.select(*by, each.alias("e")).select(*by, "e.*")
 
 
-def kernel_mean(a: DataFrame, b: DataFrame, vector: str, sigma2: float, pieces: int = 16) -> DataFrame:
-    """mean of the Gaussian kernel over all pairs of two bounded samples.
+#: Different vectors of a block, in expectation; bins of a pass over distances; distances that are gathered at the end.
+BLOCK, BINS, GATHERED = 512, 4096, 100_000
+
+
+def blocks(df: DataFrame, vector: str, rows: int = BLOCK, key: str | None = None) -> tuple[DataFrame, int]:
+    """(block, raw, weight, key: the different vectors in blocks, packed, with how many rows have each and their least key; number of blocks).
+
+    Equal vectors are one, however many they are, so a block is bounded. Null vectors and
+    vectors with nulls take no part. The table is written: all pairs of blocks read it.
+    """
+    taken = df.select(doubles(F.col(vector)).alias("v"), (F.col(key) if key else F.lit(0)).cast("long").alias("k"))
+    each = taken.where("v is not null and not exists(v, x -> x is null)").groupBy("v").agg(F.count("*").alias("n"), F.min("k").alias("key"))
+    n = max(1, math.ceil(each.count() / rows))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.asarray(v, "<f8") for v in frame["v"]])
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "raw": [x.tobytes()], "weight": [frame["n"].to_numpy("<i8").tobytes()], "key": [frame["key"].to_numpy("<i8").tobytes()]})
+
+    dealt = each.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int"))
+    return settled(dealt.groupBy("block").applyInPandas(pack, "block int, raw binary, weight binary, key binary"), "vector-blocks"), n
+
+
+def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    weight = np.frombuffer(frame["weight"].iloc[0], "<i8")
+    return np.frombuffer(frame["raw"].iloc[0], "<f8").reshape(len(weight), -1), weight, np.frombuffer(frame["key"].iloc[0], "<i8")
+
+
+def _distances(x: np.ndarray, y: np.ndarray, measure: str = "l2") -> np.ndarray:
+    """Squared L2, L1 or negative cosine of all pairs."""
+    if measure == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return -(x @ y.T) / np.sqrt(np.outer((x * x).sum(1), (y * y).sum(1)))
+    out = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):  # one component after another: exact for equal vectors, and no array of all differences
+        off = x[:, i, None] - y[None, :, i]
+        out += np.abs(off) if measure == "l1" else off * off
+    return out
+
 
-    The samples are evaluation sets whose size the caller sets; every pair is summed where
-    the sides' blocks meet and only sums leave.
+def over_pairs(a: tuple[DataFrame, int], b: tuple[DataFrame, int], run, schema: str, once: bool = False) -> DataFrame:
+    """run(block of a, block of b) for all pairs of blocks (once: each unordered pair of one table), each pair in a task of its own; the rows that it returns.
+
+    A block is copied for each block of the other side, so rows move as often as there are
+    blocks; what leaves a pair is for `run` to keep small.
+    """
+    left = a[0].withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.col("block") if once else F.lit(0), F.lit(b[1] - 1))))
+    right = b[0].withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") if once else F.lit(a[1] - 1))))
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return run(x, y) if len(x) and len(y) else empty
+
+    empty = pd.DataFrame({c.split()[0]: pd.Series([], dtype="float64" if c.split()[1] == "double" else "int64") for c in schema.split(", ")})
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(both, schema)
+
+
+def kernel_mean(a: DataFrame, b: DataFrame, vector: str, sigma2: float) -> DataFrame:
+    """mean of the Gaussian kernel over all pairs; null where a side has no vectors. Only a sum leaves each pair of blocks."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        (x, v, _), (y, w, _) = _unpacked(x), _unpacked(y)
+        return pd.DataFrame({"s": [float(v @ np.exp(-_distances(x, y) / (2 * sigma2)) @ w)], "n": [int(v.sum() * w.sum())]})
+
+    sums = over_pairs(blocks(a, vector), blocks(b, vector), run, "s double, n long")
+    return sums.agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
+def median_distance(df: DataFrame, vector: str, bins: int = BINS, gathered: int = GATHERED) -> float | None:
+    """Exact median of the Euclidean distances of all unordered pairs of rows; null for fewer than two.
+
+    A pass over the pairs of blocks counts distances in bins; the next one does so inside
+    the bin that holds the middle, until few enough are left to be gathered, or all of them are equal.
     """
-    side = lambda df, n: df.where(F.col(vector).isNotNull()).select(doubles(F.col(vector)).alias(n), F.floor(F.rand(1) * pieces).cast("int").alias(f"g{n}"))
-    blocks = [df.groupBy(f"g{n}").agg(F.collect_list(n).alias(n)) for df, n in ((side(a, "x"), "x"), (side(b, "y"), "y"))]
-    both = blocks[0].crossJoin(blocks[1])
-    pairs = both.select(F.explode("x").alias("x"), "y").select(F.aggregate(F.transform("y", lambda y: F.exp(-squared_distance(F.col("x"), y) / (2 * sigma2))), F.lit(0.0), lambda s, k: s + k).alias("s"), F.size("y").alias("n"))
-    return pairs.agg((F.sum("s") / F.sum("n")).alias("mean"))
+    table = blocks(df, vector)
+
+    def counted(run) -> DataFrame:
+        return over_pairs(table, table, run, "bin long, n long, least double, most double", once=True)
+
+    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, rows' pairs of each) of a pair of blocks, every unordered pair once."""
+        same = x["block"].iloc[0] == y["block"].iloc[0]
+        (x, v, _), (y, w, _) = _unpacked(x), _unpacked(y)
+        n = np.outer(v, w)
+        if same:
+            n = np.triu(n, 1) + np.diag(v * (v - 1) // 2)
+        return np.sqrt(_distances(x, y)).ravel(), n.ravel()
+
+    def binned(lo: float, hi: float):
+        def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            d, n = pairs(x, y)
+            inside = (d >= lo) & (d <= hi) & (n > 0)
+            d, n = d[inside], n[inside]
+            at = np.minimum(((d - lo) * (bins / (hi - lo))).astype(np.int64), bins - 1) if hi > lo else np.zeros(len(d), np.int64)
+            out = pd.DataFrame({"bin": at, "n": n, "least": d, "most": d})
+            return out.groupby("bin", as_index=False).agg({"n": "sum", "least": "min", "most": "max"})[["bin", "n", "least", "most"]]
+
+        found = counted(run).groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        return sorted(map(tuple, found.collect()))  # as many rows as bins
+
+    def within(rows: list[tuple], place: int, below: int) -> tuple[int, tuple]:
+        """(pairs below the bin that holds a place, the bin)."""
+        for r in rows:
+            if place < below + r[1]:
+                return below, r
+            below += r[1]
+        raise IndexError(place)
+
+    def ranked(rows: list[tuple], place: int) -> float:
+        below, r = within(rows, place, 0)
+        while r[2] < r[3]:
+            if r[1] <= gathered:
+                lo, hi = r[2], r[3]
+
+                def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+                    d, n = pairs(x, y)
+                    inside = (d >= lo) & (d <= hi) & (n > 0)  # noqa: B023
+                    return pd.DataFrame({"bin": 0, "n": n[inside], "least": d[inside], "most": d[inside]})
+
+                for d, n in sorted((r["least"], r["n"]) for r in counted(run).collect()):
+                    below += n
+                    if place < below:
+                        return float(d)
+            below, r = within(binned(r[2], r[3]), place, below)
+        return float(r[2])
+
+    whole = binned(0.0, float("inf"))
+    if not whole:
+        return None
+    (_, n, least, most), *_ = [(0, sum(r[1] for r in whole), min(r[2] for r in whole), max(r[3] for r in whole))]
+    rows = binned(least, most)
+    low, high = (n - 1) // 2, n // 2
+    first = ranked(rows, low)
+    return first if low == high else (first + ranked(rows, high)) / 2
 
 
 def nearest_votes(queries: DataFrame, targets: DataFrame, key: str, vector: str, measure: str = "l2") -> DataFrame:
     """key, votes: how many queries have each target as their nearest (ties to the smaller key).
 
-    `targets` is a bounded reference set; it is broadcast only if Spark's own size limit allows.
+    Each pair of blocks gives the nearest target of each of its different query vectors;
+    the least of these over the target blocks has the vote of all rows with that vector.
+    Vectors of norm 0 have no cosine and are no query and no target of it.
     """
-    x, y = F.col("_x"), F.col("_y")
-    far = {"l2": squared_distance(x, y), "l1": F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v), "cosine": -inner(x, y) / F.sqrt(inner(x, x) * inner(y, y))}[measure]
-    q = queries.where(F.col(vector).isNotNull()).select(F.monotonically_increasing_id().alias("_q"), doubles(F.col(vector)).alias("_x"))
-    t = targets.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), doubles(F.col(vector)).alias("_y"))
-    best = q.join(t).select("_q", F.struct(far.alias("d"), F.col("_k").alias("k")).alias("m")).groupBy("_q").agg(F.min("m").alias("m"))
-    return best.groupBy(F.col("m.k").alias(key)).agg(F.count("*").alias("votes"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        block = int(x["block"].iloc[0])
+        (x, v, _), (y, _, k) = _unpacked(x), _unpacked(y)
+        order = np.argsort(k, kind="stable")
+        d = _distances(x, y[order], measure)
+        d = np.where(np.isnan(d), np.inf, d)
+        best = d.argmin(1)
+        out = pd.DataFrame({"block": block, "place": np.arange(len(x)), "n": v, "far": d[np.arange(len(x)), best], "key": k[order][best]})
+        return out[np.isfinite(out["far"])]
+
+    met = over_pairs(blocks(queries, vector), blocks(targets, vector, key=key), run, "block long, place long, n long, far double, key long")
+    best = met.groupBy("block", "place").agg(F.min(F.struct("far", "key")).alias("m"), F.first("n").alias("n"))
+    return best.groupBy(F.col("m.key").alias(key)).agg(F.sum("n").alias("votes"))

@@ -283,10 +283,11 @@ def empirical_support(spark, sf_dir):
     return marginal.support(coded_lines(spark, sf_dir), ["flag", "status", "line"]).withColumn("share", F.round("share", 9))
 
 
-@register(f"""select q.q as quantity, d.d as discount, t.t as tax from (select unnest(range(50)) q) q, (select unnest(range(11)) d) d, (select unnest(range(9)) t) t
-where not exists (select 1 from {LINE_SQL} where l_orderkey % 20 = 0 and quantity = q.q and discount = d.d and tax = t.t)""")
+@register(f"""select l.l as line, q.q as quantity, d.d as discount, t.t as tax from (select unnest(range(7)) l) l, (select unnest(range(50)) q) q, (select unnest(range(11)) d) d, (select unnest(range(9)) t) t
+anti join (select distinct line, quantity, discount, tax from {LINE_SQL}) s on l.l = s.line and q.q = s.quantity and d.d = s.discount and t.t = s.tax""")
 def missing_support(spark, sf_dir):
-    return marginal.missing_support(coded_lines(spark, sf_dir).where("l_orderkey % 20 = 0"), LINE_DOMAIN, ("quantity", "discount", "tax"))
+    """Cells of four attributes that no line item occupies."""
+    return marginal.missing_support(coded_lines(spark, sf_dir), LINE_DOMAIN, ("line", "quantity", "discount", "tax"))
 
 
 # --- counting queries -------------------------------------------------------------------
@@ -529,13 +530,14 @@ def rff_mean(spark, sf_dir):
     return features.fourier_means(table(spark, sf_dir, "embeddings"), "embedding", FREQUENCIES).withColumn("mean", F.round("mean", 6))
 
 
-_MMD = lambda a, b: f"(select avg(exp(-list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 2)) from (select embedding::double[] e from embeddings where label = {a}) x, (select embedding::double[] e from embeddings where label = {b}) y)"
+_MMD = lambda a, b: f"(select avg(exp(-list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 2)) from (select embedding::double[] e from embeddings where label % 2 = {a}) x, (select embedding::double[] e from embeddings where label % 2 = {b}) y)"
 
 
 @register(f"select round({_MMD(0, 0)} + {_MMD(1, 1)} - 2 * {_MMD(0, 1)}, 6) as mmd")
 def mmd_biased(spark, sf_dir):
+    """Discrepancy of the vectors with even and with odd labels."""
     e = table(spark, sf_dir, "embeddings")
-    a, b = e.where("label = 0"), e.where("label = 1")
+    a, b = e.where("label % 2 = 0"), e.where("label % 2 = 1")
     parts = [features.kernel_mean(x, y, "embedding", 1.0).withColumnRenamed("mean", n) for x, y, n in ((a, a, "aa"), (b, b, "bb"), (a, b, "ab"))]
     return parts[0].join(parts[1]).join(parts[2]).select(F.round(F.col("aa") + F.col("bb") - 2 * F.col("ab"), 6).alias("mmd"))
 
@@ -565,13 +567,11 @@ def significant_values(spark, sf_dir):
     return kept.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-@register("""with e as (select vec_id, embedding::double[] e from embeddings where label = 0)
+@register("""with e as (select vec_id, embedding::double[] e from embeddings)
 select round(median(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))), 6) as distance from e a join e b on a.vec_id < b.vec_id""")
 def median_distance(spark, sf_dir):
-    """Median distance of the pairs of one label, the length scale of a kernel."""
-    e = table(spark, sf_dir, "embeddings").where("label = 0").select("vec_id", features.doubles(F.col("embedding")).alias("x"))
-    pairs = e.join(e.select(F.col("vec_id").alias("other"), F.col("x").alias("y")), F.col("vec_id") < F.col("other"))
-    return pairs.agg(F.round(F.percentile(F.sqrt(features.squared_distance(F.col("x"), F.col("y"))), F.lit(0.5)), 6).alias("distance"))
+    """Median distance of all pairs of vectors, the length scale of a kernel."""
+    return spark.createDataFrame([(features.median_distance(table(spark, sf_dir, "embeddings"), "embedding"),)], "distance double").select(F.round("distance", 6).alias("distance"))
 
 
 # --- stochastic queries: no SQL form -----------------------------------------------------
