@@ -1,9 +1,15 @@
 """The pipeline's stages, one after another, against what each promises on its own input."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
 from veilspark.llm import queries
+from veilspark.llm.shared import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +32,45 @@ def test_stages(spark):
 
 
 def test_run_writes_every_stage(spark):
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = {x.name for x in shared.iterdir()}
     got = corpus_pipeline.run(spark, SF)
     assert set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     assert any("stage-mix" in f for f in got.inputFiles()) and got.count() > 0
+    assert [x[:9] for x in {x.name for x in shared.iterdir()} - before] == ["stage-mix"]
+
+
+def test_queries_leave_one_table(spark):
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    for name in ("op1_ann_search", "op2_mix_sources", "op6_near_dup", "op9_embed_dedup", "op10_token_counts", "op11_html_extract"):
+        before = {x.name for x in shared.iterdir()}
+        queries.QUERIES[name](spark, SF).count()
+        assert len({x.name for x in shared.iterdir()} - before) == 1, name
+
+
+def test_without_a_checkpoint_folder(tmp_path):
+    """A bare local session writes to a folder of its own and leaves the setting alone."""
+    script = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from veilspark.llm import queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert queries.op6_near_dup(spark, {SF!r}).count() == spark.read.parquet({SF!r} + "/documents.parquet").count()
+print("done")
+"""
+    (tmp_path / "conf").mkdir()
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf")}, timeout=240)
+    assert out.stdout.strip().endswith("done"), out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, 0), (None, "a text without a key", "en", "s", 20), (2, "", "en", None, 0), (3, "plain words of a text " * 9, None, "s", 99), (3, "other words of that key " * 9, None, "s", 99)]])
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert len(got) <= 2 * len(rows)
 
 
 def test_kept_rows_stay_once(spark):
