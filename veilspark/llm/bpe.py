@@ -21,8 +21,8 @@ from .pairs import NO_PAIR, PairTable
 from .pieces import Pieces, take_ranges
 from .words import runs, texts_of
 
-#: Cells of one padded matrix.
-MATRIX_CELLS = 1_000_000
+#: Cells of one padded matrix; characters of texts that are worked on at once.
+MATRIX_CELLS, SLICE_CHARS = 1_000_000, 1_000_000
 #: Rows longer than this are merged one at a time by a heap.
 WIDE = 512
 
@@ -175,7 +175,7 @@ def _encoded(path: str, pattern: str, key: str, column: str, with_ids: bool):
         bpe = load(path, pattern)
         for batch in batches:
             texts = texts_of(batch, column)
-            for lo, hi in runs(texts):
+            for lo, hi in runs(texts, SLICE_CHARS):
                 ids = bpe.encode(texts[lo:hi])
                 raw = [x.astype("<u4").tobytes() for x in ids]
                 cols = {
