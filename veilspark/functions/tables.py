@@ -30,3 +30,17 @@ def looked_up(df: DataFrame, at: Column, values: np.ndarray, name: str) -> DataF
     table = df.sparkSession.createDataFrame(list(enumerate(values.tolist())), f"_at long, `{name}` {'double' if values.ndim == 1 else 'array<double>'}")
     table = F.broadcast(table) if values.size <= BROADCAST else table
     return df.withColumn("_at", at).join(table, "_at", "left").drop("_at")
+
+
+def at_most(values: Column, size: int, x: Column) -> Column:
+    """How many of the first `size` entries of an ascending array are at or below x; 0 where x is null.
+
+    By bisection, with `x` and `values` evaluated once a row: a filter over the array
+    would evaluate both for each of its entries.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length()))]) if size else F.array().cast("array<int>")
+
+    def search(r: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(r["v"], at + step - 1) <= r["x"], at + step).otherwise(at))
+
+    return F.get(F.transform(F.array(F.struct(x.alias("x"), values.alias("v"))), search), 0)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.noise import keyed_gaussian, keyed_uniform
 from ..functions.ranks import numbered_within, running, stretches
-from ..functions.tables import literal
+from ..functions.tables import at_most, literal
 from .encode import DISTINCT, LOG_OFFSET, bin_draw, bounds, encode, log_bin, ordinal_map, uniform_bin
 from .partition import dawa, fine_histogram, privtree
 
@@ -64,7 +64,7 @@ class Discretizer:
         lo, hi = self.ranges[c]
         x = F.least(F.greatest(F.col(c).cast("double"), F.lit(lo)), F.lit(hi))
         if c in self.edges:
-            return F.size(F.filter(literal(np.array(self.edges[c])), lambda e: e <= x)).cast("long") - 1
+            return at_most(literal(np.array(self.edges[c])), len(self.edges[c]), x).cast("long") - 1
         return log_bin(x, lo, hi, self.bins) if self.method == "exp" and hi > lo else uniform_bin(x, lo, hi, self.bins)
 
     def _point(self, c: str, u: Column) -> Column:

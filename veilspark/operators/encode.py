@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running
+from ..functions.tables import at_most, literal
 
 #: Columns with fewer distinct values are coded by order, others are binned or merged.
 DISTINCT = 100
@@ -70,7 +72,7 @@ def bin_draw(code: Column, lo: float, hi: float, u: Column, bins: int = 100) ->
 
 def interval_code(x: Column, edges: Sequence[float]) -> Column:
     """Number of the left-closed interval [edges[i], edges[i + 1]) that holds x; null outside."""
-    inner = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= x)) - 1
+    inner = at_most(literal(np.array(edges, float)), len(edges), x) - 1
     return F.when((x >= edges[0]) & (x < edges[-1]), inner).cast("long")
 
 
