@@ -46,3 +46,31 @@ def test_nearest_votes(table, monkeypatch, measure):
     want = {int(k): int(n) for k, n in zip(*np.unique(far.argmin(1), return_counts=True), strict=True)}
     got = features.nearest_votes(df.where("k >= 40"), df.where("k < 40"), "k", "v", measure).collect()
     assert {r["k"]: r["votes"] for r in got} == want
+
+
+def test_vectors_are_copied_for_strips_not_for_blocks(table):
+    _, df = table
+    packed = features.blocks(df.where("k < 120"), "v", 2)
+
+    def run(pairs):
+        met = sorted((min(p, q), max(p, q)) for p, q, _, _ in pairs)
+        return features.pd.DataFrame({"met": [len(met)], "different": [len(set(met))]})
+
+    got = features.over_pairs(packed, packed, run, "met long, different long", once=True).collect()
+    held = packed[0].count()
+    assert packed[1] > 50 and len(got) == features.STRIPS * (features.STRIPS + 1) // 2
+    assert sum(r["met"] for r in got) == sum(r["different"] for r in got) == held * (held + 1) // 2
+
+
+def test_discrepancy_and_close_pairs(table):
+    x, df = table
+    a, b = df.where("k < 70"), df.where("k >= 70")
+    mean = lambda p, q: np.exp(-brute(p, q) / 4).mean()
+    want = mean(x[:70], x[:70]) + mean(x[70:], x[70:]) - 2 * mean(x[:70], x[70:])
+    assert np.isclose(features.discrepancy(a, b, "v", 2.0).first()["mmd"], want, rtol=1e-10)
+    rng = np.random.default_rng(2)
+    far = np.concatenate([rng.normal(size=(40, 5)), rng.normal(size=(3, 5)) * 1e-9 + 7])
+    assert np.allclose(features.squared_distances(far, far), brute(far, far), rtol=1e-11, atol=0)
+    odd = np.array([[1e200, 0.0], [np.inf, 1.0], [2.0, 3.0]])
+    with np.errstate(all="ignore"):
+        assert np.array_equal(features.squared_distances(odd, odd), features._distances(odd, odd), equal_nan=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ BLOCK, BINS, GATHERED = 512, 4096, 100_000
 
 
 def blocks(df: DataFrame, vector: str, rows: int = BLOCK, key: str | None = None) -> tuple[DataFrame, int]:
-    """(block, raw, weight, key: the different vectors in blocks, packed, with how many rows have each and their least key; number of blocks).
+    """(block, single, raw, weight, key: the different vectors in blocks, packed (in single precision if it holds them exactly), with how many rows have each and their least key; number of blocks).
 
     Equal vectors are one, however many they are, so a block is bounded. Null vectors and
     vectors with nulls take no part. The table is written: all pairs of blocks read it.
@@ -51,15 +51,21 @@ def blocks(df: DataFrame, vector: str, rows: int = BLOCK, key: str | None = None
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.asarray(v, "<f8") for v in frame["v"]])
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "raw": [x.tobytes()], "weight": [frame["n"].to_numpy("<i8").tobytes()], "key": [frame["key"].to_numpy("<i8").tobytes()]})
+        with np.errstate(over="ignore"):
+            short = x.astype("<f4")
+        single = bool((short == x).all())
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "single": [single], "raw": [(short if single else x).tobytes()], "weight": [frame["n"].to_numpy("<i8").tobytes()], "key": [frame["key"].to_numpy("<i8").tobytes()]})
 
     dealt = each.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int"))
-    return settled(dealt.groupBy("block").applyInPandas(pack, "block int, raw binary, weight binary, key binary"), "vector-blocks"), n
+    return settled(dealt.groupBy("block").applyInPandas(pack, "block int, single boolean, raw binary, weight binary, key binary"), "vector-blocks"), n
 
 
-def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    weight = np.frombuffer(frame["weight"].iloc[0], "<i8")
-    return np.frombuffer(frame["raw"].iloc[0], "<f8").reshape(len(weight), -1), weight, np.frombuffer(frame["key"].iloc[0], "<i8")
+def _unpacked(frame: pd.DataFrame) -> list[Block]:
+    out = []
+    for single, raw, weight, key in zip(frame["single"], frame["raw"], frame["weight"], frame["key"], strict=True):
+        weight = np.frombuffer(weight, "<i8")
+        out.append((np.frombuffer(raw, "<f4" if single else "<f8").astype(float).reshape(len(weight), -1), weight, np.frombuffer(key, "<i8")))
+    return out
 
 
 def _distances(x: np.ndarray, y: np.ndarray, measure: str = "l2") -> np.ndarray:
@@ -74,31 +80,86 @@ def _distances(x: np.ndarray, y: np.ndarray, measure: str = "l2") -> np.ndarray:
     return out
 
 
-def over_pairs(a: tuple[DataFrame, int], b: tuple[DataFrame, int], run, schema: str, once: bool = False) -> DataFrame:
-    """run(block of a, block of b) for all pairs of blocks (once: each unordered pair of one table), each pair in a task of its own; the rows that it returns.
+#: Squared distances below this share of the squared norms lose digits in the expanded form.
+CLOSE = 1e-2
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared L2 of all pairs by one product of matrices; by components where that would lose digits: close pairs, overflow, values that are not finite."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    top = xx.max(initial=0) + yy.max(initial=0)
+    if not top < 1e300:
+        return _distances(x, y)
+    out = x @ y.T
+    out *= -2
+    out += xx[:, None]
+    out += yy
+    i, j = np.nonzero(out < CLOSE * top)
+    if len(i) > out.size // 8:
+        return _distances(x, y)
+    off = x[i] - y[j]
+    out[i, j] = (off * off).sum(1)
+    return out
+
+
+#: Vectors of a strip of blocks that meets another in one task, and strips at least, for work for all cores.
+STRIP, STRIPS = 32_768, 8
+
+#: The vectors of a block, how many rows have each, and their keys.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
-    A block is copied for each block of the other side, so rows move as often as there are
-    blocks; what leaves a pair is for `run` to keep small.
+def over_pairs(a: tuple[DataFrame, int], b: tuple[DataFrame, int], run: Callable[[Iterator[tuple[int, int, Block, Block]]], pd.DataFrame], schema: str, once: bool = False) -> DataFrame:
+    """The rows that run gives for (number of the block of a, of the block of b, the two blocks) of all pairs of blocks (once: each unordered pair of one table).
+
+    Blocks are dealt to strips, STRIPS at least and of about STRIP vectors at most; each pair
+    of strips is a task that has run over its pairs of blocks, so a vector is copied
+    once for each strip of the other side and not for each block; what leaves a pair
+    of strips is for `run` to keep small.
     """
-    left = a[0].withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.col("block") if once else F.lit(0), F.lit(b[1] - 1))))
-    right = b[0].withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") if once else F.lit(a[1] - 1))))
+    strips = [min(t[1], max(STRIPS, math.ceil(t[1] * BLOCK / STRIP))) for t in (a, b)]
+    strip = lambda k: (F.col("block") % strips[k]).cast("int")
+    left = a[0].withColumn("i", strip(0)).withColumn("j", F.explode(F.sequence(F.col("i") if once else F.lit(0), F.lit(strips[1] - 1))))
+    right = b[0].withColumn("j", strip(1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if once else F.lit(strips[0] - 1))))
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return run(x, y) if len(x) and len(y) else empty
+        if not len(x) or not len(y):
+            return empty
+        xs, ys = (sorted(zip(t["block"].tolist(), _unpacked(t), strict=True), key=lambda r: r[0]) for t in (x, y))
+        same = once and xs[0][0] % strips[0] == ys[0][0] % strips[1]  # of two strips all pairs are met, of one and itself half of them
+        return run((p, q, u, v) for p, u in xs for q, v in ys if not same or p <= q)
 
     empty = pd.DataFrame({c.split()[0]: pd.Series([], dtype="float64" if c.split()[1] == "double" else "int64") for c in schema.split(", ")})
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(both, schema)
 
 
+def _kernel_sums(a: tuple[DataFrame, int], b: tuple[DataFrame, int], sigma2: float) -> DataFrame:
+    """mean of the Gaussian kernel over all pairs of two tables' rows, or of one table's, where each unordered pair of blocks is met once."""
+    one = a is b
+
+    def run(pairs) -> pd.DataFrame:
+        s, n = [], 0
+        for p, q, (x, v, _), (y, w, _) in pairs:
+            times = 2 if one and p != q else 1
+            d = squared_distances(x, y)
+            d *= -1 / (2 * sigma2)
+            s.append(times * float(v @ np.exp(d, out=d) @ w))
+            n += times * int(v.sum()) * int(w.sum())
+        return pd.DataFrame({"s": [math.fsum(s)], "n": [n]})
+
+    return over_pairs(a, b, run, "s double, n long", once=one).agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
 def kernel_mean(a: DataFrame, b: DataFrame, vector: str, sigma2: float) -> DataFrame:
-    """mean of the Gaussian kernel over all pairs; null where a side has no vectors. Only a sum leaves each pair of blocks."""
+    """mean of the Gaussian kernel over all pairs; null where a side has no vectors. Only a sum leaves each pair of strips."""
+    return _kernel_sums(blocks(a, vector), blocks(b, vector), sigma2)
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        (x, v, _), (y, w, _) = _unpacked(x), _unpacked(y)
-        return pd.DataFrame({"s": [float(v @ np.exp(-_distances(x, y) / (2 * sigma2)) @ w)], "n": [int(v.sum() * w.sum())]})
 
-    sums = over_pairs(blocks(a, vector), blocks(b, vector), run, "s double, n long")
-    return sums.agg((F.sum("s") / F.sum("n")).alias("mean"))
+def discrepancy(a: DataFrame, b: DataFrame, vector: str, sigma2: float) -> DataFrame:
+    """mmd: the mean of the Gaussian kernel inside each table, less twice that between them."""
+    x, y = blocks(a, vector), blocks(b, vector)
+    parts = [_kernel_sums(*sides, sigma2).withColumnRenamed("mean", n) for sides, n in (((x, x), "aa"), ((y, y), "bb"), ((x, y), "ab"))]
+    return parts[0].join(parts[1]).join(parts[2]).select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd"))
 
 
 def median_distance(df: DataFrame, vector: str, bins: int = BINS, gathered: int = GATHERED) -> float | None:
@@ -112,23 +173,32 @@ def median_distance(df: DataFrame, vector: str, bins: int = BINS, gathered: int
     def counted(run) -> DataFrame:
         return over_pairs(table, table, run, "bin long, n long, least double, most double", once=True)
 
-    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, rows' pairs of each) of a pair of blocks, every unordered pair once."""
-        same = x["block"].iloc[0] == y["block"].iloc[0]
-        (x, v, _), (y, w, _) = _unpacked(x), _unpacked(y)
-        n = np.outer(v, w)
-        if same:
-            n = np.triu(n, 1) + np.diag(v * (v - 1) // 2)
-        return np.sqrt(_distances(x, y)).ravel(), n.ravel()
+    def inside(pairs, lo: float, hi: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(distances in [lo, hi], rows' pairs of each) of pairs of blocks, every unordered pair once."""
+        for p, q, (x, v, _), (y, w, _) in pairs:
+            d, n = np.sqrt(squared_distances(x, y)), None
+            if p == q:  # the pairs of a block and of a vector with itself
+                n = np.triu(np.outer(v, w), 1) + np.diag(v * (v - 1) // 2)
+                d[np.diag_indices_from(d)] = np.where(np.isnan(d.diagonal()), np.nan, 0.0)
+            elif v.max() > 1 or w.max() > 1:
+                n = np.outer(v, w)
+            good = (d >= lo) & (d <= hi)
+            if n is not None:
+                good &= n > 0
+            yield d[good], n[good] if n is not None else np.ones(np.count_nonzero(good), np.int64)
 
     def binned(lo: float, hi: float):
-        def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            d, n = pairs(x, y)
-            inside = (d >= lo) & (d <= hi) & (n > 0)
-            d, n = d[inside], n[inside]
-            at = np.minimum(((d - lo) * (bins / (hi - lo))).astype(np.int64), bins - 1) if hi > lo else np.zeros(len(d), np.int64)
-            out = pd.DataFrame({"bin": at, "n": n, "least": d, "most": d})
-            return out.groupby("bin", as_index=False).agg({"n": "sum", "least": "min", "most": "max"})[["bin", "n", "least", "most"]]
+        def run(pairs) -> pd.DataFrame:
+            n, least, most = np.zeros(bins, np.int64), np.full(bins, np.inf), np.full(bins, -np.inf)
+            for d, m in inside(pairs, lo, hi):
+                if not len(d):
+                    continue
+                at = np.minimum(((d - lo) * (bins / (hi - lo))).astype(np.int64), bins - 1) if hi > lo else np.zeros(len(d), np.int64)
+                n += np.bincount(at, m, bins).astype(np.int64)  # exact: a block pair's rows are far fewer than 2 ** 53
+                np.minimum.at(least, at, d)
+                np.maximum.at(most, at, d)
+            full = np.flatnonzero(n)
+            return pd.DataFrame({"bin": full, "n": n[full], "least": least[full], "most": most[full]})
 
         found = counted(run).groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
         return sorted(map(tuple, found.collect()))  # as many rows as bins
@@ -147,10 +217,10 @@ def median_distance(df: DataFrame, vector: str, bins: int = BINS, gathered: int
             if r[1] <= gathered:
                 lo, hi = r[2], r[3]
 
-                def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-                    d, n = pairs(x, y)
-                    inside = (d >= lo) & (d <= hi) & (n > 0)  # noqa: B023
-                    return pd.DataFrame({"bin": 0, "n": n[inside], "least": d[inside], "most": d[inside]})
+                def run(pairs) -> pd.DataFrame:
+                    found = [*inside(pairs, lo, hi)]  # noqa: B023
+                    d, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                    return pd.DataFrame({"bin": 0, "n": n, "least": d, "most": d})
 
                 for d, n in sorted((r["least"], r["n"]) for r in counted(run).collect()):
                     below += n
@@ -172,19 +242,25 @@ def median_distance(df: DataFrame, vector: str, bins: int = BINS, gathered: int
 def nearest_votes(queries: DataFrame, targets: DataFrame, key: str, vector: str, measure: str = "l2") -> DataFrame:
     """key, votes: how many queries have each target as their nearest (ties to the smaller key).
 
-    Each pair of blocks gives the nearest target of each of its different query vectors;
-    the least of these over the target blocks has the vote of all rows with that vector.
+    Each pair of strips gives the nearest target of each of its different query vectors;
+    the least of these over the target strips has the vote of all rows with that vector.
     Vectors of norm 0 have no cosine and are no query and no target of it.
     """
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        block = int(x["block"].iloc[0])
-        (x, v, _), (y, _, k) = _unpacked(x), _unpacked(y)
-        order = np.argsort(k, kind="stable")
-        d = _distances(x, y[order], measure)
-        d = np.where(np.isnan(d), np.inf, d)
-        best = d.argmin(1)
-        out = pd.DataFrame({"block": block, "place": np.arange(len(x)), "n": v, "far": d[np.arange(len(x)), best], "key": k[order][best]})
+    def run(pairs) -> pd.DataFrame:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for block, _, (x, v, _), (y, _, k) in pairs:
+            order = np.argsort(k, kind="stable")
+            d = _distances(x, y[order], measure)
+            d = np.where(np.isnan(d), np.inf, d)
+            at = d.argmin(1)
+            far, key = d[np.arange(len(x)), at], k[order][at]
+            if block in best:
+                _, old, former = best[block]
+                worse = (old < far) | ((old == far) & (former < key))
+                far, key = np.where(worse, old, far), np.where(worse, former, key)
+            best[block] = v, far, key
+        out = pd.concat([pd.DataFrame({"block": block, "place": np.arange(len(v)), "n": v, "far": far, "key": key}) for block, (v, far, key) in best.items()])
         return out[np.isfinite(out["far"])]
 
     met = over_pairs(blocks(queries, vector), blocks(targets, vector, key=key), run, "block long, place long, n long, far double, key long")

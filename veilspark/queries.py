@@ -538,8 +538,7 @@ def mmd_biased(spark, sf_dir):
     """Discrepancy of the vectors with even and with odd labels."""
     e = table(spark, sf_dir, "embeddings")
     a, b = e.where("label % 2 = 0"), e.where("label % 2 = 1")
-    parts = [features.kernel_mean(x, y, "embedding", 1.0).withColumnRenamed("mean", n) for x, y, n in ((a, a, "aa"), (b, b, "bb"), (a, b, "ab"))]
-    return parts[0].join(parts[1]).join(parts[2]).select(F.round(F.col("aa") + F.col("bb") - 2 * F.col("ab"), 6).alias("mmd"))
+    return features.discrepancy(a, b, "embedding", 1.0).select(F.round("mmd", 6).alias("mmd"))
 
 
 @register("""select c_custkey, round((c_acctbal - lo) / (hi - lo), 9) as unit, greatest(0, least(5000, c_acctbal)) as clipped from customer, (select min(c_acctbal) lo, max(c_acctbal) hi from customer)""")
