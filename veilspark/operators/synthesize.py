@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.budget import Ledger
 from ..functions.noise import gaussian_sigma
-from ..functions.tables import looked_up
+from ..functions.tables import at_most, looked_up
 from ..plans.domain import Clique, Domain, all_cliques, score_workload
 from .graphical import MODEL_MB, Measurement, TreeModel, elimination, fit, model_mb
 from .marginal import clique_name, marginals
@@ -163,7 +163,7 @@ def sample(spark: SparkSession, model: TreeModel, rows: int, seed: str = "rows")
         cell = F.lit(0).cast("long")
         for p in parents:
             cell = cell * domain[p] + F.col(p)
-        out = looked_up(out, cell, upto, "_cdf").withColumn(a, F.size(F.filter("_cdf", lambda p: p <= u)).cast("long")).drop("_cdf")  # noqa: B023
+        out = looked_up(out, cell, upto, "_cdf").withColumn(a, at_most(F.col("_cdf"), upto.shape[-1], u).cast("long")).drop("_cdf")
         done.append(a)
     return out.select("row_id", *domain.attrs)
 
