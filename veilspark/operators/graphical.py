@@ -154,23 +154,42 @@ def total_of(measurements: Iterable[Measurement]) -> float:
     return max(1.0, sum(t * w for t, w in parts) / sum(w for _, w in parts)) if parts else 1.0
 
 
+def merged_by_clique(measurements: Iterable[Measurement]) -> tuple[list[Measurement], float]:
+    """(one measurement for each clique, its measurements weighted by inverse variance; what they differ from it, half the squares in units of their noise).
+
+    The squared error of a clique's measurements is that of their mean and this constant, so
+    a fit does not work the more the more often a marginal was measured.
+    """
+    same: dict[Clique, list[Measurement]] = {}
+    for m in measurements:
+        same.setdefault(m.clique, []).append(m)
+    out, spread = [], 0.0
+    for clique, ms in same.items():
+        weight = sum(m.sigma**-2 for m in ms)
+        mean = sum(m.counts * m.sigma**-2 for m in ms) / weight if len(ms) > 1 else ms[0].counts
+        spread += sum(0.5 * float((((m.counts - mean) / m.sigma) ** 2).sum()) for m in ms)
+        out.append(Measurement(clique, mean, weight**-0.5 if len(ms) > 1 else ms[0].sigma))
+    return out, spread
+
+
 def fit(domain: Domain, measurements: Sequence[Measurement], rounds: int = 300, model: TreeModel | None = None) -> TreeModel:
     """Mirror descent on the squared error of all measurements in units of their noise, with Armijo steps."""
     out = TreeModel(domain, [m.clique for m in measurements], total_of(measurements))
     if model and set(model.nodes) == set(out.nodes):
         out.potentials = model.potentials
         out.marginals = out.propagate(out.potentials)
-    homes = [out.holder(m.clique) for m in measurements]
+    merged, spread = merged_by_clique(measurements)
+    homes = [out.holder(m.clique) for m in merged]
 
     def loss(marginals: Mapping[Clique, np.ndarray]) -> tuple[float, dict[Clique, np.ndarray]]:
-        value, slope = 0.0, {c: np.zeros_like(p) for c, p in marginals.items()}
-        for m, home in zip(measurements, homes, strict=True):
+        value, slope = spread, {c: np.zeros_like(p) for c, p in marginals.items()}
+        for m, home in zip(merged, homes, strict=True):
             axes = tuple(i for i, a in enumerate(home) if a not in m.clique)
             kept = tuple(a for a in home if a in m.clique)
             view = np.transpose(marginals[home].sum(axes), [kept.index(a) for a in m.clique])
             off = (view - m.counts) / m.sigma
             value += 0.5 * float((off**2).sum())
-            slope[home] = slope[home] + Factor(m.clique, off / m.sigma).onto(home)
+            slope[home] += Factor(m.clique, off / m.sigma).onto(home)
         return value, slope
 
     value, slope = loss(out.marginals)
