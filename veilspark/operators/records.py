@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.noise import keyed_uniform
 from ..functions.ranks import numbered_within, stretches
-from ..functions.tables import BROADCAST, literal, looked_up
+from ..functions.tables import BROADCAST, at_most, literal, looked_up
 from ..plans.domain import Clique, Domain
 from ..sources.shared import Rounds
 from .marginal import cell_codes, cell_id
@@ -23,8 +23,7 @@ def start(spark: SparkSession, domain: Domain, one_way: Mapping[str, np.ndarray]
     for a in domain:
         share = np.maximum(one_way[a], 0)
         upto = (np.cumsum(share) / max(share.sum(), 1e-12))[:-1]
-        u = keyed_uniform(seed + a, "row_id")
-        out = out.withColumn(a, F.size(F.filter(literal(upto), lambda p: p <= u)).cast("long"))  # noqa: B023
+        out = out.withColumn(a, at_most(literal(upto), len(upto), keyed_uniform(seed + a, "row_id")).cast("long"))
     return out
 
 
@@ -46,8 +45,8 @@ def moved(df: DataFrame, domain: Domain, clique: Clique, target: np.ndarray, cou
     ids = np.flatnonzero(room)
     upto = np.cumsum(room[ids]) / room.sum()
     rows = looked_up(df.withColumn("_cell", cell_id(domain, clique)), F.col("_cell"), leave, "_leave")
-    goes = keyed_uniform(seed + "leave", "row_id") <= F.coalesce("_leave", F.lit(0.0))
-    place = F.size(F.filter(literal(upto[:-1]), lambda p: p <= keyed_uniform(seed + "enter", "row_id")))
+    goes = F.coalesce(F.col("_leave") > 0, F.lit(False)) & (keyed_uniform(seed + "leave", "row_id") <= F.col("_leave"))  # most cells keep all rows: no hash
+    place = at_most(literal(upto[:-1]), len(upto) - 1, keyed_uniform(seed + "enter", "row_id"))
     new = F.get(literal(ids), place).cast("long")
     rows = rows.withColumn("_new", F.when(goes, new).otherwise(F.col("_cell")))
     codes = {a: c for a, c in zip(clique, cell_codes(domain, clique, F.col("_new")), strict=True)}
