@@ -193,6 +193,9 @@ def median_distance(df: DataFrame, vector: str, bins: int = BINS, gathered: int
             for d, m in inside(pairs, lo, hi):
                 if not len(d):
                     continue
+                if math.isinf(hi - lo):  # one bin for all
+                    n[0], least[0], most[0] = n[0] + int(m.sum()), min(least[0], d.min()), max(most[0], d.max())
+                    continue
                 at = np.minimum(((d - lo) * (bins / (hi - lo))).astype(np.int64), bins - 1) if hi > lo else np.zeros(len(d), np.int64)
                 n += np.bincount(at, m, bins).astype(np.int64)  # exact: a block pair's rows are far fewer than 2 ** 53
                 np.minimum.at(least, at, d)
