@@ -518,6 +518,24 @@ def test_near_duplicates_whose_values_lie_in_a_hot_bucket(spark):
     assert got == {i: i - i % 2 for i in range(200)}
 
 
+@pytest.mark.parametrize("block", [500_000, 40_000])
+def test_large_buckets_are_decided_whole(spark, monkeypatch, block):
+    """A passage and own words that many texts hold: similar texts share no rare word, and all finer buckets are large."""
+    monkeypatch.setattr(near_dup, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(17)
+    own = rng.integers(0, 9, (640, 30))
+    texts = [" ".join([*(f"w{i}x{w}" for i, w in enumerate(t)), *(f"passage{i}" for i in range(70))]) for t in own]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    differ = (own[:, None] != own[None]).sum(2)  # a word belongs to its place, so this is the edit distance
+    least = np.arange(640)
+    while True:
+        new = np.where(differ <= 20, least[None], 640).min(1)
+        if (new == least).all():
+            break
+        least = new
+    assert 100 < len(set(least.tolist())) < 600 and got == dict(enumerate(least.tolist()))
+
+
 @pytest.mark.parametrize("shared", [0.3, 0.6])
 def test_finer_values_of_similar_texts(shared):
     """Texts that share a frequent passage: those that are similar by their own words too share a finer value, others seldom."""

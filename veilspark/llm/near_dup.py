@@ -10,6 +10,7 @@ band decides.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from .words import mix, owners, runs, texts_of, word_hashes
 
 #: Words of a k-mer; values of a sketch; k-mers of a value (of spread edits at the least similarity, 0.95 of the pairs and more share a value); edit similarity of a link.
 K, VALUES, PICK, SIMILARITY = 3, 32, 2, 0.8
-#: Members of a bucket that meet all pairs; the texts of larger buckets get finer values, FINER of rare words and FINER of three k-mers.
+#: Members of a bucket whose pairs are rows; larger buckets meet in blocks, and their texts get finer values, FINER of rare words and FINER of three k-mers.
 WHOLE, FINER = 64, 16
 #: Nodes (32 bytes each, some 100 in memory) up to which a table of them is broadcast.
 BROADCAST_NODES = 500_000
@@ -32,6 +33,8 @@ BROADCAST_NODES = 500_000
 SLICE_CHARS, SLICE_WORDS = 1_000_000, 200_000
 #: Slots of a text's bag of words; texts whose word pairs a task holds.
 BAG, HELD = 256, 2000
+#: Words of a block of a large bucket, each text counting BAG more; a task holds two blocks.
+BLOCK_WORDS = 500_000
 #: Slots of the counts that tell rare words from frequent ones.
 RARITY_SLOTS = 1 << 20
 
@@ -184,29 +187,38 @@ def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts).astype(np.uint64) if parts else np.empty(0, np.uint64), np.array([len(x) for x in parts], np.int64)
 
 
+class _Texts:
+    """Decides pairs of texts and holds the words and word pairs of up to HELD of them. Texts that share fewer of these than similar ones must are not aligned."""
+
+    def __init__(self, least: float):
+        self.least = least
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _of(self, id: int, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if id not in self.known:
+            if len(self.known) >= HELD:
+                self.known.clear()
+            w = np.frombuffer(words, "<u4")
+            with np.errstate(over="ignore"):
+                self.known[id] = w, *[np.sort(kmers(w.astype(np.uint64), np.array([len(w)]), k)[0]) for k in (1, 2)]
+        return self.known[id]
+
+    def near(self, i: int, j: int, x: bytes, y: bytes) -> bool:
+        a, b = self._of(i, x), self._of(j, y)
+        longer = max(len(a[0]), len(b[0]))
+        most = int((1 - self.least) * longer + 1e-9)
+        if any(longer - (k - 1) - k * most > len(np.intersect1d(a[k], b[k], True)) for k in (1, 2)):
+            return False
+        return similar(a[0], b[0], self.least)
+
+
 def _aligned(least: float):
-    """Pairs of similar texts. Texts that share fewer word pairs than similar ones must are not aligned."""
+    """Pairs of similar texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def of(id: int, words: bytes) -> tuple[np.ndarray, np.ndarray]:
-            if id not in known:
-                if len(known) >= HELD:
-                    known.clear()
-                w = np.frombuffer(words, "<u4")
-                with np.errstate(over="ignore"):
-                    known[id] = w, np.sort(kmers(w.astype(np.uint64), np.array([len(w)]), 2)[0])
-            return known[id]
-
-        def near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
-            longer = max(len(a[0]), len(b[0]))
-            if longer - 1 - 2 * int((1 - least) * longer + 1e-9) > len(np.intersect1d(a[1], b[1], True)):
-                return False
-            return similar(a[0], b[0], least)
-
+        texts = _Texts(least)
         for f in frames:
-            good = [near(of(i, x), of(j, y)) for i, j, x, y in zip(f["a"], f["b"], f["wa"], f["wb"], strict=True)]
+            good = [texts.near(*pair) for pair in zip(f["a"], f["b"], f["wa"], f["wb"], strict=True)]
             yield f.loc[good, ["a", "b"]]
 
     return run
@@ -300,12 +312,17 @@ def _finer_buckets(words: DataFrame, hot: DataFrame, k: int) -> DataFrame:
     return written(values.join(several, "value", "left_semi"), "omh-finer-shared")
 
 
+def _bagged(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Text x slot."""
+    slots = owners(counts) * BAG + (h % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(slots, minlength=len(counts) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many words of a text fall into each of BAG slots, 255 at most."""
     for batch in _slices(batches):
         h, counts = _words_of(batch)
-        slots = owners(counts) * BAG + (h % np.uint64(BAG)).astype(np.int64)
-        bags = np.minimum(np.bincount(slots, minlength=len(counts) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+        bags = _bagged(h, counts)
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "bag": pa.array([b.tobytes() for b in bags], pa.binary()), "n_words": pa.array(counts.astype(np.int32))})
 
 
@@ -339,6 +356,81 @@ def _verified(words: DataFrame, pairs: DataFrame, done: DataFrame | None, least:
     return written(both.select("a", "b", "wa", "wb").mapInPandas(_aligned(least), "a long, b long"), "omh-links"), pairs
 
 
+def _met(least: float):
+    """Links (a, b), a < b, between texts of different classes of two blocks, or inside one block.
+
+    Every pair is decided, by length, bags, shared words and then alignment, but for those
+    that links found here have brought into one class. Of the buckets in which two texts meet, a hash chooses the one that decides them.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["n_words", "id"])
+        value, n, id, words, second = f["value"].iloc[0], f["n_words"].to_numpy().astype(np.int64), f["id"].to_numpy(), f["words"].to_numpy(), f["second"].to_numpy()
+        of = f["class"].to_numpy().copy()
+        names, at = np.unique(np.concatenate(f["values"].to_list()), return_inverse=True)
+        within, this = np.zeros((len(f), len(names)), bool), np.searchsorted(names, value)
+        within[owners(f["values"].map(len).to_numpy()), at] = True
+        h = np.concatenate([np.frombuffer(x, "<u4") for x in words]).astype(np.uint64)
+        bags = _bagged(h, n).astype(np.int16)
+        with np.errstate(over="ignore"):
+            code = np.unique(kmers(h, n, 1)[0], return_inverse=True)[1]
+        starts, mine = np.cumsum(n) - n, np.zeros(len(h), bool)
+        alone, texts, links = not second.any(), _Texts(least), []
+        most = np.floor((1 - least) * n + 1e-9).astype(np.int64)
+        shortest = np.searchsorted(n, n - most)  # shorter texts are too short for this one
+        for i in range(len(f)):
+            j = np.arange(shortest[i], i)
+            j = j[(of[j] != of[i]) & (alone | (second[j] != second[i]))]
+            both = within[j] & within[i]
+            with np.errstate(over="ignore"):
+                turn = mix((id[j] ^ id[i]).view(np.uint64)) % both.sum(1).astype(np.uint64)
+            j = j[both[:, :this].sum(1) == turn.astype(np.int64)]
+            j = j[np.abs(bags[j] - bags[i]).sum(1) <= 2 * most[i]]
+            if not len(j):
+                continue
+            own = code[starts[i] : starts[i] + n[i]]
+            mine[own] = True
+            first = np.cumsum(n[j]) - n[j]
+            shared = np.add.reduceat(mine[code[np.repeat(starts[j] - first, n[j]) + np.arange(n[j].sum())]], first, dtype=np.int64)
+            mine[own] = False
+            for k in j[shared >= n[i] - most[i]]:
+                if of[k] != of[i] and texts.near(id[i], id[k], words[i], words[k]):
+                    links.append((min(id[i], id[k]), max(id[i], id[k])))
+                    of[of == of[k]] = of[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _links_in_blocks(words: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
+    """Links between the members of different classes of large classed buckets, all pairs of them.
+
+    Members are dealt into blocks of about BLOCK_WORDS words by bucket, class of length and
+    a hash. Texts of a bucket can only be similar in one class of length or in neighbouring
+    ones, so each two blocks of these meet in one task, which holds no others and gives out links
+    alone. Pairs are the square of a bucket, as all are decided; rows moved are a block's
+    members for each block that they meet.
+    """
+    step = 0.01 - math.log(least)  # a little wider than the ratio of the lengths of similar texts
+    buckets = buckets.select("value", "id", "n_words", "class", F.floor(F.log("n_words") / step).alias("size"))
+    sizes = buckets.groupBy("value", "size").agg(F.ceil(F.sum(F.col("n_words") + BAG) / BLOCK_WORDS).alias("n"))
+    sizes = written(sizes, "omh-sizes")
+    blocks = sizes.select("value", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    other = blocks.select("value", F.col("size").alias("size2"), F.col("block").alias("block2"))
+    meet = (F.col("size2") == F.col("size") + 1) | ((F.col("size2") == F.col("size")) & (F.col("block2") >= F.col("block")))
+    meetings = written(blocks.join(other, "value").where(meet), "omh-meetings")
+    meeting, at = ["value", "size", "block", "size2", "block2"], ["value", "size", "block"]
+    members = written(buckets.join(small(sizes), ["value", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n"))).drop("n"), "omh-members")
+    first = members.join(small(meetings), at).withColumn("second", F.lit(False))
+    apart = meetings.where((F.col("size2") != F.col("size")) | (F.col("block2") != F.col("block")))
+    second = members.withColumnsRenamed({"size": "size2", "block": "block2"}).join(small(written(apart, "omh-apart")), ["value", "size2", "block2"]).withColumn("second", F.lit(True))
+    columns = [*meeting, "id", "n_words", "class", "second"]
+    values = members.groupBy("id").agg(F.collect_set("value").alias("values"))
+    some = written(_some(words, values.select("id")).join(values, "id"), "omh-block-words").hint("merge")
+    rows = first.select(columns).union(second.select(columns)).join(some, "id")
+    return written(rows.groupBy(*meeting).applyInPandas(_met(least), "a long, b long").distinct(), "omh-block-links")
+
+
 def _numbered(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(`firsts` with id, a 64-bit number of the digest that no two digests share; the digests whose number is not simply their hash).
 
@@ -382,10 +474,13 @@ def _classes(docs: DataFrame, similarity: float, key: str, column: str, k: int,
     few = F.col("members") <= WHOLE
     pairs = _all_pairs(classed.where(few), similarity)
     hot = written(classed.where(~few).select("id").distinct(), "omh-hot")
-    if not hot.isEmpty():
+    if hot.isEmpty():
+        fresh, _ = _verified(words, pairs, done, similarity)
+    else:
         met = written(_classed(_finer_buckets(words, hot, k), found), "omh-finer-open")
-        pairs = pairs.union(_with_centres(met, similarity)).union(_all_pairs(met.where(few), similarity))
-    fresh, _ = _verified(words, pairs, done, similarity)
+        fresh, _ = _verified(words, pairs.union(_all_pairs(met.where(few), similarity)), done, similarity)
+        large = classed.where(~few).unionByName(met.where(~few))
+        fresh = written(fresh.union(_links_in_blocks(words, large, similarity)).distinct(), "omh-fresh")
     links, found = links.union(fresh), extended(found, fresh)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     classes = firsts.select("node", "id", "doc").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -413,13 +508,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     are collapsed by digests before any pairing. Each node first meets one centre, the
     least of its buckets of equal sketch values that is near it in length, which makes
     classes of large groups at one alignment a node; then the centres of all buckets that
-    still hold several classes. All pairs of different classes in a bucket of up to WHOLE
-    members are decided. A larger bucket that is still open holds texts that share frequent
-    passages without being similar: all its texts get finer values, least words among
-    those that few texts hold, in buckets of WHOLE texts or so by themselves, and values of
-    three k-mers, and meet again in the same way. So work grows with the texts, not with
-    the square of a group, and no bucket, text or candidate is left out; similar texts of a
-    hot bucket are missed where they share none of their finer values. Word hashes move
+    still hold several classes. Then all pairs of different classes in every bucket are
+    decided: as rows in a bucket of up to WHOLE members, block against block in a larger one
+    (_links_in_blocks). A larger bucket that is still open holds texts that share frequent
+    passages: all its texts get finer values besides, least words among
+    those that few texts hold and values of three k-mers, whose buckets are decided in the
+    same way, so that texts that share no value of the sketch may still meet. No bucket, text or
+    candidate is left out: texts that share a value have their link or are in one class. The pairs of a
+    large bucket with several classes grow with the square of its classes' texts, in memory that
+    does not grow. Word hashes move
     only for texts in candidate pairs (for all texts, once a step, where these are more than
     BROADCAST_NODES).
     """
