@@ -5,8 +5,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import ann, bpe, components, embed_dedup, langid, license_scan, lm_score, mixing, near_dup, queries, token_counts, toxicity
 from veilspark.llm.pieces import take_ranges
+from veilspark.llm.words import slices
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, draw int"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -245,6 +248,31 @@ def test_cross_parsing(monkeypatch, stretch):
             assert got[j][i] == brute_phrases("".join(words(s) + " " for s in samples[lang]), clean)
 
 
+def test_slices_of_a_batch():
+    texts = ["ab", None, "", "é" * 40, "x", "y" * 9, "z"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["cut", *texts], pa.string())}).slice(1)
+    for limit in (1, 10, 1000):
+        got = list(slices(batch, limit))
+        assert [t for _, _, part in got for t in part] == [x or "" for x in texts]
+        assert [lo for lo, _, _ in got] == [0, *[hi for _, hi, _ in got]][:-1] and got[-1][1] == len(texts)
+        assert all(len("".join(part[:-1]).encode()) < limit for _, _, part in got)
+    assert list(slices(batch.slice(0, 0), 10)) == []
+
+
+def test_language_memory_does_not_grow_with_the_batch():
+    rng = random.Random(8)
+    parser = langid.train({name: [" ".join("".join(rng.choices(letters, k=5)) for _ in range(60))] for name, letters in (("a", "abcd"), ("b", "efgh"), ("c", "ijkl"), ("d", "mnop"))})
+    text = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(5000))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text] * 100)})
+    run = langid._determined(SimpleNamespace(value=parser), "text", 100.0)
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in run(iter([batch]))) == 100
+        assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_language_models_of_large_alphabets_stay_small():
     rng = random.Random(4)
     chinese = ["".join(chr(rng.randrange(0x4E00, 0x4E00 + 3000)) for _ in range(2000)) for _ in range(32)]

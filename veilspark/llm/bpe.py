@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 
 from .pairs import NO_PAIR, PairTable
 from .pieces import Pieces, take_ranges
-from .words import runs, texts_of
+from .words import slices, texts_of
 
-#: Cells of one padded matrix; characters of texts that are worked on at once.
-MATRIX_CELLS, SLICE_CHARS = 1_000_000, 1_000_000
+#: Cells of one padded matrix; bytes of texts that are worked on at once.
+MATRIX_CELLS, SLICE_BYTES = 1_000_000, 1_000_000
 #: Rows longer than this are merged one at a time by a heap.
 WIDE = 512
 
@@ -174,9 +174,8 @@ def _encoded(path: str, pattern: str, key: str, column: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            texts = texts_of(batch, column)
-            for lo, hi in runs(texts, SLICE_CHARS):
-                ids = bpe.encode(texts[lo:hi])
+            for lo, hi, texts in slices(batch, SLICE_BYTES, column):
+                ids = bpe.encode(texts)
                 raw = [x.astype("<u4").tobytes() for x in ids]
                 cols = {
                     key: batch.column(key).slice(lo, hi - lo),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import runs, texts_of
+from .words import slices
 
 UNDETERMINED = "und"
 #: A text is parsed in stretches of so many characters, all stretches of a batch side by side; phrases run on across them.
@@ -24,8 +24,8 @@ STRETCH = 1024
 PASSAGES, PASSAGE_CHARS = 32, 2000
 #: A text of LEAST symbols or more that needs WORST times as many phrases as unseen text of its best language is in none of the languages.
 LEAST, WORST = 64, 2.25
-#: Symbols of all languages of a group that are parsed at once.
-GROUP_SYMBOLS = 24_000_000
+#: Bytes of texts, and symbols of all languages of a group, that are parsed at once: some 20 bytes of memory a symbol of text, 3 a symbol of the group.
+SLICE_BYTES, GROUP_SYMBOLS = 2_000_000, 8_000_000
 SPACE = 0
 #: A state without transitions.
 DEAD = 0
@@ -239,11 +239,11 @@ def phrases(parser: CrossParser, table: np.ndarray, texts: list[str]) -> tuple[n
             ended, whole = _walk(some, flat, state[follow - 1], lang[follow], starts[follow], sizes[follow], begins, True)
             changed = follow[whole & (ended != state[follow])]
             state[follow[whole]] = ended[whole]
-        sums = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         for i in range(k):
-            at = sums[i * len(flat) + bounds]
-            out[lo + i] = at[1:] - at[:-1]
+            sums = np.zeros(len(flat) + 1, np.int32)
+            np.cumsum(begins[i * len(flat) : (i + 1) * len(flat)], dtype=np.int32, out=sums[1:])
+            out[lo + i] = np.diff(sums[bounds])
     return out, lengths, letters
 
 
@@ -267,9 +267,8 @@ def _identified(model, key: str, column: str):
         table = parser.classes()
         names = np.array([*parser.langs, UNDETERMINED], object)
         for batch in batches:
-            texts = texts_of(batch, column)
-            for lo, hi in runs(texts):
-                lang, score, _ = predictions(parser, table, texts[lo:hi])
+            for lo, hi, texts in slices(batch, SLICE_BYTES, column):
+                lang, score, _ = predictions(parser, table, texts)
                 yield pa.RecordBatch.from_pydict({key: batch.column(key).slice(lo, hi - lo), "lang_pred": pa.array(names[lang], pa.string()), "score": pa.array(score, pa.float64())})
 
     return run
@@ -280,9 +279,8 @@ def _determined(model, column: str, worst: float):
         parser: CrossParser = model.value
         table = parser.classes()
         for batch in batches:
-            texts = texts_of(batch, column)
-            for lo, hi in runs(texts):
-                _, _, strange = predictions(parser, table, texts[lo:hi])
+            for lo, hi, texts in slices(batch, SLICE_BYTES, column):
+                _, _, strange = predictions(parser, table, texts)
                 yield batch.slice(lo, hi - lo).filter(pa.array(strange <= worst))
 
     return run

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components, extended
 from .shared import settled, small, written
-from .words import mix, owners, runs, texts_of, word_hashes
+from .words import mix, owners, slices, word_hashes
 
 #: Words of a k-mer; values of a sketch; k-mers of a value (of spread edits at the least similarity, 0.95 of the pairs and more share a value); edit similarity of a link.
 K, VALUES, PICK, SIMILARITY = 3, 32, 2, 0.8
@@ -29,8 +29,8 @@ K, VALUES, PICK, SIMILARITY = 3, 32, 2, 0.8
 WHOLE, FINER = 64, 16
 #: Nodes (32 bytes each, some 100 in memory) up to which a table of them is broadcast.
 BROADCAST_NODES = 500_000
-#: Characters of texts, words of stored texts that are worked on at once.
-SLICE_CHARS, SLICE_WORDS = 1_000_000, 200_000
+#: Bytes of texts, words of stored texts that are worked on at once.
+SLICE_BYTES, SLICE_WORDS = 1_000_000, 200_000
 #: Slots of a text's bag of words; texts whose word pairs a task holds.
 BAG, HELD = 256, 2000
 #: Words of a block of a large bucket, each text counting BAG more; a task holds two blocks.
@@ -152,9 +152,8 @@ def _sketched(k: int, values: int, pick: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts = texts_of(batch)
-                for lo, hi in runs(texts, SLICE_CHARS):
-                    h, counts = word_hashes(texts[lo:hi])
+                for lo, hi, texts in slices(batch, SLICE_BYTES):
+                    h, counts = word_hashes(texts)
                     x, n = kmers(h, counts, k)
                     short = h.astype("<u4")
                     bounds = np.concatenate([[0], np.cumsum(counts)])

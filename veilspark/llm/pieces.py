@@ -9,7 +9,7 @@ import numpy as np
 import regex
 
 #: Distinct pre-tokens that a worker remembers before it drops those it has met once.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class _Numbers(dict):

@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, owners, runs, texts_of, word_hashes
+from .words import mix, owners, runs, slices, word_hashes
 
 BITS = 20
+#: Bytes (training: characters) of texts that are worked on at once.
+SLICE = 1_000_000
 #: Rows of each class in the training sample, in expectation.
 POSITIVES, NEGATIVES = 4000, 6000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.6, 1.0, 6.0, 0.0
@@ -73,7 +75,7 @@ def _featured(bits: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [x or "" for x in frame["text"]]
-            for lo, hi in runs(texts):
+            for lo, hi in runs(texts, SLICE):
                 of, at = features(texts[lo:hi], bits)
                 both = np.unique(of << bits | at)
                 parts = np.split((both & ((1 << bits) - 1)).astype("<u4"), np.searchsorted(both >> bits, np.arange(1, hi - lo)))
@@ -125,9 +127,8 @@ def _scored(shared, key: str, column: str):
         model: Model = shared.value
         weight = model.dense()
         for batch in batches:
-            texts = texts_of(batch, column)
-            for lo, hi in runs(texts):
-                yield pa.RecordBatch.from_pydict({key: batch.column(key).slice(lo, hi - lo), "score": pa.array(scores(texts[lo:hi], model, weight), pa.float64())})
+            for lo, hi, texts in slices(batch, SLICE, column):
+                yield pa.RecordBatch.from_pydict({key: batch.column(key).slice(lo, hi - lo), "score": pa.array(scores(texts, model, weight), pa.float64())})
 
     return run
 
@@ -149,9 +150,8 @@ def _below(shared, column: str, threshold: float):
         model: Model = shared.value
         weight = model.dense()
         for batch in batches:
-            texts = texts_of(batch, column)
-            for lo, hi in runs(texts):
-                yield batch.slice(lo, hi - lo).filter(pa.array(scores(texts[lo:hi], model, weight) < threshold))
+            for lo, hi, texts in slices(batch, SLICE, column):
+                yield batch.slice(lo, hi - lo).filter(pa.array(scores(texts, model, weight) < threshold))
 
     return run
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 
 WORD = re.compile(r"\w+")
 
@@ -31,6 +32,17 @@ def texts_of(batch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def slices(batch, limit: int, column: str = "text") -> Iterator[tuple[int, int, list[str]]]:
+    """(lo, hi, their texts) of consecutive rows that together hold about `limit` bytes (one row at least); no more texts than these are in memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = min(len(ends), int(np.searchsorted(ends, before + limit)) + 1)
+        yield lo, hi, texts_of(batch.slice(lo, hi - lo), column)
+        lo = hi
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every lower-cased word, text after text; words in each text)."""
     words: list[str] = []
