@@ -1,13 +1,16 @@
 """Each operator against a brute-force version on small tables with nulls, empty and repeated rows, ties and extra columns."""
 
 import base64
+import contextlib
 import hashlib
 import math
 import random
 import re
+import threading
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -420,6 +423,47 @@ def test_lm_scores(spark, order):
         assert (got[i]["mean_log_score"] is None) == (n == 0)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("unit", [3, 40])
+def test_lm_scores_of_frequent_words_cut_into_units(spark, order, unit):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("a b c d e f g".split(), weights=[9, 5, 3, 2, 1, 1, 1], k=rng.randint(0, 25))) for _ in range(60)] + ["a", "a a a a", "a b " * 50, "only here a", "", None]
+    docs = documents(spark, [(i % 50, t, "en", "s") for i, t in enumerate(texts)])
+    got = sorted((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm_score.score(docs, order=order, unit=unit).collect())
+    assert got == sorted((i % 50, n, round(log, 6)) for i, (n, log) in enumerate(brute_scores(texts, order)))
+
+
+def test_lm_scores_keep_little_on_disk(spark, tmp_path):
+    rng = random.Random(5)
+    at = tmp_path / "documents"
+    documents(spark, [(i, " ".join(rng.choices([f"w{k}" for k in range(20_000)], k=400)), "en", "s") for i in range(2000)]).repartition(2).write.parquet(str(at))
+    folders = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+
+    def used():
+        out = 0
+        for f in (f for d in folders for f in d.rglob("*")):
+            with contextlib.suppress(OSError):  # a file may go meanwhile
+                out += f.stat().st_size if f.is_file() else 0
+        return out
+
+    most, over, floor = [0], threading.Event(), used()
+
+    def watch():
+        while not over.wait(0.05):
+            most.append(used() - floor)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = lm_score.score(spark.read.parquet(str(at)))
+        assert got.count() == 2000
+    finally:
+        over.set()
+        watcher.join()
+    assert max(most) < 4 * sum(f.stat().st_size for f in at.glob("*.parquet"))
+
+
 def test_lm_scores_keep_every_row(spark):
     docs = documents(spark, EDGE)
     got = lm_score.score(docs)

@@ -31,16 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there and survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there and survives lost executors. options: of the writer."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (paths := _paths.get()) is not None:
         paths.append(at)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a table written inside go when it is written, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 #: Rows up to which a narrow table (a few numbers or digests a row, some 100 bytes in memory) is broadcast.
 NARROW = 500_000
 
