@@ -35,8 +35,8 @@ ORDER, ALPHA = 3, 0.4
 SHARES = 4
 #: Rows that a task is to hold (by estimate from the corpus's words).
 TASK_ROWS = 300_000
-#: Places of a word from which it is cut into units of about so many rows: at least, at most.
-UNIT_ROWS = 50_000, 1_000_000
+#: A word of twice so many places is cut into units of about so many rows: at least, at most.
+UNIT_ROWS = 50_000, 750_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -270,10 +270,10 @@ def _sum_of(words: DataFrame, order: int, alpha: float, unit: int | None) -> tup
     depth = max(order, 3)  # the n-gram of two words tells whether a place falls back to its word
     schema = ", ".join(f"{c} long" for c in _names(depth))
     corpus = words.agg(F.sum("n_words")).first()[0] or 0
-    unit = unit or min(UNIT_ROWS[1], max(UNIT_ROWS[0], corpus // 100))
-    # where a word is rare, places are left out, half a unit at most in all: none of more than a unit is missed, and 2 * corpus / unit words at most are gathered
+    unit = unit or min(UNIT_ROWS[1], max(UNIT_ROWS[0], corpus // 200))
+    # where a word is rare, places are left out, half a unit at most in all: none of more than two units is missed, and corpus / unit words at most are gathered
     common = words.mapInArrow(_common(unit / max(1, corpus) / 2), "word long, times long")
-    hot = common.groupBy("word").agg(F.sum("times").alias("times")).where(F.col("times") > unit / 2).collect()
+    hot = common.groupBy("word").agg(F.sum("times").alias("times")).where(F.col("times") > 1.5 * unit).collect()
     frequent = _Frequent([tuple(r) for r in hot], unit)
     spanning = None
     if hot:  # what stands in one document only has no use
@@ -306,7 +306,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str =
     row vouches for its copy. Null and empty texts have 0 words, score 0 and a null mean;
     a null or repeated key is scored row by row like any other; an empty table gives an
     empty result. An n-gram is one row of each text however often it stands there. Words of
-    more than `unit` places (a hundredth of the corpus, 50,000 to 1,000,000, if none is given)
+    more than twice `unit` places (`unit`: 1/200 of the corpus, 50,000 to 750,000, if none is given)
     are cut into units, so that no word's rows are one task's.
     """
     spark = docs.sparkSession
