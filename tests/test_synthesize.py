@@ -160,6 +160,95 @@ def test_complete_updates_copy_rows_of_the_cell(spark, mode, schedule):
     assert set(records.SCHEDULES) >= {"constant", "root"} and all(0 < f(k) <= 1 for f in records.SCHEDULES.values() for k in (0, 7, 120))
 
 
+@pytest.mark.parametrize("whole", [0.0, 0.6])
+def test_counts_move_as_rows_do(spark, whole):
+    from veilspark.operators import records
+
+    x = joint(np.random.default_rng(7))
+    one_way, targets = {a: view(x, (a,)) for a in D}, {c: view(x, c) for c in [("a", "b"), ("d", "b")]}
+    targets["d", "b"] = targets["d", "b"].T  # a clique's attributes may stand in another order than the domain's
+    targets["a", "b"][0, 1] = -50.0  # a noisy target below zero
+    joint_of = lambda df: synthesize.datavectors(df, D, [tuple(D)])[tuple(D)]
+    near = lambda got, draws: np.abs(got - draws.mean(0)) <= 5 * np.maximum(draws.std(0), 1.0)
+    rows = records.start(spark, D, one_way, 20000)
+    began = joint_of(rows)
+    assert near(began, np.stack([records.start_counts(D, one_way, 20000, str(i)) for i in range(300)])).all()
+    for clique, target in targets.items():
+        counts = synthesize.datavectors(rows, D, [clique])[clique]
+        got = joint_of(records.moved(rows, D, clique, target, counts, 0.7, "s", whole))
+        draws = np.stack([records.moved_counts(began.astype(np.int64), D, clique, target, 0.7, np.random.default_rng(i), whole) for i in range(300)])
+        assert (draws.sum((1, 2, 3, 4)) == 20000).all() and (draws >= 0).all() and near(got, draws).all()
+        assert np.abs(got - began).sum() > 1000  # a step that moves many rows
+
+
+def test_updated_counts_reach_the_targets_whatever_the_rows():
+    from veilspark.operators import records
+
+    x = chain_joint(np.random.default_rng(6))
+    targets = {c: view(x, c) for c in all_cliques(D, 2)}
+    error = lambda n: records.total_error({c: view(n, c) for c in targets}, targets)
+    for mode, most in (("partial", 0.06), ("halves, complete", 0.03)):
+        shares = []
+        for rows in (200_000, 216_000_000):  # the larger number takes as long as the smaller one
+            began = records.start_counts(D, {a: view(x, (a,)) for a in D}, rows)
+            after = records.updated_counts(began, D, targets, mode=mode)
+            assert began.sum() == after.sum() == rows and after.min() >= 0
+            shares.append(error(after) / error(began))
+        assert max(shares) < most and abs(shares[0] - shares[1]) < 0.01
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 5, 1000, 30011])
+def test_shuffled_numbers_are_a_permutation(rows):
+    from veilspark.operators import records
+
+    got = records.shuffled(np.arange(rows), rows, "x")
+    assert sorted(got.tolist()) == list(range(rows))
+    assert (got[rows // 2 :] == records.shuffled(np.arange(rows // 2, rows), rows, "x")).all()  # whatever else is in the batch
+    if rows > 100:
+        assert abs(np.corrcoef(got[1:], got[:-1])[0, 1]) < 0.15 and abs(np.corrcoef(got, np.arange(rows))[0, 1]) < 0.15
+
+
+def test_listed_rows_are_the_counts(spark):
+    from veilspark.operators import records
+
+    counts = np.random.default_rng(8).integers(0, 200, D.shape) * np.random.default_rng(9).integers(0, 2, D.shape)
+    rows = records.listed(spark, D, counts)
+    assert rows.columns == ["row_id", *D.attrs] and sorted(r["row_id"] for r in rows.collect()) == list(range(counts.sum()))
+    assert (synthesize.datavectors(rows, D, [tuple(D)])[tuple(D)] == counts).all()
+    some = records.listed(spark, D, counts).where(F.col("row_id") < int(counts.sum()) // 2)
+    assert (np.abs(synthesize.datavectors(some, D, [("a",)])["a",] - view(counts, ("a",)) / 2) < 5 * np.sqrt(counts.sum()) / 2).all()  # no part of the ids holds one cell
+    assert records.listed(spark, D, np.zeros(D.shape, np.int64)).count() == 0
+
+
+def test_record_updates_of_a_small_domain_pass_over_no_rows(spark, monkeypatch):
+    from veilspark.operators import records
+
+    written = []
+    monkeypatch.setattr(records, "moved", lambda *args: written.append(args))
+    monkeypatch.setattr(records.Rounds, "__call__", lambda self, df: written.append(df))
+    context = spark.sparkContext
+    context.setJobGroup("gum", "jobs of the query itself")
+    rows = QUERIES["gum_synth"](spark, SF)
+    jobs = len(context.statusTracker().getJobIdsForGroup("gum"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert not written and jobs <= 6, jobs  # the noisy marginals; before, more than one job for each step
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Range" in plan and "Exchange" not in plan and "FileScan" not in plan
+
+
+def test_larger_domains_move_rows(spark, monkeypatch):
+    from veilspark.operators import records
+
+    x = chain_joint(np.random.default_rng(6))
+    one_way, targets = {a: view(x, (a,)) for a in D}, {c: view(x, c) for c in [("a", "b"), ("b", "c")]}
+    error = lambda df: records.total_error(synthesize.datavectors(df, D, list(targets)), targets)
+    few = error(records.synthesized(spark, D, one_way, 4000, targets, rounds=3))
+    monkeypatch.setattr(records, "CELLS", D.size() - 1)
+    monkeypatch.setattr(records, "listed", None)
+    many = records.synthesized(spark, D, one_way, 4000, targets, rounds=3)
+    assert many.count() == 4000 and max(few, error(many)) < 0.1 * error(records.start(spark, D, one_way, 4000))
+
+
 @pytest.mark.parametrize(("name", "attrs", "most"), [("gum_synth", ["flag", "status", "line", "tax"], 0.014), ("aim_synth", list(LINE_DOMAIN), 0.113)])
 def test_synthetic_marginals_reach_their_targets(spark, name, attrs, most):
     from veilspark.operators import records

@@ -667,8 +667,7 @@ def gum_synth(spark, sf_dir):
     ledger = Ledger(RHO)
     measure = synthesize.Measurer(answers, ledger, _generator())
     found = {c: measure(c, RHO / len(answers)).counts for c in answers}
-    rows = records.start(spark, domain, {a: found[a,] for a in domain}, max(1, round(float(found["line",].sum()))))
-    return records.updated(rows, domain, {c: found[c] for c in pairs})
+    return records.synthesized(spark, domain, {a: found[a,] for a in domain}, max(1, round(float(found["line",].sum()))), {c: found[c] for c in pairs})
 
 
 @register("""with o as (select distinct p_retailprice v from part), s as (select o_orderkey, 900 + o_totalprice / 500 as x from orders),
